@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality
+from . import chat, decontam, mixing, quality, token_store
 from .common import table
 
 SQL_SPACES = r"[ \t\n\x0B\f\r]+"
@@ -61,6 +61,17 @@ select {columns}, not base_failed and {_rules_sql()} as kept from quality_ratios
 OP3_SQL = quality_sql("documents", "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_store.read(spark, manifest)
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.verdicts(decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -119,6 +130,7 @@ from e group by conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_token_store": op6_token_store,
     "op8_decontam": op8_decontam,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
