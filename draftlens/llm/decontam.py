@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..ship import ship
+
 WINDOW = 10
 MAX_AUTOMATON = 16_000_000  # pattern characters in one automaton
 
@@ -62,7 +65,7 @@ def groups(items: DataFrame, item_col: str, text_col: str, window: int) -> Itera
     yield held
 
 
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
 def automaton(found: list[tuple[str, int, int]]):
@@ -99,6 +102,7 @@ def scan(a, text: str | None) -> tuple[int, list[dict]]:
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words and hits; columns of these names are replaced."""
+    ship(docs.sparkSession)
     out = docs.drop(*[c for c in ("n_words", "hits") if c in docs.columns])
     parts = [docs.sparkSession.sparkContext.broadcast(g) for g in groups(items, item_id, item_text, window)]
     for k, part in enumerate(parts):
@@ -109,14 +113,14 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "
 def _pass(docs: DataFrame, part, text: str, first: bool) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_words", "hits")]
     schema = StructType([*(f for f in docs.schema.fields if f.name in names), *StructType.fromDDL(RESULT).fields])
-    at = names.index(text)
+    at, key = names.index(text), uuid.uuid4().hex
     kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "first", "last", "start", "stop")]))
 
     def run(batches):
-        if part.id not in _built:
+        if key not in _built:
             _built.clear()
-            _built[part.id] = automaton(part.value)
-        a = _built[part.id]
+            _built[key] = automaton(part.value)
+        a = _built[key]
         for b in batches:
             got = [scan(a, x) for x in b.column(at).to_pylist()]
             hits = [x for _, x in got]

@@ -34,6 +34,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
 from .common import new_path, written
 
 END_ID = 2
@@ -128,7 +129,7 @@ def encoder(path: str) -> Encoder:
 def open_out(path: str):
     fs, at = pa.fs.FileSystem.from_uri(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(at)
+    return fs.open_output_stream(at, compression=None)
 
 
 class Writer:
@@ -199,6 +200,7 @@ class Reader:
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the shards; returns the manifest, a table in the shared folder."""
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or new_path(spark, "tokens")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -226,6 +228,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files. The manifest has a
     row for each shard; its running sum gives each shard's first position."""
+    ship(spark)
     at, shards = 0, []
     for r in manifest.orderBy("shard").collect():
         shards.append((r["path"], at))
