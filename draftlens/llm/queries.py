@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, quality, token_store
+from . import chat, decontam, mixing, ngram_join, quality, token_store
 from .common import table
 
 SQL_SPACES = r"[ \t\n\x0B\f\r]+"
@@ -17,6 +17,10 @@ def sha(x):
     return F.sha2(x.cast("binary"), 256)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -129,6 +133,7 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from e group by conv_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_quality_rules": op3_quality_rules,
     "op6_token_store": op6_token_store,
     "op8_decontam": op8_decontam,
