@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngram_join, quality, token_store, toxicity
+from . import chat, decontam, mixing, ngram_join, pii, quality, token_store, toxicity
 from .common import table
 
 SQL_SPACES = r"[ \t\n\x0B\f\r]+"
@@ -89,6 +89,19 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, manifest)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.tag(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit())
+    rank = F.create_map(*[F.lit(x) for k, kind in enumerate(pii.KINDS) for x in (kind, k)])
+    base = F.filter("spans", lambda s: s["base"])
+
+    def listed(spans):
+        ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank[s["kind"]].alias("rank"), s["stop"], s["kind"])))
+        return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, sha(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.verdicts(decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
     ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
@@ -150,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op6_token_store": op6_token_store,
+    "op7_pii": op7_pii,
     "op8_decontam": op8_decontam,
     "op9_mixing": op9_mixing,
     "op10_chat_format": op10_chat_format,
