@@ -14,8 +14,8 @@ Documents are sets of distinct word shingles (64-bit hashes). Two link if
    that link with it share its answer: pairs inside a component are never compared, and a pair
    is skipped if the overlaps that both have with a common leader bound theirs too low:
    |x & y| <= |y & l| + |x - l|. Rounds go on, with other leaders, while lists still hold more
-   pairs of different components than PAIRS_PER_ENTRY for each entry; then all that are left
-   are compared. A family of copies thus costs pairs in proportion to its size.
+   pairs of different components than PAIRS_PER_ENTRY for each entry and a round settles
+   LEAST_GAIN of them; then all that are left are compared. A family of copies thus costs pairs in proportion to its size.
 
 Scale: shingles go through shuffles packed as arrays, in buckets whose number follows the input;
 frequent shingles skip the bucket of their list and are never gathered in one task. Sets are
@@ -49,9 +49,11 @@ PERCENT = 75
 FREQUENT = 40
 MOST_FREQUENT = 4_000_000
 BROADCAST_ROWS = 1_000_000
-BUCKET_BYTES = 48_000_000
-PAIRS_PER_ENTRY = 2
-ROUNDS = 6
+BUCKET_BYTES = 16_000_000
+PAIRS_PER_ENTRY = 8
+LEAST_GAIN = 0.05
+LEADERS = 3
+ROUNDS = 10
 
 SETS = "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"
 
@@ -85,8 +87,8 @@ def summaries(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataF
 
     def read(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                ids, texts = b.column(0).slice(lo, 2000), b.column(1).slice(lo, 2000).to_pylist()
+            for lo in range(0, b.num_rows, 500):
+                ids, texts = b.column(0).slice(lo, 500), b.column(1).slice(lo, 500).to_pylist()
                 sets = [shingle_set(t, size) for t in texts]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
@@ -158,8 +160,8 @@ def entries(nodes: DataFrame, frequent: np.ndarray, size: int, percent: int, n_b
 
     def read(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                ids, texts = b.column(0).slice(lo, 2000).to_pylist(), b.column(1).slice(lo, 2000).to_pylist()
+            for lo in range(0, b.num_rows, 500):
+                ids, texts = b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500).to_pylist()
                 rare, hot = [], []
                 for i, t in zip(ids, texts, strict=True):
                     s = shingle_set(t, size)
@@ -249,20 +251,25 @@ def _search(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     spark = lists.sparkSession
     labels = written(sets.select("node", F.col("node").alias("label")), "labels")
     done: DataFrame | None = None
-    total = lists.count()
+    total, before = lists.count(), float("inf")
     for turn in range(ROUNDS + 1):
-        named = lists.join(labels, "node")
+        named = lists.join(labels, "node") if turn else lists.withColumn("label", F.col("node"))
         per = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("g"), F.sum(F.col("k") * F.col("k")).alias("q")).filter("g * g > q")
         per = written(per, "lists")
         left = per.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2)).first()[0]
         if not left:
             break
         open_ = written(named.join(per.select("token"), "token"), "open")
-        rank = F.xxhash64(F.lit(turn), F.col("node"))
-        last = turn == ROUNDS or left <= PAIRS_PER_ENTRY * total + 100_000
+        last = turn == ROUNDS or left <= PAIRS_PER_ENTRY * total or left > (1 - LEAST_GAIN) * before
+        before = left
         x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("nx"), F.col("label").alias("la"))
         if not last:
-            x = open_.groupBy("token").agg(F.min_by(F.struct("node", "n", "label"), rank).alias("m")).select("token", F.col("m.node").alias("a"), F.col("m.n").alias("nx"), F.col("m.label").alias("la"))
+            # The set in the most open lists lies amid its family; the others are drawn by hash.
+            ranked = open_.join(open_.groupBy("node").agg(F.count(F.lit(1)).alias("in_lists")), "node")
+            ranks = [F.struct(-F.col("in_lists") if k == 0 else F.xxhash64(F.lit(turn * LEADERS + k), "node"), "node") for k in range(LEADERS)]
+            lead = ranked.groupBy("token").agg(*[F.min_by(F.struct("node", "n", "label"), r).alias(f"m{k}") for k, r in enumerate(ranks)])
+            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(LEADERS)]))).alias("m"))
+            x = lead.select("token", F.col("m.node").alias("a"), F.col("m.n").alias("nx"), F.col("m.label").alias("la"))
         y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("ny"), F.col("label").alias("lb"))
         near = (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b") if last else F.lit(True)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
         met = x.join(y, "token").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngram_join, pii, quality, token_store, toxicity
+from . import chat, decontam, html_text, lm_score, mixing, ngram_join, pii, quality, token_store, toxicity
 from .common import table
 
 SQL_SPACES = r"[ \t\n\x0B\f\r]+"
@@ -78,6 +78,18 @@ select {columns}, not base_failed and {_rules_sql()} as kept from quality_ratios
 OP3_SQL = quality_sql("documents", "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_score.score(docs, fold("doc_id", 7) != 2)
+    held = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -98,7 +110,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], rank[s["kind"]].alias("rank"), s["stop"], s["kind"])))
         return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    def count(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, sha(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
@@ -162,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_score": op4_lm_score,
+    "op5_html_text": op5_html_text,
     "op6_token_store": op6_token_store,
     "op7_pii": op7_pii,
     "op8_decontam": op8_decontam,
