@@ -53,6 +53,7 @@ BUCKET_BYTES = 16_000_000
 PAIRS_PER_ENTRY = 8
 LEAST_GAIN = 0.05
 LEADERS = 3
+FAMILY = 1500
 ROUNDS = 10
 
 SETS = "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"
@@ -219,23 +220,47 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with sizes and overlap, from the sets (node, s)."""
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-
-    def run(batches):
-        for b in batches:
-            x, y = b.column("sa"), b.column("sb")
-            xv, yv, xo, yo = x.values.to_numpy(), y.values.to_numpy(), x.offsets.to_numpy(), y.offsets.to_numpy()
-            over, na, nb = [], np.diff(xo), np.diff(yo)
-            for k in range(b.num_rows):
-                p, q = xv[xo[k] : xo[k + 1]], yv[yo[k] : yo[k + 1]]
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                over.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(over, pa.int32())], names=["a", "b", "na", "nb", "over"])
-
-    return both.mapInArrow(run, "a long, b long, na int, nb int, over int").withColumn("linked", F.expr(f"100L * over >= {percent}L * (na + nb - over)"))
+    """pairs (a, b) with sizes and overlap, from the sets (node, s).
+
+    Pairs are dealt by family (component of the pairs), so a set travels once, not once for each
+    pair; small families share a group, and a family of over FAMILY sets is dealt in square blocks
+    of at most so many sets a side.
+    """
+    pairs = written(pairs.select("a", "b"), "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = written(nodes.withColumn("label", F.col("node")), "families")
+    family = contract(nodes, pairs)
+    size = family.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    side = F.ceil(F.col("n") / FAMILY)
+    dealt = written(family.join(size, "label").select("node", "label", side.alias("side"), F.pmod(F.xxhash64("node"), side).alias("block")), "dealt")
+    groups = max(1, -(-dealt.count() // FAMILY))
+    x = dealt.select(F.col("node").alias("a"), "label", "side", F.col("block").alias("ba"))
+    y = dealt.select(F.col("node").alias("b"), F.col("block").alias("bb"))
+    small = F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(groups)).cast("string"))
+    key = F.when(F.col("side") == 1, small).otherwise(F.concat_ws("/", "label", F.least("ba", "bb"), F.greatest("ba", "bb")))
+    keyed = written(pairs.join(x, "a").join(y, "b").select(key.alias("key"), "a", "b"), "keyed")
+    wanted = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct()
+    shipped = written(wanted, "wanted").join(sets, "node").select(F.col("key").alias("to"), "node", "s")
+
+    def overlap(left: pa.Table, right: pa.Table) -> pa.Table:
+        held: dict[int, list[np.ndarray]] = {}
+        for c in zip(right["node"].chunks, right["s"].chunks, strict=True):
+            flat, at = c[1].values.to_numpy(), c[1].offsets.to_numpy()
+            for k, node in enumerate(c[0].to_pylist()):
+                held.setdefault(node, []).append(flat[at[k] : at[k + 1]])
+        out = []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
+            for p in held[a]:
+                for q in held[b]:
+                    x, y = (p, q) if len(p) <= len(q) else (q, p)
+                    at = np.searchsorted(y, x)
+                    out.append((a, b, len(p), len(q), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "na", "nb", "over"])
+
+    both = keyed.groupBy("key").cogroup(shipped.groupBy("to")).applyInArrow(lambda left, right: overlap(left, right), "a long, b long, na int, nb int, over int")
+    return both.withColumn("linked", F.expr(f"100L * over >= {percent}L * (na + nb - over)"))
 
 
 def _enough(c, nx, ny, percent: int):
