@@ -283,9 +283,9 @@ _T = r"trim(regexp_replace(regexp_replace(trim(translate(txt, '，．', ',.')),
 _NUM = r"[-+]?\d+(?:[.,]\d+)?"
 _DIM = rf"""with t as (select *, {_T} as t from inst ), b as (select *, regexp_matches(t, '\d') as has, case when regexp_matches(t, '(?i)°|º|deg') then 'angle' when regexp_matches(t, '^[Ø⌀ФфΦφø]') then 'diameter' when regexp_matches(t, '^[Rr]\s*\d') then 'radius' else 'length' end as kind from t),
 c as (select *, case when kind = 'angle' then regexp_replace(t, '(?i)(?:°|º|deg\.?)', '', 'g') when kind in ('diameter', 'radius') then substring(t, 2) else t end as body from b),
-e as (select *, instr(body, '±') as at from c), n as (select *, replace(nullif(regexp_extract(case when at > 0 then substring(body, 1, at - 1) else body end, '{_NUM}'), ''), ',', '.') as basic, replace(nullif(regexp_extract(case when at > 0 then substring(body, at + 1) end, '{_NUM}'), ''), ',', '.') as tol from e)
+e as (select *, instr(body, '±') as pos from c), n as (select *, replace(nullif(regexp_extract(case when pos > 0 then substring(body, 1, pos - 1) else body end, '{_NUM}'), ''), ',', '.') as basic, replace(nullif(regexp_extract(case when pos > 0 then substring(body, pos + 1) end, '{_NUM}'), ''), ',', '.') as tol from e)
 """
-_DIM_COLS = rf"case when has then kind end as dim_kind, case when has then coalesce(basic, case when tol is null then replace(nullif(regexp_extract(t, '{_NUM}'), ''), ',', '.') end) end as basic_size, case when has then tol end as tolerance, has and at > 0 and (basic is not null or tol is not null) as has_tolerance"
+_DIM_COLS = rf"case when has then kind end as dim_kind, case when has then coalesce(basic, case when tol is null then replace(nullif(regexp_extract(t, '{_NUM}'), ''), ',', '.') end) end as basic_size, case when has then tol end as tolerance, has and pos > 0 and (basic is not null or tol is not null) as has_tolerance"
 query("dim_parse", _DIM + f"select iid, {_DIM_COLS} from n")(lambda s, d: inst(s, d).select("iid", tx.parse_dimension(F.col("txt")).alias("p")).select("iid", "p.*"))
 query("dim_skip_overlap", _DIM + f"select iid, case when not keep_pair then basic_size end as basic_size, case when keep_pair then 'overlap' end as skipped from (select iid, keep_pair, {_DIM_COLS} from n)")(
     lambda s, d: inst(s, d).select("iid", F.when(~F.col("keep_pair"), tx.parse_dimension(F.col("txt"))["basic_size"]).alias("basic_size"), F.when(F.col("keep_pair"), "overlap").alias("skipped")))
