@@ -441,3 +441,36 @@ query("draw_list", "select drawing_id, 1 as z, case when keep_pair then 'overlap
     lambda s, d: report.draw_list(inst(s, d).filter("iid % 2 = 0"), inst(s, d).filter("iid % 9 = 0")))
 query("markdown_report", _FINDINGS + "select tb.drawing_id, '# ' || tb.drawing_id || chr(10) || coalesce(m.body, '无违规项。') as markdown from tb left join (select drawing_id, string_agg('| | ' || rule_id || ' | ' || severity || ' | ' || message, chr(10) order by rule_id) as body from f group by drawing_id) m on tb.drawing_id = m.drawing_id")(
     lambda s, d: report.markdown(model.titles(s, d).select("drawing_id"), rl.findings(model.facts(s, d), RULES)))
+
+# --- fuzzy, pixels ------------------------------------------------------------------------------
+
+
+@query("label_match_fuzzy")
+def _(spark, d):
+    from .operators import fuzzy
+
+    part = model.table(spark, d, "part").select("p_partkey", tx.normal_label(F.col("p_name")).alias("label"))
+    return part.select("p_partkey", fuzzy.match_label(F.col("label"), F.array(F.substring("label", 1, 12), F.reverse("label"))).alias("score"))
+
+
+@query("json_payload_salvage", "select event_id, '[' || props || ']' as body from (select event_id, props from events)")
+def _(spark, d):
+    from .operators import fuzzy
+
+    cut = F.concat(F.lit("["), "props", F.lit(', {"cut": '))
+    return model.table(spark, d, "events").select("event_id", fuzzy.salvaged(cut).alias("body"))
+
+
+query("ink_overlap_stats", """with c as (select drawing_id, iid, unnest(range(x1, least(x2, x1 + 12))) as x, y1, y2 from inst where iid % 4 = 0), p as (select drawing_id, iid, x, unnest(range(y1, least(y2, y1 + 12))) as y from c), k as (select * from p where (x * 7 + y * 3) % 5 <> 0), s as (select drawing_id, iid, count(*) as ink from k group by all)
+select a.drawing_id, a.iid as a, b.iid as b, count(*) as inter, count(*) / any_value(least(sa.ink, sb.ink))::double as ratio from k a join k b on a.drawing_id = b.drawing_id and a.x = b.x and a.y = b.y and a.iid < b.iid join s sa on sa.iid = a.iid join s sb on sb.iid = b.iid group by a.drawing_id, a.iid, b.iid""")(lambda s, d: _ink_pairs(inst(s, d)))
+
+
+def _ink_pairs(rows: DataFrame) -> DataFrame:
+    """Ink in common of boxes whose ink is given as pixels: a join on the pixel."""
+    up_to = lambda a, b: F.sequence(F.col(a), F.least(F.col(b), F.col(a) + 12) - 1)
+    p = rows.filter("iid % 4 = 0").withColumn("x", F.explode(up_to("x1", "x2"))).withColumn("y", F.explode(up_to("y1", "y2"))).filter("(x * 7 + y * 3) % 5 <> 0").select("drawing_id", "iid", "x", "y")
+    s = p.groupBy("drawing_id", "iid").agg(F.count(F.lit(1)).alias("ink"))
+    a, b = p.withColumnRenamed("iid", "a"), p.withColumnRenamed("iid", "b")
+    met = a.join(b, ["drawing_id", "x", "y"]).filter("a < b").groupBy("drawing_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    out = met.join(s.select("drawing_id", F.col("iid").alias("a"), F.col("ink").alias("ka")), ["drawing_id", "a"]).join(s.select("drawing_id", F.col("iid").alias("b"), F.col("ink").alias("kb")), ["drawing_id", "b"])
+    return out.select("drawing_id", "a", "b", "inter", (F.col("inter") / F.least("ka", "kb")).alias("ratio"))
