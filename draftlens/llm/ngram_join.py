@@ -274,7 +274,7 @@ def _enough(c, nx, ny, percent: int):
 def _search(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, label): the components of the nodes in the lists."""
     spark = lists.sparkSession
-    labels = written(sets.select("node", F.col("node").alias("label")), "labels")
+    labels = written(sets.select("node", F.col("node").alias("label")).distinct(), "labels")
     done: DataFrame | None = None
     total, before = lists.count(), float("inf")
     for turn in range(ROUNDS + 1):
