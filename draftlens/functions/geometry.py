@@ -9,10 +9,17 @@ least, greatest = F.least, F.greatest
 
 
 class Box:
-    """Four Columns with the usual figures."""
+    """Four Columns, or names of some, with the usual figures. Names become Columns when they are used,
+    so a box of names can be made before there is a session."""
 
     def __init__(self, x1, y1, x2, y2):
-        self.x1, self.y1, self.x2, self.y2 = (F.col(c) if isinstance(c, str) else c for c in (x1, y1, x2, y2))
+        self._sides = {"x1": x1, "y1": y1, "x2": x2, "y2": y2}
+
+    def __getattr__(self, name: str) -> Column:
+        sides = self.__dict__.get("_sides", {})
+        if name not in sides:
+            raise AttributeError(name)
+        return F.col(sides[name]) if isinstance(sides[name], str) else sides[name]
 
     @classmethod
     def of(cls, struct: Column) -> Box:
