@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
             used = [f"{n} as ({q})" for n, q in (("inst", SQL_INST), ("tb", SQL_TITLES), ("comp", SQL_COMP)) if f" {n} " in f"{sql} ".replace("\n", " ").replace(")", " ").replace(",", " ")]
             body = sql.strip()
             if used:
-                body = f"with {', '.join(used)}, " + body[5:] if body.startswith("with ") else f"with {', '.join(used)} {body}"
+                lead = next((w for w in ("with recursive ", "with ") if body.startswith(w)), "")
+                body = f"{lead}{', '.join(used)}, {body[len(lead):]}" if lead else f"with {', '.join(used)} {body}"
             SQL[name] = body
         return f
 
@@ -118,7 +119,18 @@ def _(spark, d):
     return inst(spark, d).select("iid", an.of_instance(F.when(F.col("iid") % 4 == 0, F.col("txt")), F.when(F.col("iid") % 5 == 0, (F.col("iid") % 360).cast("string")), BOX).alias("angle"))
 
 
-@query("rotate_box_back")
+def _turned_sql() -> str:
+    import math
+
+    cos, sin = (f"cast('{f(math.radians(-90))!r}' as double)" for f in (math.cos, math.sin))
+    corners = [("x1", "y1"), ("x2", "y1"), ("x2", "y2"), ("x1", "y2")]
+    xs = ", ".join(f"({x} - 700.0::double) * {cos} + ({y} - 1000.0::double) * {sin} + 1000.0::double" for x, y in corners)
+    ys = ", ".join(f"-({x} - 700.0::double) * {sin} + ({y} - 1000.0::double) * {cos} + 700.0::double" for x, y in corners)
+    return f"""with c as (select iid, {', '.join(f"cast(trunc({f}({v})) as int) as {n}" for f, v, n in (("least", xs, "a"), ("least", ys, "b"), ("greatest", xs, "c"), ("greatest", ys, "d")))} from inst ),
+e as (select *, greatest(0, least(a, 1999)) as x1, greatest(0, least(b, 1399)) as y1 from c) select iid, x1, y1, greatest(x1 + 1, least(c, 2000)) as x2, greatest(y1 + 1, least(d, 1400)) as y2 from e"""
+
+
+@query("rotate_box_back", _turned_sql())
 def _(spark, d):
     b = g.rotate_back(BOX, 90, 1400, 2000, 2000, 1400)
     return inst(spark, d).select("iid", b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2"))
@@ -246,7 +258,12 @@ select {keys}, unnest(list_transform(list_reduce(list_transform(l, lambda e: [e]
 
 query("nms", _greedy_sql("drawing_id, entity_id", f"{_KIOU} >= 0.1"))(lambda s, d: greedy.nms(inst(s, d), 0.1))
 query("dedupe_boxes", _greedy_sql("drawing_id", f"{_KIOU} >= 0.3"))(lambda s, d: greedy.dedupe(inst(s, d), 0.3))
-query("cluster_near_dup")(lambda s, d: greedy.cluster(inst(s, d)))
+_CX = lambda p, a, b: f"(({p}.{a} + {p}.{b}) / 2.0::double)"
+_IN = lambda p, q: f"({_CX(p, 'x1', 'x2')} between {q}.x1 and {q}.x2 and {_CX(p, 'y1', 'y2')} between {q}.y1 and {q}.y2)"
+_DIST = f"(({_CX('k', 'x1', 'x2')} - {_CX('x', 'x1', 'x2')}) * ({_CX('k', 'x1', 'x2')} - {_CX('x', 'x1', 'x2')}) + ({_CX('k', 'y1', 'y2')} - {_CX('x', 'y1', 'y2')}) * ({_CX('k', 'y1', 'y2')} - {_CX('x', 'y1', 'y2')}))"
+_SIZE = "((k.x2 - k.x1 + k.y2 - k.y1 + x.x2 - x.x1 + x.y2 - x.y1) / 4.0::double)"
+_TALL = "(x.y2 - x.y1 >= 1.35 * (x.x2 - x.x1) and k.y2 - k.y1 < 1.35 * (k.x2 - k.x1))"
+query("cluster_near_dup", _greedy_sql("drawing_id", f"{_KIOU} >= 0.35 or (not {_TALL} and ((({_IN('x', 'k')} or {_IN('k', 'x')}) and {_KIOU} >= 0.12) or {_DIST} < 0.2025::double * {_SIZE} * {_SIZE}))"))(lambda s, d: greedy.cluster(inst(s, d)))
 
 
 def _shifted(spark, d) -> DataFrame:
@@ -264,7 +281,11 @@ def _rollup(scores: DataFrame) -> DataFrame:
 
 query("merge_twins", "select drawing_id, cast(iid - iid % 4 as varchar) as parent, min(x1) as x1, min(y1) as y1, max(x2) as x2, max(y2) as y2, count(*) as n from inst group by drawing_id, iid - iid % 4")(
     lambda s, d: greedy.merge_twins(inst(s, d).withColumn("parent_id", F.concat((F.col("iid") - F.col("iid") % 4).cast("string"), F.when(F.col("iid") % 2 == 1, "_twin").otherwise("")))))
-query("angle_suggest_extra")(lambda s, d: greedy.extra_angles(inst(s, d).select("drawing_id", "iid", ((F.col("iid") * 13) % 181 - 90).cast("double").alias("angle"))))
+query("angle_suggest_extra", """with recursive a as (select drawing_id, iid, cast((iid * 13) % 181 - 90 as double) as angle from inst ), b as (select drawing_id, iid, cast(round_even(angle / 15, 0) * 15 as int) as bucket from a where abs(angle) between 12 and 78),
+c as (select drawing_id, -bucket as angle, row_number() over (partition by drawing_id order by count(*) desc, min(iid)) as n from b group by drawing_id, bucket having count(*) >= 2),
+w as (select drawing_id, cast(0 as bigint) as n, [0, 90, -90] as known from (select distinct drawing_id from c) union all
+select w.drawing_id, c.n, case when len(w.known) >= 7 or len(list_filter(w.known, lambda k: abs(k - c.angle) <= 7.5)) > 0 then w.known else list_append(w.known, c.angle) end from w join c on c.drawing_id = w.drawing_id and c.n = w.n + 1)
+select drawing_id, unnest(known[4:]) as angle from w qualify n = max(n) over (partition by drawing_id)""")(lambda s, d: greedy.extra_angles(inst(s, d).select("drawing_id", "iid", ((F.col("iid") * 13) % 181 - 90).cast("double").alias("angle"))))
 query("reindex_instances", "select drawing_id, iid, entity_id || '#' || (row_number() over (partition by drawing_id, entity_id order by iid) - 1) as instance_id from inst ")(lambda s, d: plans.numbered(inst(s, d)).select("drawing_id", "iid", "instance_id"))
 query("topk_components", "select drawing_id, iid, n from (select drawing_id, iid, cast(row_number() over (partition by drawing_id order by (x2 - x1) * (y2 - y1) desc, iid) as int) as n from inst ) where n <= 4")(lambda s, d: _topk(inst(s, d)))
 query("product_row_pick", "select drawing_id, arg_max(iid, y1 * 1000000 + iid) as iid from inst where txt = 'note' group by drawing_id")(lambda s, d: inst(s, d).filter("txt = 'note'").groupBy("drawing_id").agg(F.max_by("iid", F.struct("y1", "iid")).alias("iid")))
