@@ -219,12 +219,12 @@ def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def compare(pairs: DataFrame, sets: DataFrame, percent: int, only_linked: bool = False) -> DataFrame:
     """pairs (a, b) with sizes and overlap, from the sets (node, s).
 
     Pairs are dealt by family (component of the pairs), so a set travels once, not once for each
     pair; small families share a group, and a family of over FAMILY sets is dealt in square blocks
-    of at most so many sets a side.
+    of at most so many sets a side. only_linked: answers of pairs that don't link stay behind.
     """
     pairs = written(pairs.select("a", "b"), "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -254,7 +254,9 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 for q in held[b]:
                     x, y = (p, q) if len(p) <= len(q) else (q, p)
                     at = np.searchsorted(y, x)
-                    out.append((a, b, len(p), len(q), int((y[np.minimum(at, len(y) - 1)] == x).sum())))
+                    n = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    if not only_linked or 100 * n >= percent * (len(p) + len(q) - n):
+                        out.append((a, b, len(p), len(q), n))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "na", "nb", "over"])
@@ -304,7 +306,7 @@ def _search(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             met = met.join(done.select("a", "b"), ["a", "b"], "left_anti")
             if last:
                 met = _bounded(met, done, percent)
-        found = written(compare(met.select("a", "b"), sets, percent), "answers")
+        found = written(compare(met.select("a", "b"), sets, percent, only_linked=last), "answers")
         done = found if done is None else done.unionByName(found)
         labels = contract(labels, found.filter("linked").select("a", "b"))
         if last:
