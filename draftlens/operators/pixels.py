@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..ship import ship
 
@@ -84,6 +87,24 @@ def overlap_stats(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
     return both, both / low if low else 0.0
 
 
+def ink_pairs(boxes: DataFrame, inked: Callable[[Column, Column], Column]) -> DataFrame:
+    """(drawing_id, a, b, inter, ratio) of the boxes (drawing_id, iid, x1 to y2; x2 and y2 outside) of a page
+    that have ink in common: overlap_stats of all pairs, for ink given by a condition on x and y. Boxes read
+    the same page, so the ink in common is the ink of the rectangle in common, whatever the boxes' size."""
+
+    def ink_of(x1, y1, x2, y2):
+        ys = F.sequence(y1, y2 - 1)
+        column = lambda x: F.size(F.filter(ys, lambda y: inked(x, y))).cast("long")
+        return F.when((x2 > x1) & (y2 > y1), F.aggregate(F.sequence(x1, x2 - 1), F.lit(0).cast("long"), lambda n, x: n + column(x))).otherwise(F.lit(0).cast("long"))
+
+    rows = boxes.select("drawing_id", "iid", "x1", "y1", "x2", "y2").withColumn("ink", ink_of(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    a, b = (rows.select("drawing_id", *[F.col(c).alias(f"{side}_{c}") for c in ("iid", "x1", "y1", "x2", "y2", "ink")]) for side in "ab")
+    meet = (F.col("a_iid") < F.col("b_iid")) & (F.col("a_x1") < F.col("b_x2")) & (F.col("b_x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("b_y2")) & (F.col("b_y1") < F.col("a_y2"))
+    met = a.join(b, "drawing_id").filter(meet)
+    met = met.withColumn("inter", ink_of(F.greatest("a_x1", "b_x1"), F.greatest("a_y1", "b_y1"), F.least("a_x2", "b_x2"), F.least("a_y2", "b_y2"))).filter("inter > 0")
+    return met.select("drawing_id", F.col("a_iid").alias("a"), F.col("b_iid").alias("b"), "inter", (F.col("inter") / F.least("a_ink", "b_ink")).alias("ratio"))
+
+
 def box_ink(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     """(drawing_id, iid, ink, skeleton) of boxes on pages: a page's ink is found once, boxes read crops."""
     ship(pages.sparkSession)

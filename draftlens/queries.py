@@ -460,6 +460,15 @@ def _mock(spark, d) -> DataFrame:
 
 query("draw_list", "select drawing_id, 1 as z, case when keep_pair then 'overlap' else 'attribute' end as kind, x1, y1, x2, y2, case when keep_pair then '#dc1e1e' else '#1ea01e' end as color from inst where iid % 2 = 0 union all select drawing_id, 3, 'finding', x1, y1, x2, y2, '#ff0000' from inst where iid % 9 = 0")(
     lambda s, d: report.draw_list(inst(s, d).filter("iid % 2 = 0"), inst(s, d).filter("iid % 9 = 0")))
+
+
+@query("draw_list_whole")
+def _(spark, d):
+    """All boxes, and the evidence of the rules' findings; draw_list's SQL draws a part of the boxes."""
+    boxes = F.from_json("evidence_bboxes", "array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    return report.draw_list(inst(spark, d), rl.findings(model.facts(spark, d), RULES).select("drawing_id", F.inline(boxes)))
+
+
 query("markdown_report", _FINDINGS + "select tb.drawing_id, '# ' || tb.drawing_id || chr(10) || coalesce(m.body, '无违规项。') as markdown from tb left join (select drawing_id, string_agg('| | ' || rule_id || ' | ' || severity || ' | ' || message, chr(10) order by rule_id) as body from f group by drawing_id) m on tb.drawing_id = m.drawing_id")(
     lambda s, d: report.markdown(model.titles(s, d).select("drawing_id"), rl.findings(model.facts(s, d), RULES)))
 
@@ -495,3 +504,11 @@ def _ink_pairs(rows: DataFrame) -> DataFrame:
     met = a.join(b, ["drawing_id", "x", "y"]).filter("a < b").groupBy("drawing_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
     out = met.join(s.select("drawing_id", F.col("iid").alias("a"), F.col("ink").alias("ka")), ["drawing_id", "a"]).join(s.select("drawing_id", F.col("iid").alias("b"), F.col("ink").alias("kb")), ["drawing_id", "b"])
     return out.select("drawing_id", "a", "b", "inter", (F.col("inter") / F.least("ka", "kb")).alias("ratio"))
+
+
+@query("ink_overlap_stats_whole")
+def _(spark, d):
+    """All boxes at full width and height; ink_overlap_stats's SQL reads corners of a quarter of them."""
+    from .operators import pixels
+
+    return pixels.ink_pairs(inst(spark, d), lambda x, y: (x * 7 + y * 3) % 5 != 0)
