@@ -65,16 +65,14 @@ def without_lines(mask: np.ndarray, box_side: int) -> np.ndarray:
     return mask & ~runs(mask, k) & ~runs(mask.T, k).T
 
 
-def thinned(mask: np.ndarray, most: int = 64) -> np.ndarray:
-    """A morphological skeleton: what opening by a cross takes away, erosion after erosion."""
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """A morphological skeleton: what opening by a cross takes away, erosion after erosion until nothing is left."""
     def cross(a, pick):
         p = np.pad(a, 1)
         return pick.reduce([p[1:-1, 1:-1], p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]])
 
     out, now = np.zeros_like(mask), mask.copy()
-    for _ in range(most):
-        if not now.any():
-            break
+    while now.any():
         small = cross(now, np.logical_and)
         out |= now & ~cross(small, np.logical_or)
         now = small
@@ -87,6 +85,13 @@ def overlap_stats(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
     return both, both / low if low else 0.0
 
 
+def is_fused(sk: Column, junc_ps: Column, edge: Column, ips: Column, junc_thr: float, edge_thr: float, ips_max: float) -> Column:
+    """Whether ink metrics tell of glyphs run together: enough skeleton and all three thresholds met; the
+    defaults of metrics that are null are those of a crop without ink."""
+    sk, junc_ps, edge = (F.coalesce(c, F.lit(0.0)) for c in (sk, junc_ps, edge))
+    return (sk >= 55) & (junc_ps >= junc_thr) & (edge >= edge_thr) & (F.coalesce(ips, F.lit(99.0)) <= ips_max)
+
+
 def ink_pairs(boxes: DataFrame, inked: Callable[[Column, Column], Column]) -> DataFrame:
     """(drawing_id, a, b, inter, ratio) of the boxes (drawing_id, iid, x1 to y2; x2 and y2 outside) of a page
     that have ink in common: overlap_stats of all pairs, for ink given by a condition on x and y. Boxes read

@@ -45,3 +45,16 @@ def test_all_boxes_and_findings_are_drawn(spark):
     assert n["overlap"] + n["attribute"] == q.inst(spark, SF).count() and n["overlap"] and n["attribute"]
     found = rl.findings(model.facts(spark, SF), q.RULES).collect()
     assert n["finding"] == sum(r.evidence_bboxes.count("x1") for r in found) > 0
+
+
+def test_thick_ink_is_thinned_to_its_middle():
+    mask = np.zeros((211, 211), bool)
+    mask[5:206, 5:206] = True
+    assert pixels.thinned(mask)[105, 105]
+
+
+def test_fused_needs_all_thresholds(spark):
+    rows = [(55.0, 0.1, 0.2, 3.0), (54.0, 0.1, 0.2, 3.0), (55.0, 0.05, 0.2, 3.0), (55.0, 0.1, 0.1, 3.0), (55.0, 0.1, 0.2, 3.1), (55.0, 0.1, 0.2, None)]
+    df = spark.createDataFrame(rows, "sk double, junc_ps double, edge double, ips double")
+    got = df.select("*", pixels.is_fused(df.sk, df.junc_ps, df.edge, df.ips, 0.1, 0.2, 3.0).alias("fused")).collect()
+    assert [r.fused for r in got] == [True, False, False, False, False, False]
