@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
+BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local run gets a
+    folder of its own; a cluster has none that all machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="draftlens-")
@@ -31,10 +36,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later steps read it and never recompute df."""
+    """df as a Parquet table in the shared folder: later steps read it and never recompute df.
+    forget() removes it after its last reader has run."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that written() made."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def few(df: DataFrame) -> bool:
+    """Whether a table is small enough for a broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if few(df) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

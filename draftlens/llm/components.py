@@ -5,31 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
-def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) with linked labels merged to their smallest.
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every end of the links (u, v): label is the same all over a component.
 
-    links: (a, b) of nodes. Each step maps links to labels, lets every label take its smallest
-    neighbour, follows those pointers to their ends and drops links inside one label. Links never
-    leave the executors; a step is written to the shared folder, so none is computed twice.
+    Each step lets every label take its smallest neighbour, follows those pointers to their ends
+    and drops links inside one label. Links never leave the executors; a step is written to the
+    shared folder, so none is computed twice, and goes when the next one stands.
     """
-    at = lambda side, name: labels.select(F.col("node").alias(side), F.col("label").alias(name))
-    edges = links.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v").filter("u != v")
-    edges = written(edges.distinct(), "edges")
+    edges = written(links.filter("u != v").distinct(), "edges")
+    labels = written(links.select(F.col("u").alias("node")).union(links.select("v")).distinct().withColumn("label", F.col("node")), "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
-        up = both.groupBy("u").agg(F.min("v").alias("p")).filter("p < u")
-        up = written(up, "pointers")
+        up = written(both.groupBy("u").agg(F.min("v").alias("p")).filter("p < u"), "pointers")
         while True:
             far = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-            jumped = written(up.join(far, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "pointers")
-            up = jumped.select("u", "p")
+            further = up.select(F.col("u").alias("q"), F.col("p").alias("r"))
+            stepped = up.join(far, "p", "left").join(further, "q", "left")
+            jumped = written(stepped.select("u", F.coalesce("r", "q", "p").alias("p"), F.col("r").isNotNull().alias("moved")), "pointers")
+            forget(up)
+            up = jumped
             if jumped.filter("moved").isEmpty():
                 break
-        labels = written(labels.join(up.select(F.col("u").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
+        moved = written(labels.join(up.select(F.col("u").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label")), "labels")
         u, v = up.select("u", F.col("p").alias("pu")), up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        edges = edges.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v")).filter("u != v")
-        edges = written(edges.distinct(), "edges")
+        left = edges.join(u, "u", "left").join(v, "v", "left").select(F.coalesce("pu", "u").alias("u"), F.coalesce("pv", "v").alias("v")).filter("u != v")
+        left = written(left.distinct(), "edges")
+        forget(labels, edges, up)
+        labels, edges = moved, left
+    forget(edges)
     return labels

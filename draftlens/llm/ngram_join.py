@@ -1,62 +1,64 @@
 """N-gram Jaccard join with set-relation skipping.
 
 Documents are sets of distinct word shingles (64-bit hashes). Two link if
-100 * intersection >= percent * union. All links' components come out, exactly:
-
-1. Equal sets collapse to one node, by a 128-bit fingerprint.
-2. Shingles have one global order: those in many documents last, others by hash. A set of n
-   needs only its first n - ceil(percent/100 * n) + 1 in an index list: linked sets meet there.
-   Lists with one entry go away.
-3. Index-level skipping: entries carry set size and position; sets out of each other's size
-   range, or which share too few of their indexed shingles to reach the overlap in what
-   positions are left, are skipped without being read.
-4. Answer-level skipping: in each list one leader per round is compared with the others. Sets
-   that link with it share its answer: pairs inside a component are never compared, and a pair
-   is skipped if the overlaps that both have with a common leader bound theirs too low:
-   |x & y| <= |y & l| + |x - l|. Rounds go on, with other leaders, while lists still hold more
-   pairs of different components than PAIRS_PER_ENTRY for each entry and a round settles
-   LEAST_GAIN of them; then all that are left are compared. A family of copies thus costs pairs in proportion to its size.
-
-Scale: shingles go through shuffles packed as arrays, in buckets whose number follows the input;
-frequent shingles skip the bucket of their list and are never gathered in one task. Sets are
-joined only for documents in some list. The set of frequent shingles (FREQUENT or more lists
-entries) is broadcast up to MOST_FREQUENT; beyond that the threshold doubles, which costs pairs
-but loses none, as any order is right. Id tables are broadcast up to BROADCAST_ROWS.
+100 * intersection >= percent * union. The result is exact:
+
+1. Equal sets collapse to one class, by a 128-bit fingerprint, with its number of rows.
+2. Shingles have one global order: frequent ones last, rarer before more frequent; others by hash.
+   A set of n needs only its first n - ceil(percent/100 * n) + 1 in an index: linked sets meet there.
+3. Index-level skipping: an entry holds its set's size and its position there. A list is sorted in
+   blocks of one size, each by position. A set skips the blocks out of its size range, and within a
+   block the entries too far from its own position for the overlap (what precedes, the shingle, what
+   follows). A pair that shares too few indexed shingles for the overlap goes too.
+4. Lists of frequent shingles (FREQUENT or more sets, or MOST_LISTED entries) make no pairs: their
+   sets are tied to the list instead. Pairs and ties make families; linked sets share one.
+5. Answer-level skipping: a family's sets, in blocks of bounded size, are compared through an index
+   of the block. A leader's answer is its overlap with every set, read from the lists of all its
+   shingles; the answer of a set that is highly similar to a leader is derived from the leader's:
+   the lists of the shingles it lacks are taken off, those of the shingles it adds are put on, all
+   others are skipped.
+
+Scale: shingles go through shuffles packed as arrays, in buckets whose number follows the input; ties
+are merged in each task before they are shuffled. Large families are dealt in blocks by size range
+and hash, and only blocks whose size ranges can meet are brought together, so no task holds more
+than two blocks of BLOCK shingles, and a set's number of links is a sum over its blocks. The table
+of frequent shingles is broadcast up to MOST_FREQUENT; beyond that the threshold doubles: any
+order is right. Id tables are broadcast up to BROADCAST_ROWS, else joined by shuffle. Intermediate
+tables go after their last reader.
 
 A 64-bit hash stands for a shingle: in a pair of sets with 10^4 shingles each, the chance that
 a collision changes the intersection is below 10^-11.
 
 Defined results: a document without words, or with a null text, has no shingles and links with
-nothing. Rows that repeat doc_id and text get the same result each; texts that share a doc_id
-count as linked. A null doc_id is the smallest id. Extra columns are dropped.
+nothing. Every row is a document of its own: rows that repeat a doc_id and text link with each other,
+rows that share a doc_id with different texts only if these link. A null doc_id is the smallest id.
+An empty table gives no rows. Extra columns are dropped by join() and kept by first_of_each().
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import written
-from .components import contract
+from .common import few, forget, small, written
+from .components import components
 from .shingles import SIZE, shingle_set
 
 PERCENT = 75
 FREQUENT = 40
+MOST_LISTED = 48
 MOST_FREQUENT = 4_000_000
-BROADCAST_ROWS = 1_000_000
 BUCKET_BYTES = 16_000_000
-PAIRS_PER_ENTRY = 8
-LEAST_GAIN = 0.05
-LEADERS = 3
-FAMILY = 1500
-ROUNDS = 10
-
-SETS = "doc_id long, n int, f1 long, f2 long, bucket int, blob binary"
+HELD = 1_500_000  # shingles that a task gathers before it sends them
+BLOCK = 2_500_000  # weight of one side of a block: a set weighs its shingles, LEAST_WEIGHT at least
+LEAST_WEIGHT = 1250
+_U = np.uint64
 
 
 def prefix_length(n, percent: int = PERCENT):
@@ -64,306 +66,462 @@ def prefix_length(n, percent: int = PERCENT):
     return n - -(-n * percent // 100) + 1
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def fingerprint(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
 
+def _halves(prints: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+    return f[:, 0].copy(), f[:, 1].copy()
 
-def _packed(bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, the columns' bytes one after the other) for each bucket that has rows."""
+
+def _dealt(bucket: np.ndarray, columns: list[np.ndarray], n_buckets: int):
+    """(bucket, the columns' rows in it) for each bucket that has rows."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     columns = [c[order] for c in columns]
-    return [(i, b"".join(c[a:b].tobytes() for c in columns)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    return [(i, [c[a:b] for c in columns]) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
 
-def _buckets(docs: DataFrame, text: str) -> int:
+def _buckets(docs: DataFrame) -> int:
     """A number of buckets in proportion to the text."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(1, -(-size // BUCKET_BYTES))
 
 
+def _slices(b: pa.RecordBatch, rows: int = 500):
+    for lo in range(0, b.num_rows, rows):
+        yield b.slice(lo, rows)
+
+
 def summaries(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataFrame:
-    """Rows of documents (doc_id, n, fingerprint) and of frequent shingles (f1: the shingle, n: in
-    how many sets), as one table: one reading of the texts serves both."""
+    """Rows of documents (their own columns but text, n, fingerprint f1, f2) and of frequent shingles
+    (f1: the shingle, n: in how many rows; bucket -1), as one table: one reading of the texts serves both."""
+    keys = [f for f in docs.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "n int", "f1 long", "f2 long", "bucket int", "blob binary"])
+    names = [*(f.name for f in keys), "n", "f1", "f2", "bucket", "blob"]
+    at = docs.columns.index("text")
 
     def read(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                ids, texts = b.column(0).slice(lo, 500), b.column(1).slice(lo, 500).to_pylist()
-                sets = [shingle_set(t, size) for t in texts]
-                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-                ns = np.array([len(s) for s in sets], np.int32)
+        held, size_held, blank = [], 0, None
+
+        def counts():
+            token, count = np.unique(np.concatenate(held), return_counts=True)
+            rows = _dealt((token % _U(n_buckets)).astype(np.int32), [token, count.astype(np.uint32)], n_buckets)
+            blobs = [len(t).to_bytes(8, "little") + t.tobytes() + zlib.compress(c.tobytes(), 1) for _, (t, c) in rows]
+            m = len(rows)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in blank), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([i for i, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], names=names)
+
+        seen = 0
+        for whole in batches:
+            for b in _slices(whole):
+                own = [b.column(k) for k in range(b.num_columns) if k != at]
+                blank = [c.type for c in own]
+                sets = [shingle_set(t, size) for t in b.column(at).to_pylist()]
                 # Twice the prefix is counted, as frequent shingles leave it to others.
-                low = np.concatenate([s[: 2 * prefix_length(len(s), percent)] for s in sets if len(s)] or [np.zeros(0, np.uint64)])
-                token, count = np.unique(low, return_counts=True)
-                blobs = _packed((token % np.uint64(n_buckets)).astype(np.int32), [token, count.astype(np.uint32)], n_buckets)
-                n, m = len(ns), len(blobs)
-                none = lambda k, t: pa.nulls(k, t)
-                # Row by row, so that no bucket number is wasted on documents: these are dealt by fingerprint.
-                yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([ids.cast(pa.int64()), none(m, pa.int64())]), pa.concat_arrays([pa.array(ns), none(m, pa.int32())]),
-                    pa.concat_arrays([pa.array(f[:, 0]), none(m, pa.int64())]), pa.concat_arrays([pa.array(f[:, 1]), none(m, pa.int64())]),
-                    pa.concat_arrays([pa.array((f[:, 0] % n_buckets).astype(np.int32)), pa.array([i for i, _ in blobs], pa.int32())]),
-                    pa.concat_arrays([none(n, pa.binary()), pa.array([x for _, x in blobs], pa.binary())]),
-                ], names=["doc_id", "n", "f1", "f2", "bucket", "blob"])
+                low = [s[: 2 * prefix_length(len(s), percent)] for s in sets if len(s)]
+                held += low
+                size_held += sum(map(len, low))
+                m = b.num_rows
+                f1, f2 = _halves([fingerprint(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int32()), pa.array(f1), pa.array(f2), pa.array(((seen + np.arange(m)) % n_buckets).astype(np.int32)), pa.nulls(m, pa.binary())], names=names)
+                seen += m
+                if size_held > HELD:
+                    yield counts()
+                    held, size_held = [], 0
+        if held:
+            yield counts()
 
     def count(batches):
         """Passes documents on; sums each bucket's shingle counts in runs that merge as they grow."""
         held: dict[int, list] = {}
 
         def merged(parts):
-            token = np.concatenate([p[0] for p in parts])
-            token, at = np.unique(token, return_inverse=True)
-            return token, np.bincount(at, np.concatenate([p[1] for p in parts]), len(token)).astype(np.int64)
+            token, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(token)
+            token, n = token[order], n[order]
+            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            return token[edge], np.add.reduceat(n, edge)
 
+        blank = None
         for b in batches:
             blob = b.column("blob")
+            blank = [b.column(k).type for k in range(len(keys))]
             doc = b.filter(pa.compute.is_null(blob))
             if doc.num_rows:
                 yield doc
             rows = b.filter(pa.compute.is_valid(blob))
             for i, x in zip(rows.column("bucket").to_pylist(), rows.column("blob").to_pylist(), strict=True):
-                k = len(x) // 12
+                k = int.from_bytes(x[:8], "little")
                 parts = held.setdefault(i, [])
-                parts.append((np.frombuffer(x, np.uint64, k), np.frombuffer(x, np.uint32, k, 8 * k)))
-                if len(parts) > 64:
+                parts.append((np.frombuffer(x, np.uint64, k, 8), np.frombuffer(zlib.decompress(x[8 + 8 * k :]), np.uint32).astype(np.int64)))
+                if len(parts) > 24:
                     held[i] = [merged(parts)]
         for parts in held.values():
             token, n = merged(parts)
-            keep = n >= FREQUENT
-            token, n = token[keep], n[keep]
+            often = n >= FREQUENT
+            token, n = token[often], n[often]
             k = len(token)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(np.minimum(n, 2**31 - 1).astype(np.int32)), pa.array(_signed(token)), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=["doc_id", "n", "f1", "f2", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in blank), pa.array(np.minimum(n, 2**31 - 1).astype(np.int32)), pa.array(token.view(np.int64)), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=names)
 
-    return docs.mapInArrow(read, SETS).repartition(n_buckets, "bucket").mapInArrow(count, SETS)
+    return docs.mapInArrow(read, schema).repartition(n_buckets, "bucket").mapInArrow(count, schema).drop("blob")
 
 
-def _frequent(found: DataFrame) -> np.ndarray:
-    """The frequent shingles, sorted; with the least count doubled until they are few enough."""
+def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles, sorted, and each one's place in the order by frequency; with the least
+    count doubled until they are few enough."""
     least = FREQUENT
     while found.filter(F.col("n") >= least).count() > MOST_FREQUENT:
         least *= 2
-    rows = found.filter(F.col("n") >= least).select("f1").toPandas()["f1"].to_numpy(np.int64)
-    return np.sort(rows.view(np.uint64))
-
-
-def ordered(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
-    """A sorted set with its frequent shingles moved to the end; how many aren't frequent."""
-    at = np.searchsorted(frequent, s)
-    hot = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == s) if len(frequent) else np.zeros(len(s), bool)
-    return np.concatenate([s[~hot], s[hot]]), int((~hot).sum())
-
-
-def entries(nodes: DataFrame, frequent: np.ndarray, size: int, percent: int, n_buckets: int) -> DataFrame:
-    """The index entries (token, node, n) of lists that may have more than one. nodes: doc_id, text."""
-    held = nodes.sparkSession.sparkContext.broadcast(frequent)
+    rows = found.filter(F.col("n") >= least).select("f1", "n").toPandas()
+    token, n = rows["f1"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    token, n = token[order], n[order]
+    rank = np.empty(len(token), np.int32)
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    return token, rank
+
+
+def ordered(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """A sorted set with its frequent shingles moved to the end, rarer ones first; how many aren't frequent."""
+    token, rank = frequent
+    if not len(token):
+        return s, len(s)
+    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+    hot = token[at] == s
+    if not hot.any():
+        return s, len(s)
+    late = s[hot][np.argsort(rank[at[hot]])]
+    return np.concatenate([s[~hot], late]), len(s) - len(late)
+
+
+def needed(nx, ny, percent: int):
+    """The least intersection of linked sets of these sizes."""
+    return -(-percent * (nx + ny) // (100 + percent))
+
+
+def list_pairs(token: np.ndarray, n: np.ndarray, pos: np.ndarray, node: np.ndarray, percent: int):
+    """Pairs (a, b, shared, least) from the entries of a bucket's lists, and ties (a, b, 1, 0) from
+    long ones. least: how many indexed shingles a pair must share to reach the overlap.
+
+    A list is in blocks of one size, each by position. Partner after partner is tried for all
+    entries at once: an entry out of a partner's size range is done with the list.
+    """
+    order = np.argsort(token, kind="stable")
+    t = token[order]
+    same = t[1:] == t[:-1]
+    order = order[np.append(same, False) | np.append(False, same)]
+    order = order[np.lexsort((node[order], pos[order], n[order], token[order]))]
+    token, n, pos, node = token[order], n[order].astype(np.int64), pos[order].astype(np.int64), node[order]
+    fresh = np.ones(len(token), bool)  # a set that a repeated row brought twice stays once
+    fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, n, pos, node = token[fresh], n[fresh], pos[fresh], node[fresh]
+    if not len(token):
+        return
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(first, len(token)))
+    long = np.repeat(size > MOST_LISTED, size)
+    if long.any():
+        head = np.repeat(node[first], size)
+        tied = np.unique(np.stack([head[long], node[long]]), axis=1)
+        yield tied[0], tied[1], np.ones(tied.shape[1], np.int64), np.zeros(tied.shape[1], np.int64)
+    end = np.repeat(first + size, size)
+    end[long] = 0
+    live = np.arange(len(token))
+    held, total = [], 0
+    for d in range(1, MOST_LISTED):
+        live = live[live + d < end[live]]
+        x, y = live, live + d
+        inside = 100 * n[x] >= percent * n[y]
+        live = live[inside]  # sizes rise: what follows is out of range too
+        x, y = x[inside], y[inside]
+        if not len(x):
+            break
+        need = needed(n[x], n[y], percent)
+        near = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need
+        x, y, need = x[near], y[near], need[near]
+        held.append((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), need - (-(-percent * n[y] // 100) - 1)))
+        total += len(x)
+        if total > 1_500_000:
+            yield _counted(held)
+            held, total = [], 0
+    if held:
+        yield _counted(held)
+
+
+def _counted(held):
+    a, b, least = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    edge = np.flatnonzero(np.append(np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[edge], b[edge], np.diff(np.append(edge, len(a))), least[edge]
+
+
+def _ties(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what the (shingle, set) pairs connect, few of them: a shingle's first set
+    stands for it, each set has one link for each distinct such set, and each shingle one."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    first = np.append(True, token[1:] != token[:-1])
+    head = np.repeat(node[first], np.diff(np.append(np.flatnonzero(first), len(token))))
+    pairs = np.unique(np.stack([head, node]), axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    return np.concatenate([pairs[0], node[first]]), np.concatenate([pairs[1], token[first].view(np.int64)])
+
+
+def candidates(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int, n_buckets: int) -> DataFrame:
+    """(u, v): links whose components hold all linked sets together. A set is the first half of its
+    fingerprint, which at worst puts two sets in one family; a frequent shingle stands for itself."""
+    held_frequent = texts.sparkSession.sparkContext.broadcast(frequent)
+    kinds = [("bucket", pa.int32()), ("blob", pa.binary()), ("u", pa.int64()), ("v", pa.int64())]
+
+    def rows(bucket, blob=None, u=None, v=None):
+        k = len(bucket)
+        cols = [bucket, blob, u, v]
+        return pa.RecordBatch.from_arrays([pa.nulls(k, t) if c is None else pa.array(c, t) for c, (_, t) in zip(cols, kinds, strict=True)], names=[x for x, _ in kinds])
 
     def read(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                ids, texts = b.column(0).slice(lo, 500).to_pylist(), b.column(1).slice(lo, 500).to_pylist()
-                rare, hot = [], []
-                for i, t in zip(ids, texts, strict=True):
-                    s = shingle_set(t, size)
-                    if len(s):
-                        order, cold = ordered(s, held.value)
-                        p = prefix_length(len(s), percent)
-                        rare.append((order[: min(p, cold)], i, len(s)))
-                        hot.append((order[cold : max(p, cold)], i, len(s)))
-                cols = lambda x: [np.concatenate([r[0] for r in x] or [np.zeros(0, np.uint64)]), np.repeat(np.array([r[1] for r in x], np.int64), [len(r[0]) for r in x]), np.repeat(np.array([r[2] for r in x], np.int32), [len(r[0]) for r in x])]
-                token, node, n = cols(rare)
-                blobs = _packed((token % np.uint64(n_buckets)).astype(np.int32), [token, node, n], n_buckets)
-                yield _rows([i for i, _ in blobs], [x for _, x in blobs])
-                token, node, n = cols(hot)
-                for a in range(0, len(token), 4000):
-                    # Known to be shared: dealt over all buckets, whichever their list.
-                    c = slice(a, a + 4000)
-                    yield _rows([(a // 4000 + lo + len(ids)) % n_buckets], [b"hot" + token[c].tobytes() + node[c].tobytes() + n[c].tobytes()])
-
-    def _rows(bucket, blob):
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "blob"])
-
-    def unpacked(x):
-        k = len(x) // 20
-        return np.frombuffer(x, np.uint64, k), np.frombuffer(x, np.int64, k, 8 * k), np.frombuffer(x, np.int32, k, 16 * k)
-
-    def out(token, node, n):
-        for a in range(0, len(token), 100_000):
-            c = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(token[c])), pa.array(node[c]), pa.array(n[c])], names=["token", "node", "n"])
+        rare, hot, total = [], [], 0
+
+        def sent():
+            token, node, n, pos = (np.concatenate(c) for c in zip(*rare, strict=True))
+            parts = _dealt((token % _U(n_buckets)).astype(np.int32), [token, node, n, pos], n_buckets)
+            if parts:
+                yield rows([i for i, _ in parts], [len(t).to_bytes(8, "little") + t.tobytes() + f.tobytes() + zlib.compress(m.tobytes() + p.tobytes(), 1) for _, (t, f, m, p) in parts])
+            token, node = (np.concatenate(c) for c in zip(*hot, strict=True))
+            if len(token):
+                u, v = _ties(token, node)
+                yield rows(((u ^ v) % n_buckets).astype(np.int32), None, u, v)
+
+        for whole in batches:
+            for b in _slices(whole):
+                for text in b.column(0).to_pylist():
+                    s = shingle_set(text, size)
+                    if not len(s):
+                        continue
+                    order, cold = ordered(s, held_frequent.value)
+                    p, node = prefix_length(len(s), percent), int.from_bytes(fingerprint(s)[:8], "little", signed=True)
+                    k = min(p, cold)
+                    rare.append((order[:k], np.full(k, node, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32)))
+                    hot.append((order[cold : max(p, cold)], np.full(max(p - cold, 0), node, np.int64)))
+                    total += p
+                if total > HELD:
+                    yield from sent()
+                    rare, hot, total = [], [], 0
+        if rare:
+            yield from sent()
 
     def lists(batches):
         held: dict[int, list] = {}
+        out = lambda u, v, c, least: pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(c.astype(np.int32)), pa.array(least.astype(np.int32))], names=["u", "v", "c", "least"])
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if x[:3] == b"hot" and len(x) % 20 == 3:
-                    yield from out(*unpacked(x[3:]))
-                else:
-                    held.setdefault(i, []).append(x)
-        for parts in held.values():
-            token, node, n = (np.concatenate(c) for c in zip(*map(unpacked, parts), strict=True))
-            order = np.argsort(token, kind="stable")
-            token = token[order]
-            same = token[1:] == token[:-1]
-            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            order = order[shared]
-            yield from out(token[shared], node[order], n[order])
-
-    return nodes.mapInArrow(read, "bucket int, blob binary").repartition(n_buckets, "bucket").mapInArrow(lists, "token long, node long, n int")
-
-
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the ids, by broadcast if these are few."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
-
-
-def compare(pairs: DataFrame, sets: DataFrame, percent: int, only_linked: bool = False) -> DataFrame:
-    """pairs (a, b) with sizes and overlap, from the sets (node, s).
-
-    Pairs are dealt by family (component of the pairs), so a set travels once, not once for each
-    pair; small families share a group, and a family of over FAMILY sets is dealt in square blocks
-    of at most so many sets a side. only_linked: answers of pairs that don't link stay behind.
+            tie = b.filter(pa.compute.is_null(b.column("blob")))
+            if tie.num_rows:
+                one = np.ones(tie.num_rows, np.int32)
+                yield out(tie.column("u").to_numpy(), tie.column("v").to_numpy(), one, one * 0)
+            packed = b.filter(pa.compute.is_valid(b.column("blob")))
+            for i, x in zip(packed.column("bucket").to_pylist(), packed.column("blob").to_pylist(), strict=True):
+                held.setdefault(i, []).append(x)
+        for i in sorted(held):
+            cols = []
+            for x in held.pop(i):
+                k = int.from_bytes(x[:8], "little")
+                rest = np.frombuffer(zlib.decompress(x[8 + 16 * k :]), np.int32)
+                cols.append((np.frombuffer(x, np.uint64, k, 8), np.frombuffer(x, np.int64, k, 8 + 8 * k), rest[:k], rest[k:]))
+            token, node, n, pos = (np.concatenate(c) for c in zip(*cols, strict=True))
+            del cols
+            for u, v, c, least in list_pairs(token, n, pos, node, percent):
+                for lo in range(0, len(u), 100_000):
+                    p = slice(lo, lo + 100_000)
+                    yield out(u[p], v[p], c[p], least[p])
+
+    met = texts.mapInArrow(read, "bucket int, blob binary, u long, v long").repartition(n_buckets, "bucket").mapInArrow(lists, "u long, v long, c int, least int")
+    return met.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("least").alias("least")).filter("c >= least").select("u", "v")
+
+
+class Block:
+    """An index of a block's sets, and the answers read from it or derived.
+
+    sets: sorted shingles, distinct sets; own: the sets to find links for; other: the sets to link with.
     """
-    pairs = written(pairs.select("a", "b"), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    nodes = written(nodes.withColumn("label", F.col("node")), "families")
-    family = contract(nodes, pairs)
-    size = family.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    side = F.ceil(F.col("n") / FAMILY)
-    dealt = written(family.join(size, "label").select("node", "label", side.alias("side"), F.pmod(F.xxhash64("node"), side).alias("block")), "dealt")
-    groups = max(1, -(-dealt.count() // FAMILY))
-    x = dealt.select(F.col("node").alias("a"), "label", "side", F.col("block").alias("ba"))
-    y = dealt.select(F.col("node").alias("b"), F.col("block").alias("bb"))
-    small = F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(groups)).cast("string"))
-    key = F.when(F.col("side") == 1, small).otherwise(F.concat_ws("/", "label", F.least("ba", "bb"), F.greatest("ba", "bb")))
-    keyed = written(pairs.join(x, "a").join(y, "b").select(key.alias("key"), "a", "b"), "keyed")
-    wanted = keyed.select("key", F.col("a").alias("node")).union(keyed.select("key", "b")).distinct()
-    shipped = written(wanted, "wanted").join(sets, "node").select(F.col("key").alias("to"), "node", "s")
-
-    def overlap(left: pa.Table, right: pa.Table) -> pa.Table:
-        held: dict[int, list[np.ndarray]] = {}
-        for c in zip(right["node"].chunks, right["s"].chunks, strict=True):
-            flat, at = c[1].values.to_numpy(), c[1].offsets.to_numpy()
-            for k, node in enumerate(c[0].to_pylist()):
-                held.setdefault(node, []).append(flat[at[k] : at[k + 1]])
-        out = []
-        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
-            for p in held[a]:
-                for q in held[b]:
-                    x, y = (p, q) if len(p) <= len(q) else (q, p)
-                    at = np.searchsorted(y, x)
-                    n = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    if not only_linked or 100 * n >= percent * (len(p) + len(q) - n):
-                        out.append((a, b, len(p), len(q), n))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["a", "b", "na", "nb", "over"])
-
-    both = keyed.groupBy("key").cogroup(shipped.groupBy("to")).applyInArrow(lambda left, right: overlap(left, right), "a long, b long, na int, nb int, over int")
-    return both.withColumn("linked", F.expr(f"100L * over >= {percent}L * (na + nb - over)"))
-
-
-def _enough(c, nx, ny, percent: int):
-    """Whether sets sharing c of their indexed shingles may link: what follows the index entries adds
-    at most the larger set's rest, and the size range must fit."""
-    need = F.ceil(F.lit(percent) * (nx + ny) / (100 + percent))
-    rest = F.ceil(F.lit(percent) * F.greatest(nx, ny) / 100) - 1
-    return (c + rest >= need) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-
-
-def _search(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, label): the components of the nodes in the lists."""
-    spark = lists.sparkSession
-    labels = written(sets.select("node", F.col("node").alias("label")).distinct(), "labels")
-    done: DataFrame | None = None
-    total, before = lists.count(), float("inf")
-    for turn in range(ROUNDS + 1):
-        named = lists.join(labels, "node") if turn else lists.withColumn("label", F.col("node"))
-        per = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("g"), F.sum(F.col("k") * F.col("k")).alias("q")).filter("g * g > q")
-        per = written(per, "lists")
-        left = per.agg(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2)).first()[0]
-        if not left:
-            break
-        open_ = written(named.join(per.select("token"), "token"), "open")
-        last = turn == ROUNDS or left <= PAIRS_PER_ENTRY * total or left > (1 - LEAST_GAIN) * before
-        before = left
-        x = open_.select("token", F.col("node").alias("a"), F.col("n").alias("nx"), F.col("label").alias("la"))
-        if not last:
-            # The set in the most open lists lies amid its family; the others are drawn by hash.
-            ranked = open_.join(open_.groupBy("node").agg(F.count(F.lit(1)).alias("in_lists")), "node")
-            ranks = [F.struct(-F.col("in_lists") if k == 0 else F.xxhash64(F.lit(turn * LEADERS + k), "node"), "node") for k in range(LEADERS)]
-            lead = ranked.groupBy("token").agg(*[F.min_by(F.struct("node", "n", "label"), r).alias(f"m{k}") for k, r in enumerate(ranks)])
-            lead = lead.select("token", F.explode(F.array_distinct(F.array(*[f"m{k}" for k in range(LEADERS)]))).alias("m"))
-            x = lead.select("token", F.col("m.node").alias("a"), F.col("m.n").alias("nx"), F.col("m.label").alias("la"))
-        y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("ny"), F.col("label").alias("lb"))
-        near = (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b") if last else F.lit(True)) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-        met = x.join(y, "token").filter(near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-        met = met.filter(_enough(F.col("c"), F.col("nx"), F.col("ny"), percent))
-        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "nx", "ny").dropDuplicates(["a", "b"])
-        if done is not None:
-            met = met.join(done.select("a", "b"), ["a", "b"], "left_anti")
-            if last:
-                met = _bounded(met, done, percent)
-        found = written(compare(met.select("a", "b"), sets, percent, only_linked=last), "answers")
-        done = found if done is None else done.unionByName(found)
-        labels = contract(labels, found.filter("linked").select("a", "b"))
-        if last:
-            break
-    return labels
 
-
-def _bounded(pairs: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose answers with a common leader bound their overlap too low."""
-    known = done.select(F.col("a").alias("x"), F.col("b").alias("l"), F.col("na").alias("n"), "over").union(done.select("b", "a", "nb", "over"))
-    # The answer with the largest overlap for each set and leader count: one bound is enough.
-    best = known.groupBy("x").agg(F.max_by(F.struct("l", "n", "over"), F.col("over")).alias("m")).select("x", "m.*")
-    a = best.select(F.col("x").alias("a"), "l", F.col("n").alias("na"), F.col("over").alias("oa"))
-    b = known.select(F.col("x").alias("b"), "l", F.col("n").alias("nb"), F.col("over").alias("ob"))
-    most = F.least(F.col("ob") + F.col("na") - F.col("oa"), F.col("oa") + F.col("nb") - F.col("ob"))
-    out = pairs.join(a, "a", "left").join(b, ["b", "l"], "left")
-    need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
-    return out.filter(F.coalesce(most >= need, F.lit(True))).select("a", "b", "nx", "ny").dropDuplicates(["a", "b"])
-
-
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
-    ship(spark)
-    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"))
-    n_buckets = _buckets(docs, "text")
+    def __init__(self, sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, other: np.ndarray, percent: int = PERCENT):
+        self.n, self.copies, self.other, self.percent = np.array([len(s) for s in sets], np.int64), copies, other, percent
+        token, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = count > 1  # the others are in no answer
+        name = np.cumsum(shared) - 1
+        owner = np.repeat(np.arange(len(sets)), self.n)
+        keep = shared[at]
+        at, owner = name[at[keep]], owner[keep]
+        cuts = np.searchsorted(owner, np.arange(len(sets) + 1))
+        self.sets = [at[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        order = np.argsort(at, kind="stable")
+        self.posted, self.start = owner[order], np.append(0, np.cumsum(count[shared]))
+        self.mark = np.zeros(len(self.start), bool)
+        self.own = own
+        self.derived = 0  # answers that weren't read from all lists
+
+    def scan(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set has."""
+        lo = self.start[tokens]
+        size = self.start[tokens + 1] - lo
+        at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+        return np.bincount(self.posted[at], minlength=len(self.sets))
+
+    def lacking(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The shingles of x that y lacks."""
+        self.mark[y] = True
+        out = x[~self.mark[x]]
+        self.mark[y] = False
+        return out
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of rows that each set links with, and a smallest set of its component here."""
+        f = len(self.sets)
+        number, label = np.zeros(f, np.int64), np.arange(f)
+        most, leader, answers = np.zeros(f, np.int64), np.full(f, -1), {}
+        for y in np.flatnonzero(self.own)[np.argsort(self.n[self.own], kind="stable")].tolist():
+            mine, l = self.sets[y], int(leader[y])  # noqa: E741
+            if l >= 0 and len(mine) + len(self.sets[l]) - 2 * most[y] < len(mine):
+                over = answers[l] - self.scan(self.lacking(self.sets[l], mine)) + self.scan(self.lacking(mine, self.sets[l]))
+                self.derived += 1
+            else:
+                over = self.scan(mine)
+                answers[y] = over.astype(np.int32)
+                nearer = over > most
+                most[nearer], leader[nearer] = over[nearer], y
+            hit = (100 * over >= self.percent * (self.n[y] + self.n - over)) & self.other & (over > 0)
+            hit[y] = False
+            hits = np.flatnonzero(hit)
+            if len(hits):
+                number[y] += self.copies[hits].sum()
+                if not self.other[y]:
+                    number[hits] += self.copies[y]
+                joined = np.unique(np.append(label[hits], label[y]))
+                if len(joined) > 1:
+                    label[np.isin(label, joined)] = joined[0]
+        return number, label
+
+
+def compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(f1, f2, links, r1, r2): for sets that have links in a block, how many rows they link with there
+    and a set of their component. members: f1, f2, n, copies, label (the family); sets: f1, f2, s."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    weighed = members.select("f1", "f2", "n", "copies", "label", band.alias("band"), F.greatest("n", F.lit(LEAST_WEIGHT)).cast("long").alias("w"))
+    sides = weighed.groupBy("label", "band").agg(F.sum("w").alias("w")).groupBy("label").agg(F.sum("w").alias("total"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / BLOCK).cast("int")))).alias("sides"))
+    sides = written(sides, "families")
+    groups = max(1, -(-(sides.filter(F.col("total") <= BLOCK).agg(F.sum("total")).first()[0] or 0) // BLOCK))
+    rows = weighed.join(small(sides), "label")
+    one = F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.lit(groups)).cast("string")).alias("key"), F.lit(0).alias("side"))
+
+    def side_count(k):
+        return F.coalesce(F.try_element_at("sides", k), F.lit(0))
+
+    def key(*parts):
+        return F.concat_ws("/", F.col("label").cast("string"), *[x.cast("string") for x in parts])
+
+    mine = F.pmod(F.xxhash64("f1", "f2"), side_count(F.col("band"))).cast("int")
+    listed = lambda k, body: F.transform(F.filter(F.sequence(F.lit(0), side_count(k)), lambda j: j < side_count(k)), body)
+    same = listed(F.col("band"), lambda j: F.struct(key(F.col("band"), F.least(j, F.col("mine")), F.col("band"), F.greatest(j, F.col("mine"))).alias("key"), F.when(j == F.col("mine"), 0).when(F.col("mine") < j, 1).otherwise(2).alias("side")))
+    up = listed(F.col("band") + 1, lambda j: F.struct(key(F.col("band"), F.col("mine"), F.col("band") + 1, j).alias("key"), F.lit(1).alias("side")))
+    down = listed(F.col("band") - 1, lambda j: F.struct(key(F.col("band") - 1, j, F.col("band"), F.col("mine")).alias("key"), F.lit(2).alias("side")))
+    places = F.when(F.col("total") <= BLOCK, F.array(one)).otherwise(F.concat(same, up, down))
+    dealt = written(rows.withColumn("mine", F.when(F.col("total") > BLOCK, mine)).select("f1", "f2", "copies", F.explode(places).alias("p")).select("f1", "f2", "copies", "p.key", "p.side"), "dealt")
+    shipped = sets.join(small(dealt), ["f1", "f2"])
+
+    def linked(t: pa.Table) -> pa.Table:
+        a, b = t["f1"].to_numpy(), t["f2"].to_numpy()
+        keep = sorted({(x, y): k for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True))}.values())
+        t, a, b = t.take(pa.array(keep)), a[keep], b[keep]
+        side = t["side"].to_numpy()
+        s = [np.frombuffer(x.as_buffer(), np.uint64) for c in t["s"].chunks for x in c]
+        number, label = Block(s, t["copies"].to_numpy(), side < 2, side != 1, percent).links()
+        at = np.flatnonzero(number)
+        return pa.table([pa.array(x) for x in (a[at], b[at], number[at], a[label[at]], b[label[at]])], names=["f1", "f2", "links", "r1", "r2"])
+
+    out = written(shipped.groupBy("key").applyInArrow(lambda t: linked(t), "f1 long, f2 long, links long, r1 long, r2 long"), "links")
+    forget(sides, dealt)
+    return out
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: id, text and more columns that tell rows apart. Gives its rows (these columns but text, n,
+    f1, f2), and for sets with copies or links (f1, f2) the least row of their component and the number
+    of rows they link with."""
+    ship(docs.sparkSession)
+    n_buckets = _buckets(docs)
     found = written(summaries(docs, size, percent, n_buckets), "sets")
-    rows = found.filter("bucket >= 0").select("doc_id", "n", "f1", "f2")
+    rows = found.filter("bucket >= 0").drop("bucket")
     frequent = _frequent(found.filter("bucket < 0"))
-    first = rows.filter("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    first = written(first, "nodes")
-    # Reading a copy's text again is needless: only each class's first document stays.
-    others = rows.join(first.filter("copies > 1").select("f1", "f2", "node"), ["f1", "f2"]).filter("doc_id != node").select("doc_id").distinct()
-    others = others.join(first.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
-    nodes = _only(docs, written(others, "copies"), "left_anti")
-    lists = written(entries(nodes, frequent, size, percent, n_buckets), "lists")
-    members = written(lists.select(F.col("node").alias("doc_id")).distinct(), "members")
+    key = F.struct(F.col("id").isNotNull().alias("has"), *[c for c in rows.columns if c not in ("n", "f1", "f2")])
+    nodes = written(rows.filter("n > 0").groupBy("f1", "f2").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "nodes")
+    # Reading a copy's text again is needless: ids that are no class's first stay behind.
+    first = nodes.select(F.col("first.id").alias("id"))
+    copies = rows.join(nodes.filter("copies > 1").select("f1", "f2", F.col("first.id").alias("of")), ["f1", "f2"]).filter("not id <=> of").select("id").distinct()
+    copies = written(copies.join(first.filter("id is not null"), "id", "left_anti"), "copies")
+    texts = docs.join(small(copies), "id", "left_anti")
+    links = written(candidates(texts.select("text"), frequent, size, percent, n_buckets), "candidates")
+    family = components(links)
+    forget(links)
+    members = written(nodes.join(family, nodes["f1"] == family["node"]).select("f1", "f2", "n", "copies", "label", F.col("first.id").alias("id")), "members")
+    forget(family)
+    chosen = members.select(F.col("id").alias("of")).distinct()
+    texts = docs.join(small(chosen), F.col("id").eqNullSafe(F.col("of")), "left_semi")
 
     def read(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                ids, texts = b.column(0).slice(lo, 500), b.column(1).slice(lo, 500).to_pylist()
-                sets = [_signed(shingle_set(t, size) ^ np.uint64(1 << 63)) for t in texts]
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32), pa.array(np.concatenate(sets)))], names=["node", "s"])
+        for whole in batches:
+            for b in _slices(whole):
+                sets = [s for t in b.column(0).to_pylist() if len(s := shingle_set(t, size))]
+                if sets:
+                    f1, f2 = _halves([fingerprint(s) for s in sets])
+                    yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f1", "f2", "s"])
+
+    linked = compare(members, texts.select("text").mapInArrow(read, "f1 long, f2 long, s binary"), percent)
+    forget(copies, members)
+    node, root = F.struct("f1", "f2"), F.struct(F.col("r1").alias("f1"), F.col("r2").alias("f2"))
+    labels = components(linked.select(node.alias("u"), root.alias("v")))
+    number = linked.groupBy("f1", "f2").agg(F.sum("links").alias("links"))
+    named = nodes.join(labels.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "label"), ["f1", "f2"], "left").join(number, ["f1", "f2"], "left")
+    named = named.filter("copies > 1 or label is not null").withColumn("label", F.coalesce("label", F.struct("f1", "f2")))
+    named = written(named.select("f1", "f2", "first", "label", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "named")
+    heads = named.groupBy("label").agg(F.min("first").alias("head"))
+    out = written(named.join(heads, "label").select("f1", "f2", "head", "links"), "classes")
+    forget(nodes, labels, linked, named)
+    return rows, out
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, *more: Column) -> DataFrame:
+    """Each row's id and more columns, n, head (the least row of its component, null if it is alone) and links."""
+    rows, classes = _classes(docs.select(F.col(doc_id).alias("id"), *more, F.col(text).alias("text")), size, percent)
+    return rows.join(classes, ["f1", "f2"], "left")
+
 
-    sets = written(_only(nodes, members, "left_semi").mapInArrow(read, "node long, s array<long>"), "members-sets")
-    labels = _search(lists, sets, percent)
-    heads = first.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("component_id"))
-    out = rows.join(heads, ["f1", "f2"], "left")
-    back = lambda c: F.nullif(c, F.lit(-(2**63)))
-    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), back(F.coalesce("component_id", "doc_id")).alias("component_id"))
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links (how many other rows it links with) for every row."""
+    out = _joined(docs, doc_id, text, size, percent)
+    alone = F.col("head").isNull()
+    return out.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("head.id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id, with its own columns."""
-    found = join(docs, doc_id, text, size, percent)
-    others = found.filter("not component_id <=> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    few = written(others, "dropped")
-    small = few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(few) if small else few, doc_id, "left_anti").dropDuplicates([doc_id])
+    """One row of each component, with its own columns: the one with the smallest id, then hash of all
+    columns, null ids first. Documents without words are components of their own, and all stay."""
+    names = docs.columns
+    marks = [F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in names]).alias(f"h{k}") for k in (1, 2)]
+    out = _joined(docs, doc_id, text, size, percent, *marks)
+    key = F.struct(F.col("id").isNotNull().alias("has"), "id", "h1", "h2")
+    heads = out.filter("head is not null").select("id", "h1", "h2", (F.col("head") == key).alias("stays"))
+    heads = written(heads.groupBy("id", "h1", "h2", "stays").agg(F.count(F.lit(1)).alias("rows")), "heads")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    marked = docs.select(whole.alias("row"), F.col(doc_id).alias("id"), *marks)
+
+    def without(of: DataFrame, how: str) -> DataFrame:
+        of = small(of.select(F.col("id").alias("i"), F.col("h1").alias("a"), F.col("h2").alias("b")))
+        return marked.join(of, F.col("id").eqNullSafe(F.col("i")) & (F.col("h1") == F.col("a")) & (F.col("h2") == F.col("b")), how)
+
+    twice = heads.filter("stays and rows > 1")
+    once = without(heads.filter("not stays or rows > 1"), "left_anti").select("row.*")
+    if twice.isEmpty():
+        return once
+    # Rows alike in every column: one of them stays.
+    return once.unionByName(without(twice, "left_semi").dropDuplicates(["id", "h1", "h2"]).select("row.*"))

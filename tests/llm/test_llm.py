@@ -50,46 +50,90 @@ def test_quality(spark, docs, none):
     assert {r.doc_id: r.n_repeat_words for r in quality.judge(twice).collect()} == {1: 10, 2: 12, 3: 0}
 
 
-def brute_components(rows):
-    sets = collections.defaultdict(list)
-    for i, t in rows:
+def brute_links(rows):
+    """(doc_id, set size, component, links) of each row, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets[i].append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
-    up = {i: i for i in sets}
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    up, links = list(range(len(sets))), [0] * len(sets)
 
     def top(i):
         while up[i] != i:
             i = up[i]
         return i
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if a < b and any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
-                x, y = top(a), top(b)
-                up[max(x, y)] = min(x, y)
-    return sorted((i, len(s), top(i)) for i in ids for s in sets[i])
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                links[a] += 1
+                links[b] += 1
+                up[top(a)] = top(b)
+    least: dict = {}
+    for k, (i, _) in enumerate(rows):
+        least[top(k)] = min(least.get(top(k), i), i, key=lambda j: (j is not None, j or 0)) if top(k) in least else i
+    return sorted(((i, len(sets[k]), least[top(k)], links[k]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def joined(df):
+    return sorted((tuple(r) for r in ngram_join.join(df).collect()), key=str)
 
 
 def test_ngram_join(spark, docs, none):
-    known = docs.filter("doc_id is not null")
-    got = sorted(tuple(r) for r in ngram_join.join(known).collect())
-    assert got == brute_components([(r.doc_id, r.text) for r in known.collect()])
-    assert ngram_join.join(none).count() == 0 and ngram_join.join(docs).filter("doc_id is null").first().component_id is None
-    kept = ngram_join.first_of_each(known).collect()
-    assert sorted(r.doc_id for r in kept) == [1, 4, 5, 6, 7, 9, 10, 11]
-
-
-def test_ngram_join_of_a_family(spark, monkeypatch):
-    """Copies edited here and there, rounds of leaders forced."""
-    monkeypatch.setattr(ngram_join, "PAIRS_PER_ENTRY", 0)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 10)
-    monkeypatch.setattr(ngram_join, "FAMILY", 20)
+    assert joined(docs.withColumn("n_links", F.lit("x"))) == brute_links([(r.doc_id, r.text) for r in docs.collect()])
+    assert ngram_join.join(none).count() == 0
+    kept = ngram_join.first_of_each(docs).collect()
+    assert sorted((r.doc_id or -1) for r in kept) == [-1, 1, 4, 5, 6, 7, 9, 10, 11]
+
+
+def test_ngram_join_null_and_repeated_ids(spark):
+    """Rows that share an id are documents of their own; every component keeps one row, whatever its id."""
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve", "red green blue black white grey")
+    rows = [(None, a), (None, b), (None, b), (3, a), (4, c), (5, a), (5, c), (5, c), (-(2**63), "quite alone here it stands"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "h1": F.lit("x"), "row": F.lit(2)})
+    assert joined(df) == brute_links(rows)
+    kept = ngram_join.first_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None)
+    assert got == [(-(2**63), "quite alone here it stands"), (4, c)] and sorted(str(r.text) for r in kept.collect() if r.doc_id is None) == ["", "None", b, a]
+    texts = df.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert {r.component_id for r in ngram_join.join(texts).filter("doc_id = 'd4'").collect()} == {"d4"}
+
+
+@pytest.mark.parametrize("settings", [(40, 48, 2_500_000, 1250), (10, 5, 2000, 50), (3, 3, 300, 20)])
+def test_ngram_join_of_a_family(spark, monkeypatch, settings):
+    """Copies edited here and there: in one block, in many, with pairs and with ties."""
+    for name, value in zip(("FREQUENT", "MOST_LISTED", "BLOCK", "LEAST_WEIGHT"), settings, strict=True):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(1)
     base = [f"w{k}" for k in range(90)]
-    rows = [(i, " ".join(w if rng.random() > 0.012 * (i % 4) else f"x{rng.random()}" for w in base)) for i in range(90)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == brute_components(rows)
+    rows = [(i, " ".join(w if rng.random() > 0.012 * (i % 4) else f"x{rng.random()}" for w in base)) for i in range(120)]
+    rows += [(200 + i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    rows += [(300 + i, " ".join(base[: 30 + i])) for i in range(40)]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_links(rows)
+
+
+def test_answers_are_derived():
+    """Most answers of a family come from a leader's, and equal those read from all lists."""
+    rng = random.Random(3)
+    texts = [" ".join(w if rng.random() > 0.03 else f"x{rng.random()}" for w in [f"w{k}" for k in range(90)]) for _ in range(80)]
+    sets = list({s.tobytes(): s for s in (shingles.shingle_set(t) for t in texts)}.values())
+    every = np.ones(len(sets), bool)
+    block = ngram_join.Block(sets, np.ones(len(sets), np.int64), every, every)
+    number, _ = block.links()
+    over = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    assert number.tolist() == [sum(100 * over[i][j] >= 75 * (len(x) + len(y) - over[i][j]) for j, y in enumerate(sets) if i != j) for i, x in enumerate(sets)]
+    assert block.derived > len(sets) // 2
+
+
+def test_lists_skip_but_lose_no_linked_pair():
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.1 * (k % 3)], rng.integers(0, 2**63, k % 9 * 3).astype(np.uint64)])) for k in range(40)]
+    cols = [np.concatenate(c) for c in zip(*[(s[:p], np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32), np.full(p, k, np.int64)) for k, s in enumerate(sets) for p in [ngram_join.prefix_length(len(s))]], strict=True)]
+    found = {(a, b) for u, v, c, least in ngram_join.list_pairs(*cols, 75) for a, b, x, y in zip(u.tolist(), v.tolist(), c.tolist(), least.tolist(), strict=True) if x >= y}
+    linked = {(i, j) for j in range(40) for i in range(j) for o in [len(np.intersect1d(sets[i], sets[j]))] if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o)}
+    assert linked and linked <= found < {(i, j) for j in range(40) for i in range(j)}
 
 
 def test_shingles_tell_words_apart():
