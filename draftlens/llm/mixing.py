@@ -5,17 +5,20 @@ whole epochs plus a part epoch: blocks in permuted order until the rest is reach
 one cut inside. The drawn blocks of all sources are the balls of an urn; a tree halves the
 output shards again and again, and at each node the left half's counts per source are one
 multivariate-hypergeometric draw from the node's exact counts. A leaf's counts are cut from
-each source's permuted block sequence, so shards are disjoint and the quotas exact. Inside a
-shard rows are ordered by a seeded hash.
+each source's permuted block sequence, so shards are disjoint and the quotas exact. shuffled() writes
+the mix out shard by shard, each in the order of a seeded hash.
 
-Only block sums (source, block, words) leave the executors: their number grows with rows over
-BLOCK_ROWS. The block plan is joined back by broadcast while it has at most BROADCAST_ROWS
-rows, else by a shuffle. A hot source is spread over its many blocks.
+Shards follow the words, SHARD_WORDS each, and are LEAST_SHARDS at least, so every mix is split by the tree.
+Texts are read once for their sizes; (source, hash, size) rows are kept, and only block sums
+(source, block, words) go further: their number grows with rows over BLOCK_ROWS. Tables of sources and
+blocks are joined by broadcast while they have at most BROADCAST_ROWS rows, else by a shuffle. A hot source is
+spread over its many blocks.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; sources
-without words have target 0; repeated rows count one by one and fall in one block; an empty
-table gives an empty mix. Columns that clash with the added ones are replaced. Reruns agree:
-all draws come from the seed, and sums are of integers.
+without words have target 0; an empty table gives an empty mix. Rows count one by one: those alike in id,
+text and source share a hash, and where a cut falls among them, as many as fit are taken. Of own columns, those
+of the names of added ones are replaced by mix(), and all are kept by shuffled(). Reruns agree: all draws come from
+the seed, and sums are of integers.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import forget, small, words_of, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BLOCK_ROWS = 500
-BROADCAST_ROWS = 200_000
+BLOCK_ROWS = 200
 SHARD_WORDS = 50_000_000
+LEAST_SHARDS = 8
 SEED = 20
 
 
@@ -83,43 +86,69 @@ def split_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED, sized: str | None = None) -> DataFrame:
-    """docs with source_size, target, size and shards: the output shards of the document's copies,
+ADDED = ("size", "source_size", "target", "shards")
+
+
+def _seeded(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) -> DataFrame:
+    """row (all columns), s (the source), h (the row's hash), size."""
+    h = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), F.col(source))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("s"), h.alias("h"), size_of(F.col(text)).alias("size"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target and shards: the output shards of the document's copies,
     one entry for each copy (none: not drawn)."""
+    out = _mixed(docs, doc_id, text, source, weights, share, most, seed)
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share: float, most: float, seed: int) -> DataFrame:
+    """row, h and the ADDED columns."""
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in ("size", "source_size", "target", "shards") if c in docs.columns and c != sized])
-    docs = docs.withColumn("size", F.col(sized) if sized else size_of(F.col(text)))
-    key = F.xxhash64(F.lit(seed), F.col(doc_id))
-    light = docs.select(F.col(source).alias("s"), key.alias("h"), "size")
+    rows = _seeded(docs, doc_id, text, source, seed)
+    light = written(rows.select("s", "h", "size"), "mix-sizes")
     by = light.groupBy("s").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
-    rows = sorted(by.collect(), key=lambda r: (r["s"] is None, r["s"] or ""))
-    goal = targets([int(r["words"]) for r in rows], weights, share, most)
-    plan = [(i, r["s"], int(r["words"]), float(g), max(1, -(-int(r["n"]) // BLOCK_ROWS))) for i, (r, g) in enumerate(zip(rows, goal, strict=True))]
-    per_source = F.broadcast(spark.createDataFrame(plan, "i int, s string, source_size long, target double, n_blocks long"))
-    dealt = docs.withColumn("__h", key).join(per_source, F.col(source).eqNullSafe(F.col("s")), "left").withColumn("__block", F.pmod("__h", "n_blocks"))
-    sums = light.join(per_source, light["s"].eqNullSafe(per_source["s"])).groupBy("i", F.pmod("h", "n_blocks").alias("block")).agg(F.sum("size").alias("words"))
-    blocks = _draw(sums, plan, seed)
-    cut = blocks.filter("cut is not null")
-    # Inside the one cut block of a source, copies go to documents in hash order up to the cut.
-    inner = dealt.select(F.col("i"), F.col("__block").alias("block"), F.col("__h").alias("h"), F.col(doc_id).alias("d"), "size")
-    inner = inner.join(F.broadcast(cut.select("i", "block", "cut")), ["i", "block"])
-    order = Window.partitionBy("i").orderBy("h", "d", "size")
-    inner = inner.withColumn("to", F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    last = inner.filter(F.col("to") - F.col("size") / 2 <= F.col("cut")).groupBy("i").agg(F.max("h").alias("up_to"))
-    blocks = blocks.join(F.broadcast(last), "i", "left").select(F.col("i").alias("bi"), F.col("block").alias("bb"), "whole", "part", "cut", "up_to")
+    found = sorted(by.collect(), key=lambda r: (r["s"] is None, r["s"] or ""))
+    goal = targets([int(r["words"]) for r in found], weights, share, most)
+    plan = [(i, r["s"], int(r["words"]), float(g), max(1, -(-int(r["n"]) // BLOCK_ROWS))) for i, (r, g) in enumerate(zip(found, goal, strict=True))]
+    kind = light.schema["s"].dataType.simpleString()
+    sources = small(spark.createDataFrame(plan, f"i int, of {kind}, source_size long, target double, n_blocks long"))
+
+    def placed(x: DataFrame) -> DataFrame:
+        return x.join(sources, F.col("s").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("h", "n_blocks"))
+
+    sums = placed(light).groupBy("i", "block").agg(F.sum("size").alias("words"))
+    drawn = _draw(sums, plan, seed)
+    # Inside the one cut block of a source, copies go to documents in hash order up to the cut; rows of one hash are alike.
+    cut = drawn.filter("cut is not null").select("i", "block", "cut")
+    inner = placed(light).join(small(cut), ["i", "block"]).groupBy("i", "cut", "h").agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("size"))
+    order = Window.partitionBy("i").orderBy("h")
+    inner = inner.withColumn("before", F.coalesce(F.sum(F.col("m") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = inner.filter(F.col("before") + F.col("m") * F.col("size") > F.col("cut")).groupBy("i").agg(F.min_by(F.struct("h", "m", ((F.col("cut") - F.col("before")) / F.col("size") + 0.5).cast("long").alias("k")), "h").alias("at"))
+    blocks = drawn.join(small(at), "i", "left").select(F.col("i").alias("bi"), F.col("block").alias("bb"), "whole", "part", "cut", "at")
     blocks = written(blocks, "mix-plan")
-    small = blocks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    side = F.broadcast(blocks) if small else blocks
-    more = F.when(F.col("cut").isNotNull() & F.coalesce(F.col("__h") <= F.col("up_to"), F.lit(False)) | (F.col("cut").isNull()), F.col("part")).otherwise(F.array().cast("array<int>"))
-    out = dealt.join(side, (dealt["i"] == side["bi"]) & (dealt["__block"] == side["bb"]), "left")
-    return out.withColumn("shards", F.coalesce(F.concat(F.col("whole"), more), F.array().cast("array<int>"))).drop("i", "s", "n_blocks", "__h", "__block", "bi", "bb", "whole", "part", "cut", "up_to")
+    forget(drawn)
+    none = F.array().cast("array<int>")
+    edge = F.col("cut").isNotNull() & F.coalesce(F.col("h") == F.col("at.h"), F.lit(False))
+    taken = F.col("cut").isNull() | F.coalesce(F.col("h") < F.col("at.h"), F.lit(True)) | (edge & (F.col("at.k") >= F.col("at.m")))
+    out = placed(rows).join(small(blocks), (F.col("i") == F.col("bi")) & (F.col("block") == F.col("bb")))
+    out = out.withColumns({"whole": F.coalesce("whole", none), "part": F.coalesce("part", none), "more": taken, "some": edge & (F.col("at.k") > 0) & (F.col("at.k") < F.col("at.m"))})
+    shards = F.concat("whole", F.when(F.col("more"), F.col("part")).otherwise(none)).alias("shards")
+    plain = out.select("row", "h", "size", "source_size", "target", shards, "some")
+    if blocks.filter("cut is not null and at.k > 0 and at.k < at.m").isEmpty():
+        return plain.drop("some")
+    # A cut among rows alike: they are counted, and the first k of them have the part epoch's copy.
+    alike = out.filter("some").groupBy("row", "h", "size", "source_size", "target", "whole", "part", F.col("at.k").alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    alike = alike.select("*", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("j"))
+    alike = alike.select("row", "h", "size", "source_size", "target", F.concat("whole", F.when(F.col("j") <= F.col("k"), F.col("part")).otherwise(none)).alias("shards"))
+    return plain.filter("not some").drop("some").unionByName(alike)
 
 
 def _draw(sums: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
     """A row for each block: whole (the shards of its whole epochs), part (its shard in the part
     epoch, if drawn), cut (how many words of the block the part epoch takes, if not all)."""
     spark = sums.sparkSession
-    facts = F.broadcast(spark.createDataFrame([(i, int(g // w) if w else 0, g - (g // w) * w if w else 0.0) for i, _, w, g, _ in plan], "i int, epochs int, rest double"))
+    facts = small(spark.createDataFrame([(i, int(g // w) if w else 0, g - (g // w) * w if w else 0.0) for i, _, w, g, _ in plan], "i int, epochs int, rest double"))
     order = Window.partitionBy("i").orderBy("r", "block")
     ranked = sums.join(facts, "i").withColumn("r", F.xxhash64(F.lit(seed + 1), "i", "block"))
     ranked = ranked.withColumns({"k": F.row_number().over(order) - 1, "to": F.sum("words").over(order)})
@@ -129,7 +158,7 @@ def _draw(sums: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
     got = {r["i"]: (int(r["n"]), int(r["epochs"]), int(r["drawn"])) for r in ranked.groupBy("i", "epochs").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("drawn").cast("int")).alias("drawn")).collect()}
     quotas = [got.get(p[0], (0, 0, 0)) for p in plan]
     balls = [n * e + d for n, e, d in quotas]
-    shards = max(1, -(-int(sum(p[3] for p in plan)) // SHARD_WORDS))
+    shards = max(LEAST_SHARDS, -(-int(sum(p[3] for p in plan)) // SHARD_WORDS))
     tree = split_tree(balls, shards, seed) if balls else np.zeros((1, 0), np.int64)
     ends, of_source = np.cumsum(tree, axis=0), np.array([(n, e) for n, e, _ in quotas] or [(0, 0)], np.int64)
 
@@ -145,10 +174,13 @@ def _draw(sums: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
                 part.append(at[-1:] if drawn else [])
             yield b[["i", "block", "cut"]].assign(whole=whole, part=part)
 
-    return ranked.select("i", "block", "k", "drawn", "cut").mapInPandas(place, "i int, block long, cut double, whole array<int>, part array<int>")
+    return written(ranked.select("i", "block", "k", "drawn", "cut").mapInPandas(place, "i int, block long, cut double, whole array<int>, part array<int>"), "mix-drawn")
 
 
-def expand(mixed: DataFrame, doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """A row for each copy, with its shard and copy number; sort a shard by `place` to shuffle it."""
-    out = mixed.select("*", F.posexplode("shards").alias("copy", "shard"))
-    return out.withColumn("place", F.xxhash64(F.lit(seed + 2), F.col(doc_id), "copy")).drop("shards")
+def shuffled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The mix itself: a row for each copy, with the columns of docs. A partition holds whole shards,
+    one after the other, each in the order of a seeded hash."""
+    out = _mixed(docs, doc_id, text, source, weights, share, most, seed)
+    copies = out.select("row", "h", F.posexplode("shards").alias("copy", "shard"))
+    dealt = copies.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "h", "copy"), "copy")
+    return dealt.select("row.*")
