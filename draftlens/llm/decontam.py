@@ -8,11 +8,13 @@ ranges and as code-point offsets of the original text.
 
 The automaton lives in each Python worker. Patterns are packed in groups of at most
 MAX_AUTOMATON characters, so its memory is bounded: a benchmark beyond that is scanned in
-several passes, each with an automaton of its own, and the hits of a document are united.
+several passes, each with an automaton of its own, and the hits of a document are united. Items reach
+the driver partition by partition, and it holds one group at a time; each group is a broadcast of bounded size.
 
 Defined results: null or empty texts have no words and no hits; items without words are never
-found; repeated items are found together; repeated documents are scanned one by one; an empty
-benchmark leaves every document clean.
+found; a null item id is an item of its own, the empty string among item ids; repeated items are found
+together; repeated documents are scanned one by one; an empty benchmark leaves every document clean. Ids of
+any type are given as strings.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ MAX_AUTOMATON = 16_000_000  # pattern characters in one automaton
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-RESULT = "n_words long, hits array<struct<item_id:long,first:long,last:long,start:long,stop:long>>"
+RESULT = "n_words long, hits array<struct<item_id:string,first:long,last:long,start:long,stop:long>>"
 
 
 def fold(text: str | None) -> list[bytes]:
@@ -43,7 +45,7 @@ def fold(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def patterns(items: Iterator[tuple[int, str | None]], window: int = WINDOW) -> Iterator[tuple[str, int, int]]:
+def patterns(items: Iterator[tuple[str, str | None]], window: int = WINDOW) -> Iterator[tuple[str, int, str]]:
     """(pattern, its words, item) for each window of each item."""
     for item, text in items:
         words = fold(text)
@@ -52,10 +54,10 @@ def patterns(items: Iterator[tuple[int, str | None]], window: int = WINDOW) -> I
             yield f" {b' '.join(part).decode()} ", len(part), item
 
 
-def groups(items: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list[tuple[str, int, int]]]:
+def groups(items: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list[tuple[str, int, str]]]:
     """The patterns in groups of bounded size; rows come to the driver one partition at a time."""
     held, chars = [], 0
-    rows = items.select(F.col(item_col), F.col(text_col)).where(F.col(item_col).isNotNull()).toLocalIterator()
+    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator()
     for x in patterns(((r[0], r[1]) for r in rows), window):
         if held and chars + len(x[0]) > MAX_AUTOMATON:
             yield held
@@ -68,10 +70,10 @@ def groups(items: DataFrame, item_col: str, text_col: str, window: int) -> Itera
 _built: dict[str, object] = {}
 
 
-def automaton(found: list[tuple[str, int, int]]):
+def automaton(found: list[tuple[str, int, str]]):
     import ahocorasick
 
-    by: dict[str, tuple[int, set[int]]] = {}
+    by: dict[str, tuple[int, set[str]]] = {}
     for pattern, n, item in found:
         by.setdefault(pattern, (n, set()))[1].add(item)
     a = ahocorasick.Automaton()
@@ -114,7 +116,7 @@ def _pass(docs: DataFrame, part, text: str, first: bool) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_words", "hits")]
     schema = StructType([*(f for f in docs.schema.fields if f.name in names), *StructType.fromDDL(RESULT).fields])
     at, key = names.index(text), uuid.uuid4().hex
-    kind = pa.list_(pa.struct([(x, pa.int64()) for x in ("item_id", "first", "last", "start", "stop")]))
+    kind = pa.list_(pa.struct([("item_id", pa.string()), *((x, pa.int64()) for x in ("first", "last", "start", "stop"))]))
 
     def run(batches):
         if key not in _built:

@@ -119,14 +119,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.verdicts(decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
-    ids = F.array_sort(F.transform("item_ids", lambda i: i.cast("string")))
+    ids = F.array_sort("item_ids")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), sha(F.array_join(ids, ",")).alias("items_sha256"), "contaminated")
 
 
 _FOLD_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 OP8_SQL = rf"""
 with d as (select row_number() over () as rid, doc_id, {_FOLD_SQL} as ws from documents),
-b as (select item_id, {_FOLD_SQL} as ws from benchmark where item_id is not null),
+b as (select coalesce(cast(item_id as varchar), '') as item_id, {_FOLD_SQL} as ws from benchmark),
 bw as (select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as k
   from (select item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) as i from b where len(ws) > 0)),
 sizes as (select distinct n from bw),
@@ -134,7 +134,7 @@ dw as (select rid, i, n, array_to_string(ws[i:i + n - 1], ' ') as k
   from (select rid, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from d, sizes)),
 hits as (select rid, i, bw.n, item_id from dw join bw on dw.n = bw.n and dw.k = bw.k),
 covered as (select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(i, i + n - 1)) as p from hits) group by rid),
-items as (select rid, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hits group by rid)
+items as (select rid, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by rid)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join covered using (rid) left join items using (rid)"""
