@@ -14,8 +14,8 @@ Shards hold ascending doc_id ranges. Tasks name their files freely and report th
 a successful attempt reported is in the manifest, so lost or repeated tasks leave no trace in
 the result. Files go through pyarrow's filesystems to the shared folder.
 
-Defined results: a null text is empty and gives the end id alone; a null doc_id comes first;
-equal doc_ids are ordered by text; an empty table gives no shards and no rows. Other columns
+Defined results: a null text is empty and gives the end id alone; ids may be of any type that has an
+order, a null doc_id comes first; equal doc_ids are ordered by text; an empty table gives no shards and no rows. Other columns
 are not stored.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
@@ -44,7 +44,6 @@ CACHE_PIECES = 1_500_000
 #: White space inside a piece, so that its ends aren't sure to be cuts.
 _UNSURE = re.compile(r"\s")
 
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
 class Encoder:
@@ -103,15 +102,16 @@ class Encoder:
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         if len(self.kept) > CACHE_PIECES:
             self.kept.clear()
-        self.learn(set().union(*split) - self.kept.keys())
-        get, out, other = self.kept.__getitem__, [], []
+        kept, pieces = self.kept, set().union(*split)
+        self.learn({p for p in pieces if p not in kept})
+        unsure = {p for p in pieces if kept[p] is None}
+        out, other = [], []
         for k, x in enumerate(split):
-            ids = [*map(get, x)]
-            if None in ids:
+            if unsure and not unsure.isdisjoint(x):
                 other.append(k)
                 out.append(b"")
             else:
-                out.append(b"".join(ids)[4:])  # without the newline put in front
+                out.append(b"".join(map(kept.__getitem__, x))[4:])  # without the newline put in front
         for k, ids in zip(other, self.library([texts[k] for k in other]), strict=True):
             out[k] = ids
         return out
@@ -135,15 +135,16 @@ def open_out(path: str):
 class Writer:
     """Writes one shard."""
 
-    def __init__(self, out):
+    def __init__(self, out, kind: pa.DataType):
         import zstandard
 
+        self.kind = kind
         self.out, self.zip = out, zstandard.ZstdCompressor(level=3)
-        self.ids: list[int | None] = []
+        self.ids: list = []
         self.counts: list[int] = []
         self.table: list[bytes] = []
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id, ids: bytes) -> None:
         import xxhash
 
         frame = self.zip.compress(ids)
@@ -153,7 +154,7 @@ class Writer:
         self.table.append(struct.pack("<III", len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
 
     def close(self) -> None:
-        batch = pa.record_batch([pa.array(self.ids, pa.int64()), pa.array(self.counts, pa.int64())], names=["doc_id", "n_tokens"])
+        batch = pa.record_batch([pa.array(self.ids, self.kind), pa.array(self.counts, pa.int64())], names=["doc_id", "n_tokens"])
         sink = io.BytesIO()
         with pa.ipc.new_stream(sink, batch.schema) as w:
             w.write_batch(batch)
@@ -179,7 +180,7 @@ class Reader:
         self.offsets = np.concatenate([[0], np.cumsum(self.table[:, 0])])
         (back,) = struct.unpack("<Q", self._at(start - 16, 8))
         index = pa.ipc.open_stream(self._at(start - 8 - back + 8, back - 16)).read_all()
-        self.doc_ids, self.counts = index["doc_id"].to_pylist(), index["n_tokens"].to_numpy()
+        self.doc_ids, self.counts = index["doc_id"].combine_chunks(), index["n_tokens"].to_numpy()
 
     def _at(self, start: int, n: int) -> bytes:
         self.file.seek(start)
@@ -198,14 +199,17 @@ class Reader:
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes the shards; returns the manifest, a table in the shared folder."""
+    """Writes the shards; returns the manifest, a table in the shared folder: shard, path, first_id and
+    last_id, n_docs, n_ids."""
     spark = docs.sparkSession
     ship(spark)
     folder = folder or new_path(spark, "tokens")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's beginning splits an id that many rows share.
+    dealt = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", F.substring("text", 1, 48)).sortWithinPartitions("doc_id", "text")
     end = struct.pack("<I", END_ID)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         from pyspark import TaskContext
@@ -216,23 +220,23 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 for i, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    out = out or Writer(open_out(path))
+                    out = out or Writer(open_out(path), b.schema.field(0).type)
                     out.add(i, ids + end)
         if out:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(out.ids)], pa.int64()), pa.array([sum(out.counts)], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
+            columns = {"shard": pa.array([shard], pa.int32()), "path": pa.array([path]), "first_id": pa.array(out.ids[:1], out.kind), "last_id": pa.array(out.ids[-1:], out.kind), "n_docs": pa.array([len(out.ids)], pa.int64()), "n_ids": pa.array([sum(out.counts)], pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return written(dealt.mapInArrow(run, MANIFEST), "tokens-manifest")
+    return written(dealt.mapInArrow(run, f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files. The manifest has a
     row for each shard; its running sum gives each shard's first position."""
     ship(spark)
-    at, shards = 0, []
-    for r in manifest.orderBy("shard").collect():
-        shards.append((r["path"], at))
-        at += r["n_ids"]
+    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    shards = manifest.select("path", F.coalesce(before, F.lit(0)).alias("start"))
+    kind = manifest.schema["first_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,20 +247,23 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     part = slice(lo, min(lo + 4096, len(r.doc_ids)))
                     crc = [zlib.crc32(r.document(k)) for k in range(part.start, part.stop)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.doc_ids[part], pa.int64()), pa.array(starts[part], pa.int64()), pa.array(r.counts[part], pa.int64()), pa.array(crc, pa.int64())],
+                        [r.doc_ids[part], pa.array(starts[part], pa.int64()), pa.array(r.counts[part], pa.int64()), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    rows = spark.createDataFrame(shards, "path string, start long").repartition(max(1, len(shards)))
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, manifest.count())).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
-def fetch(manifest: DataFrame, doc_ids: list[int]) -> dict[int, np.ndarray]:
-    """The ids of a few documents, reading only their frames."""
-    wanted, out = set(doc_ids), {}
-    for r in manifest.collect():
+def fetch(manifest: DataFrame, doc_ids: list) -> dict:
+    """The ids of a few documents, reading only the shards that may hold them, and there only their frames."""
+    out = {}
+    held = F.lit(False)
+    for i in doc_ids:
+        held = held | (F.col("first_id").isNull() if i is None else (F.coalesce(F.col("first_id") <= F.lit(i), F.lit(True)) & (F.col("last_id") >= F.lit(i))))
+    wanted = set(doc_ids)
+    for r in manifest.filter(held).select("path").toLocalIterator():
         reader = Reader(r["path"])
-        for k, i in enumerate(reader.doc_ids):
+        for k, i in enumerate(reader.doc_ids.to_pylist()):
             if i in wanted:
                 out[i] = np.frombuffer(reader.document(k), "<u4")
     return out
