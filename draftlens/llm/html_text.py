@@ -4,11 +4,14 @@ Markup becomes tokens, tokens a tree (end tags that authors leave out are implie
 dropped), and the tree is rendered the way a text browser shows it: hidden elements go, blocks
 stand on lines of their own with a blank line about paragraphs and headings, list items get a
 bullet or their number, quotes and nested lists are indented, preformatted text keeps its lines,
-and a table's cells are padded so that columns line up. All visible text comes out; nothing is
-guessed to be boilerplate.
+and a table's cells, column and row spans included, are padded so that columns line up. All visible text
+comes out, that of SVG, MathML and options too; nothing is guessed to be boilerplate. display:none, the
+hidden attribute and elements that show nothing go with all inside; visibility is inherited, so a visible
+element in a hidden one shows.
 
-Nothing recurses but tables in tables, to a fixed depth, so deep nesting can't end a task, and the time is linear
-in the page but for tables, which are linear in their rows times columns.
+Nothing recurses but tables in tables, DEEPEST deep; deeper ones are rendered as plain blocks, whole. An open
+element is found by its name, not by a search, and a cell is padded by MOST_PAD spaces at most (a cell wider than
+MOST_WIDTH doesn't widen its column), so time and output are linear in the page.
 
 Defined results: null and empty markup give an empty text; text without tags is itself with
 white space folded; repeated rows are rendered one by one; other columns pass through, but for
@@ -28,8 +31,8 @@ from ..ship import ship
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object embed noembed noframes select datalist svg math audio video canvas title".split())
-BLOCKS = frozenset("address article aside body blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr td th caption thead tbody tfoot".split())
+HIDDEN = frozenset("head script style template noscript iframe object embed noembed noframes datalist audio video canvas title desc defs metadata symbol annotation annotation-xml input".split())
+BLOCKS = frozenset("address article aside body blockquote center dd details optgroup option dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul tr td th caption thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 #: A start tag ends an open element of these names, up to a scope of the second set.
 _ITEM_SCOPE = frozenset("ul ol menu dir table td th".split())
@@ -51,8 +54,9 @@ _P_SCOPE = frozenset("table td th caption button object".split())
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([A-Za-z][^\s/>]*)|([!?/]))")
 _ATTR = re.compile(r"""\s*/?\s*([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|\s*(>)|\s*["'=/]""")
-_HIDE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-DEEPEST = 30
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_SHOWN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
+DEEPEST, MOST_WIDTH, MOST_PAD, MOST_SPAN = 30, 60, 80, 1000
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -105,52 +109,72 @@ def tokens(page: str):
             at = end
 
 
+class Open:
+    """The open elements, and by name where each stands."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names) -> int:
+        """The innermost of the names, 0 if none is open."""
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=0)
+
+    def close(self, names, scope) -> bool:
+        """Ends the innermost of the names and all inside, unless one of scope is further in."""
+        k = self.last(names)
+        if not k or self.last(scope) > k:
+            return False
+        for node in self.nodes[k:]:
+            self.at[node.name].pop()
+        del self.nodes[k:]
+        return True
+
+
+_LOOSE = frozenset("table body html td th tr thead tbody tfoot caption".split())
+
+
 def tree(page: str) -> Node:
     """The page's elements; text as str."""
     root = Node("#root", {})
-    open_ = [root]
-
-    def close(names: frozenset, scope: frozenset) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in scope:
-                return
-            if open_[i].name in names:
-                del open_[i:]
-                # What encloses may be of the names too (a cell in a row): go on.
-                return close(names, scope)
-
+    open_ = Open(root)
     for kind, *what in tokens(page):
         if kind == "text":
-            open_[-1].kids.append(what[0])
+            open_.nodes[-1].kids.append(what[0])
             continue
         name = what[0]
         if kind == "end":
-            if name in VOID:
-                if name == "br":
-                    open_[-1].kids.append(Node("br", {}))
-                continue
-            stop = _TABLE_SCOPE if name not in ("table", "body", "html") and name not in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else frozenset()
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == name:
-                    del open_[i:]
-                    break
-                if open_[i].name in stop:
-                    break
+            if name == "br":
+                open_.nodes[-1].kids.append(Node("br", {}))
+            elif name not in VOID:
+                open_.close((name,), () if name in _LOOSE else _TABLE_SCOPE - {name})
             continue
         if name in _ENDS_P:
-            close(frozenset(["p"]), _P_SCOPE)
+            open_.close(("p",), _P_SCOPE)
         if name in CLOSES:
-            close(*CLOSES[name])
+            # What encloses may be of the names too (a cell in a row): go on.
+            while open_.close(*CLOSES[name]):
+                pass
         node = Node(name, what[1])
-        open_[-1].kids.append(node)
+        open_.nodes[-1].kids.append(node)
         if name not in VOID:
-            open_.append(node)
+            open_.push(node)
     return root
 
 
 def hidden(node: Node) -> bool:
+    """Whether nothing of it shows, whatever is inside."""
     a = node.attrs
-    return node.name in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (node.name == "input") or ("style" in a and bool(_HIDE.search(a["style"]))) or (node.name == "dialog" and "open" not in a)
+    return node.name in HIDDEN or "hidden" in a or ("style" in a and bool(_GONE.search(a["style"]))) or (node.name == "dialog" and "open" not in a)
+
+
+def shown(node: Node, before: bool) -> bool:
+    """Whether its own text shows; before: of the element around."""
+    m = _SHOWN.search(node.attrs["style"]) if "style" in node.attrs else None
+    return m[1].lower() == "visible" if m else before
 
 
 class Page:
@@ -197,16 +221,17 @@ class Page:
         self.rest.pop()
 
 
-def render(root: Node, depth: int = 0) -> str:
+def render(root: Node, depth: int = 0, visible: bool = True) -> str:
     page = Page()
     counters: list[list] = []
     pre = 0
-    # (node, entered): children are visited between entering and leaving.
-    todo: list[tuple] = [(root, False)]
+    # (node, entered, visible): children are visited between entering and leaving.
+    todo: list[tuple] = [(root, False, visible)]
     while todo:
-        node, entered = todo.pop()
+        node, entered, before = todo.pop()
         if isinstance(node, str):
-            page.text(node, pre > 0)
+            if before:
+                page.text(node, pre > 0)
             continue
         name = node.name
         if entered:
@@ -224,26 +249,26 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         if hidden(node):
             continue
+        visible = shown(node, before)
         if name == "br":
             page.end(True)
             continue
         if name == "img":
-            page.text(node.attrs.get("alt", ""), pre > 0)
+            if visible:
+                page.text(node.attrs.get("alt", ""), pre > 0)
             continue
         if name in BLOCKS:
             page.end()
             if name in SPACED and not (name in ("ul", "ol") and counters):
                 page.gap = True
         if name == "hr":
-            page.line = "---"
+            page.line = "---" if visible else ""
             page.end()
             continue
-        if name == "table":
-            grid = rows_of(node, depth)
-            if grid:
-                for line in aligned(grid):
-                    page.line = line
-                    page.end(True)
+        if name == "table" and depth < DEEPEST:
+            for line in aligned(rows_of(node, depth, visible)):
+                page.line = line
+                page.end(True)
             page.gap = True
             continue
         if name in ("ul", "ol"):
@@ -261,77 +286,88 @@ def render(root: Node, depth: int = 0) -> str:
             page.push("> ", "> ")
         elif name == "pre":
             pre += 1
-        todo.append((node, True))
-        todo += [(k, False) for k in reversed(node.kids)]
+        todo.append((node, True, visible))
+        todo += [(k, False, visible) for k in reversed(node.kids)]
     page.end()
     return "\n".join(page.lines)
 
 
-def rows_of(table: Node, depth: int = 0) -> list[list[tuple[str, int]]]:
-    """The table's rows of (cell text, columns it spans); text outside cells and captions make rows of one cell."""
-    rows: list[list[tuple[str, int]]] = []
-    stack = list(reversed(table.kids))
+def _span(node: Node, name: str) -> int:
+    value = node.attrs.get(name, "")
+    return min(MOST_SPAN, max(1, int(value))) if re.fullmatch(r"[0-9]{1,4}", value) else 1
+
+
+def rows_of(table: Node, depth: int, visible: bool) -> list[list[tuple[str, int, int]]]:
+    """The table's rows of (cell text, columns it spans, rows it spans); captions and text outside cells
+    make rows of one cell that spans no column."""
+    rows: list[list[tuple[str, int, int]]] = []
+    stack = [(k, visible) for k in reversed(table.kids)]
     while stack:
-        node = stack.pop()
+        node, seen = stack.pop()
         if isinstance(node, str):
-            if s := _SPACE.sub(" ", node).strip():
-                rows.append([(s, 0)])
+            if (s := _SPACE.sub(" ", node).strip()) and seen:
+                rows.append([(s, 0, 1)])
         elif hidden(node):
             continue
         elif node.name == "tr":
-            cells = []
+            seen, cells = shown(node, seen), []
             for k in node.kids:
                 if isinstance(k, str):
-                    if s := _SPACE.sub(" ", k).strip():
-                        cells.append((s, 1))
+                    if (s := _SPACE.sub(" ", k).strip()) and seen:
+                        cells.append((s, 1, 1))
                 elif not hidden(k):
-                    span = k.attrs.get("colspan", "")
-                    cells.append((_cell(k, depth + 1), min(1000, max(1, int(span))) if re.fullmatch(r"[0-9]{1,4}", span) else 1))
+                    cells.append((_cell(k, depth + 1, shown(k, seen)), _span(k, "colspan"), _span(k, "rowspan")))
             if cells:
                 rows.append(cells)
         elif node.name in ("thead", "tbody", "tfoot", "form", "center", "div"):
-            stack += reversed(node.kids)
-        elif s := _cell(node, depth + 1):
-            rows.append([(s, 0)])
+            stack += [(k, shown(node, seen)) for k in reversed(node.kids)]
+        elif s := _cell(node, depth + 1, shown(node, seen)):
+            rows.append([(s, 0, 1)])
     return rows
 
 
-def _cell(node: Node, depth: int) -> str:
-    """A cell's text; a table inside it is rendered first, beyond DEEPEST tables its plain text."""
+def _cell(node: Node, depth: int, visible: bool) -> str:
     shell = Node("#cell", {})
-    shell.kids = node.kids if depth < DEEPEST else [_plain(node)]
-    return render(shell, depth).strip("\n")
-
+    shell.kids = node.kids
+    return render(shell, depth, visible).strip("\n")
 
-def _plain(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not hidden(x):
-            stack += reversed(x.kids)
-    return "".join(out)
 
-
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Lines whose cells start at the same columns; a cell of several lines takes several lines."""
-    widths: dict[int, int] = {}
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines whose cells start at the same columns; a cell of several lines takes several lines, and one
+    that spans rows keeps its columns free in those below."""
+    placed, below, widths = [], {}, {}
     for row in rows:
-        at = 0
-        for text, span in row:
+        cells, at = [], 0
+        taken, below = below, {}  # column -> (columns, rows left) of a cell from above
+        for column, (span, left) in taken.items():
+            if left > 1:
+                below[column] = (span, left - 1)
+        for text, span, high in row:
+            while at in taken:
+                at += taken[at][0]
+            lines = text.split("\n")
+            cells.append((at, lines))
+            if high > 1 and span:
+                below[at] = (span, high - 1)
             if span == 1:
-                widths[at] = max(widths.get(at, 0), *(len(x) for x in text.split("\n")))
+                widths[at] = max(widths.get(at, 0), *(len(x) for x in lines if len(x) <= MOST_WIDTH), 0)
+            elif span:
+                widths.setdefault(at, 0)
             at += max(1, span)
+        placed.append(cells)
+    start, x = {}, 0
+    for column in sorted(widths):
+        start[column] = x
+        x += widths[column] + 2
     out = []
-    for row in rows:
-        cells, at = [], 0
-        for text, span in row:
-            width = sum(widths.get(i, 0) for i in range(at, at + max(1, span))) + 2 * (max(1, span) - 1)
-            cells.append((text.split("\n"), width))
-            at += max(1, span)
-        for k in range(max(len(lines) for lines, _ in cells)):
-            out.append("  ".join((lines[k] if k < len(lines) else "").ljust(width) for lines, width in cells).rstrip())
+    for cells in placed:
+        for k in range(max(len(lines) for _, lines in cells)):
+            line = ""
+            for column, lines in cells:
+                if k < len(lines) and lines[k]:
+                    pad = start.get(column, 0) - len(line)
+                    line += " " * (pad if (2 if line else 0) <= pad <= MOST_PAD else 2 if line else 0) + lines[k]
+            out.append(line.rstrip())
     return out
 
 
