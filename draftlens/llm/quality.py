@@ -79,38 +79,50 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(n > WINDOW, let(let(hashes, windows), covered)).otherwise(F.lit(0)).cast("long")
 
 
-def figures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each document's figures; see RULES and the names below."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    own = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbol_ratio", "shout_ratio", "upper_ratio", "stop_ratio", "dup_line_ratio", "base_failed", "kept"} - {text}
-    docs = docs.drop(*[c for c in docs.columns if c in own])
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_chars", "symbol_ratio", "shout_ratio", "upper_ratio", "stop_ratio", "dup_line_ratio")
+
+
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """row (all columns of docs) and the figures: names of docs can't clash with those used on the way."""
+    t = F.col("t")
     count = lambda chars: F.regexp_count(t, F.lit(f"[{chars}]"))
-    first = docs.withColumns({"__words": words_of(F.col(text)), "__lines": F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")})
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    first = base.withColumns({"words": words_of(t), "lines": F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")})
     second = first.withColumns({
-        "__n": F.size("__words"),
-        "__stops": F.size(F.filter("__words", lambda w: w.isin(_EVERY_STOP))),
-        "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
-        "__nlines": F.size("__lines"),
-        "__ndup": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "__chars": F.length(t) - count(r" \t\n\x0B\f\r"),
-        "__symbols": count("#*$%&|<>"),
-        "__shouts": count("!"),
-        "__upper": count("A-Z"),
+        "n": F.size("words"),
+        "stops": F.size(F.filter("words", lambda w: w.isin(_EVERY_STOP))),
+        "hashes": F.transform("words", lambda w: F.xxhash64(w)),
+        "nlines": F.size("lines"),
+        "ndup": F.size("lines") - F.size(F.array_distinct("lines")),
+        "chars": F.length(t) - count(r" \t\n\x0B\f\r"),
+        "symbols": count("#*$%&|<>"),
+        "shouts": count("!"),
+        "upper": count("A-Z"),
     })
     per = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
-    return second.withColumns({
-        "n_words": F.col("__n").cast("long"),
-        "word_chars": F.col("__chars").cast("long"),
-        "n_symbols": F.col("__symbols").cast("long"),
-        "n_dup_lines": F.col("__ndup").cast("long"),
-        "n_repeat_words": repeated_words(F.col("__hashes")),
-        "mean_word_chars": per("__chars", "__n"),
-        "symbol_ratio": per("__symbols", "__n"),
-        "shout_ratio": per("__shouts", "__n"),
-        "upper_ratio": per("__upper", "__chars"),
-        "stop_ratio": per("__stops", "__n"),
-        "dup_line_ratio": per("__ndup", "__nlines"),
-    }).drop("__words", "__lines", "__n", "__stops", "__hashes", "__nlines", "__ndup", "__chars", "__symbols", "__shouts", "__upper")
+    found = {
+        "n_words": F.col("n").cast("long"),
+        "word_chars": F.col("chars").cast("long"),
+        "n_symbols": F.col("symbols").cast("long"),
+        "n_dup_lines": F.col("ndup").cast("long"),
+        "n_repeat_words": repeated_words(F.col("hashes")),
+        "mean_word_chars": per("chars", "n"),
+        "symbol_ratio": per("symbols", "n"),
+        "shout_ratio": per("shouts", "n"),
+        "upper_ratio": per("upper", "chars"),
+        "stop_ratio": per("stops", "n"),
+        "dup_line_ratio": per("ndup", "nlines"),
+    }
+    return second.select("row", *[found[x].alias(x) for x in FIGURES])
+
+
+def _plain(measured: DataFrame, docs: DataFrame, *added: str) -> DataFrame:
+    return measured.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
+def figures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with each document's figures; see RULES and FIGURES."""
+    return _plain(_measured(docs, text), docs, *FIGURES)
 
 
 def compile_rules(rules=RULES) -> Column:
@@ -126,13 +138,16 @@ def compile_rules(rules=RULES) -> Column:
     return verdict
 
 
+def _judged(docs: DataFrame, text: str, rules) -> DataFrame:
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return _measured(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+
+
 def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """figures() plus base_failed and kept."""
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return figures(docs, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    return _plain(_judged(docs, text, rules), docs, *FIGURES, "base_failed", "kept")
 
 
 def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
-    mark = "__kept"
-    return judge(docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), text, rules).filter("kept").select("__row.*").drop(mark)
+    return _judged(docs, text, rules).filter("kept").select("row.*")
