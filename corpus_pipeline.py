@@ -31,9 +31,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it, up to twice."""
-    columns = docs.columns
-    return mixing.expand(mixing.mix(docs)).select(*columns)
+    """Each document as often as the mix draws it, up to twice, shard by shard in shuffled order."""
+    return mixing.shuffled(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
