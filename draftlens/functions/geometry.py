@@ -71,12 +71,14 @@ def touch(a: Box, b: Box, pad: int = 2) -> Column:
 
 
 def horizontal_neighbors(a: Box, b: Box, y_tolerance: float = 0.45) -> Column:
-    """Two characters of one line: level, overlapping in height, a character apart, little in common."""
-    height, low = (a.height + b.height) / 2, least(a.height, b.height)
-    shared = least(a.y2, b.y2) - greatest(a.y1, b.y1)
-    char = (a.width + b.width) / 2
+    """Two characters of one line: level, overlapping in height, a character (the wider one's width) apart,
+    little in common. Boxes without area are no characters."""
+    height, low = greatest(F.lit(1.0), (a.height + b.height) / 2), least(a.height, b.height)
+    shared = greatest(F.lit(0), least(a.y2, b.y2) - greatest(a.y1, b.y1))
+    char = greatest(a.width, b.width, F.lit(1))
     gap = F.abs(a.cx - b.cx)
-    return (F.abs(a.cy - b.cy) <= y_tolerance * height) & (shared >= 0.5 * low) & (gap >= 0.55 * char) & (gap <= 2.2 * char) & (small_ratio(a, b) < 0.35)
+    level = (F.abs(a.cy - b.cy) <= y_tolerance * height) & (shared >= 0.5 * low)
+    return level & (gap >= 0.55 * char) & (gap <= 2.2 * char) & (least(a.area, b.area) > 0) & (small_ratio(a, b) < 0.35)
 
 
 def x_overlap(a: Box, b: Box) -> Column:

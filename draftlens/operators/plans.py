@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.text import stripped
 
 
 def merge_plans(entries: DataFrame, scalars: tuple[str, ...]) -> DataFrame:
@@ -77,8 +78,8 @@ def rule_sets(expected: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def field_match(pred: Column, truth: Column) -> Column:
-    """Both null, or the same but for outer blanks."""
-    return F.trim(pred.cast("string")).eqNullSafe(F.trim(truth.cast("string")))
+    """Both null, or the same but for white space at the ends."""
+    return stripped(pred.cast("string")).eqNullSafe(stripped(truth.cast("string")))
 
 
 def tiles(pages: DataFrame, size: int = 1280, overlap: float = 0.2) -> DataFrame:
@@ -92,26 +93,35 @@ def tiles(pages: DataFrame, size: int = 1280, overlap: float = 0.2) -> DataFrame
     return out.withColumns({"x2": F.least("width", F.col("x1") + size), "y2": F.least("height", F.col("y1") + size)})
 
 
-def twins(rows: DataFrame, share: float = 0.72) -> DataFrame:
-    """Each overlap box as two, split along its longer side, each with `share` of it."""
+def twins(rows: DataFrame, share: float = 0.72, rest: float = 0.28) -> DataFrame:
+    """Each overlap box as two, split along its longer side: the first has `share` of it, the second
+    starts after `rest`; sides count as two pixels at least."""
     b = g.Box("x1", "y1", "x2", "y2")
-    tall = b.height >= b.width
+    w, h = F.greatest(F.lit(2), b.width), F.greatest(F.lit(2), b.height)
+    tall = h >= w
     cut = lambda side: F.greatest(F.lit(2), (side * share).cast("int"))
-    first = F.when(tall, F.struct(b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), (b.y1 + cut(b.height)).alias("y2"))).otherwise(F.struct(b.x1.alias("x1"), b.y1.alias("y1"), (b.x1 + cut(b.width)).alias("x2"), b.y2.alias("y2")))
-    second = F.when(tall, F.struct(b.x1.alias("x1"), (b.y2 - cut(b.height)).alias("y1"), b.x2.alias("x2"), b.y2.alias("y2"))).otherwise(F.struct((b.x2 - cut(b.width)).alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2")))
+    lead = lambda side: (side * rest).cast("int")
+    first = F.when(tall, F.struct(b.x1.alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), (b.y1 + cut(h)).alias("y2"))).otherwise(F.struct(b.x1.alias("x1"), b.y1.alias("y1"), (b.x1 + cut(w)).alias("x2"), b.y2.alias("y2")))
+    second = F.when(tall, F.struct(b.x1.alias("x1"), (b.y1 + lead(h)).alias("y1"), b.x2.alias("x2"), b.y2.alias("y2"))).otherwise(F.struct((b.x1 + lead(w)).alias("x1"), b.y1.alias("y1"), b.x2.alias("x2"), b.y2.alias("y2")))
     return rows.select("drawing_id", "iid", F.posexplode(F.array(first, second)).alias("twin", "t")).select("drawing_id", F.concat(F.col("iid").cast("string"), F.when(F.col("twin") == 1, "_twin").otherwise("")).alias("parent_id"), "t.*")
 
 
-def boundary(pairs: DataFrame, gap: int = 2, min_main: int = 80) -> DataFrame:
-    """pairs: material box m_*, main box n_* of a drawing. Upside-down pairs swap; the material box ends where
-    the main one keeps its least height, the main one starts below it."""
-    flip = F.col("m_y1") > F.col("n_y1")
+def boundary(pairs: DataFrame, height: int, gap: int = 2, min_main: int = 80) -> DataFrame:
+    """pairs: material box m_*, main box n_* of a drawing on a page of that height. Boxes that stand upside
+    down, by over 10 pixels at the top and not 10 short at the bottom, swap. The material box ends where the
+    main one keeps its height (min_main at least), the main one starts below it; one that is left too low
+    grows down the page, or up if there is no page left."""
+    flip = (F.col("m_y1") > F.col("n_y1") + 10) & (F.col("m_y2") > F.col("n_y2") - 10)
     pick = lambda c, a, b: F.when(flip, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}"))
     rows = pairs.select("drawing_id", *[pick(c, "m", "n").alias(f"m_{c}") for c in ("x1", "y1", "x2", "y2")], *[pick(c, "n", "m").alias(f"n_{c}") for c in ("x1", "y1", "x2", "y2")])
-    meet = F.col("m_y2") + gap > F.col("n_y1")
-    room = F.col("n_y2") - min_main - gap
-    end = F.when(meet, F.greatest(F.col("m_y1") + 4, F.least("m_y2", room))).otherwise(F.col("m_y2"))
-    return rows.withColumn("m_y2", end).withColumn("n_y1", F.greatest("n_y1", F.least(F.col("m_y2") + gap, F.col("n_y2") - 4))).withColumn("y1_floor", F.col("m_y2") + gap)
+    kept = F.greatest(F.lit(min_main), F.col("n_y2") - F.col("n_y1"))
+    rows = rows.withColumn("kept", kept).withColumn("most", F.greatest(F.col("m_y1") + 8, F.col("n_y2") - F.col("kept") - gap))
+    rows = rows.withColumn("m_y2", F.when(F.col("m_y2") > F.col("most"), F.greatest(F.col("m_y1") + 4, "most")).otherwise(F.col("m_y2")))
+    rows = rows.withColumn("n_y1", F.greatest("n_y1", F.col("m_y2") + gap))
+    low = F.col("n_y2") - F.col("n_y1") < min_main
+    rows = rows.withColumn("n_y2", F.when(low, F.least(F.lit(height), F.col("n_y1") + F.col("kept"))).otherwise(F.col("n_y2")))
+    rows = rows.withColumn("n_y1", F.when(F.col("n_y1") >= F.col("n_y2") - 4, F.greatest(F.lit(0), F.col("n_y2") - min_main)).otherwise(F.col("n_y1")))
+    return rows.withColumns({"n_y1": F.greatest(F.lit(0), "n_y1"), "n_y2": F.least(F.lit(height), "n_y2"), "y1_floor": F.col("m_y2") + gap}).drop("kept", "most")
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geometry import Box, horizontal_neighbors, intersection, iou, small_ratio
+from ..operators.pairs import KEYS, at_home, celled
 from ..functions.text import is_blank
 
 LEAVES = ("not_empty", "eq", "neq", "in", "regex", "count_gte", "count_lte", "bbox_overlap_count_lte", "ref_exists")
@@ -135,6 +136,67 @@ def overlaps(items: Column, kind: T.StructType, logic: dict) -> Column:
     return F.struct(F.size(pairs).alias("n"), boxes.alias("boxes"), ids.alias("ids"))
 
 
+#: In a rule's logic, the column that already holds its overlaps.
+FOUND = "__found"
+
+
+def overlap_table(facts: DataFrame, key: str, logic: dict) -> DataFrame | None:
+    """(key, found) with the overlaps of each row that has any, by a grid join of the boxes; None where the
+    logic's list has no boxes or pairs needn't meet, which the projection does."""
+    value, kind = at_path(facts.schema, logic["path"])
+    if not isinstance(kind, T.ArrayType) or not isinstance(kind.elementType, T.StructType) or "bbox" not in kind.elementType.names or logic.get("min_intersection", 1.0) <= 0:
+        return None
+    has = set(kind.elementType.names)
+    x = F.col("x")
+    items = facts.select(F.col(key).alias("drawing_id"), F.posexplode(value).alias("i", "x"))
+    name = F.coalesce(*[F.nullif(x[k].cast("string"), F.lit("")) for k in ("instance_id", "id") if k in has], F.concat(F.lit("#"), F.col("i").cast("string")))
+    keep = F.coalesce(x["keep_pair"], F.lit(False)) if "keep_pair" in has else F.lit(False)
+    family = x["parent_id"].cast("string") if "parent_id" in has else F.lit(None).cast("string")
+    rows = items.select("drawing_id", "i", x["bbox"].alias("bbox"), name.alias("id"), keep.alias("keep"), family.alias("parent")).filter("bbox is not null")
+    own = Box.of(F.col("bbox"))
+    rows = rows.filter(F.least(own.width, own.height) >= logic.get("min_box_side", 0.0))
+    if logic.get("only_keep_pair"):
+        rows = rows.filter("keep")
+    left, right = (celled(rows.select("drawing_id", *[F.col(c).alias(f"{p}_{c}") for c in ("i", "bbox", "id", "keep", "parent")]), Box.of(F.col(f"{p}_bbox"))) for p in "ab")
+    a, b = Box.of(F.col("a_bbox")), Box.of(F.col("b_bbox"))
+    hit = (F.col("a_i") < F.col("b_i")) & at_home(a, b) & (intersection(a, b) >= logic.get("min_intersection", 1.0))
+    hit = hit & (iou(a, b) >= logic.get("iou_thr", 0.0)) & (small_ratio(a, b) >= logic.get("min_overlap_ratio", 0.0))
+    if logic.get("ignore_horizontal_neighbors"):
+        same = F.coalesce(F.col("a_parent") == F.col("b_parent"), F.lit(False))
+        hit = hit & ~(horizontal_neighbors(a, b) & (~(F.col("a_keep") & F.col("b_keep")) | same))
+    met = left.join(right, KEYS).filter(hit)
+    ends = met.select("drawing_id", "a_i", "b_i", F.posexplode(F.array(*[F.struct(F.col(f"{p}_bbox").alias("bbox"), F.col(f"{p}_id").alias("id")) for p in "ab"])).alias("side", "end"))
+    # Boxes once by value, in the order they are first met.
+    once = ends.groupBy("drawing_id", F.col("end.bbox").alias("bbox")).agg(F.min(F.struct("a_i", "b_i", "side", "end.id")).alias("first"), F.count_if(F.col("side") == 0).alias("pairs"))
+    lists = once.groupBy("drawing_id").agg(F.sum("pairs").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("first", "bbox"))).alias("l"))
+    found = F.struct("n", F.transform("l", lambda e: e["bbox"]).alias("boxes"), F.transform("l", lambda e: e["first"]["id"]).alias("ids"))
+    return lists.select(F.col("drawing_id").alias(key), found.alias("found"))
+
+
+def with_overlaps(facts: DataFrame, rules: Iterable[dict], key: str) -> tuple[DataFrame, list[dict]]:
+    """facts with a column for each overlap logic of the active rules, and the rules that refer to them."""
+
+    def placed(logic):
+        nonlocal facts
+        if not isinstance(logic, dict):
+            return logic
+        out = dict(logic)
+        if isinstance(logic.get("args"), list):
+            out["args"] = [placed(x) for x in logic["args"]]
+        if "arg" in logic:
+            out["arg"] = placed(logic["arg"])
+        if logic.get("op") == "bbox_overlap_count_lte" and logic.get("path") and isinstance(logic.get("count"), int):
+            table, name = overlap_table(facts, key, logic), f"__overlaps_{len(facts.columns)}"
+            if table is not None:
+                none = F.struct(F.lit(0).alias("n"), F.array().alias("boxes"), F.array().alias("ids")).cast(table.schema["found"].dataType)
+                facts = facts.join(table.withColumnRenamed("found", name), key, "left").withColumn(name, F.coalesce(name, none))
+                out[FOUND] = name
+        return out
+
+    rules = [dict(r) | ({"logic": placed(r["logic"])} if r.get("logic") and r.get("status", "active") in (None, "", "active") else {}) for r in rules]
+    return facts, rules
+
+
 def compile_logic(logic: dict, schema: T.StructType) -> Outcome:
     if not isinstance(logic, dict) or logic.get("op") not in OPERATORS:
         raise RuleError(f"logic: {logic!r}")
@@ -185,6 +247,9 @@ def compile_logic(logic: dict, schema: T.StructType) -> Outcome:
         n = _count(value, kind)
         sign = ">=" if op == "count_gte" else "<="
         return Outcome(n >= logic["count"] if sign == ">=" else n <= logic["count"], n.cast("string"), F.lit(f"{sign}{logic['count']}"))
+    if op == "bbox_overlap_count_lte" and logic.get(FOUND):
+        found = F.col(logic[FOUND])
+        return Outcome(found["n"] <= logic["count"], found["n"].cast("string"), F.lit(f"重叠对数<={logic['count']}"), F.to_json(found["boxes"]), found["ids"])
     if op == "bbox_overlap_count_lte":
         if not isinstance(kind, T.ArrayType):
             value, kind = F.when(value.isNotNull(), F.array(value)).otherwise(F.array()), T.ArrayType(kind)
@@ -280,7 +345,9 @@ def outcomes(rules: Iterable[dict], schema: T.StructType) -> list[Column]:
 
 
 def findings(facts: DataFrame, rules: Iterable[dict], key: str = "drawing_id") -> DataFrame:
-    """A row per drawing and failed rule. One scan, one projection, no shuffle."""
+    """A row per drawing and failed rule: one projection, no shuffle but for the overlaps of boxes, which are
+    a grid join. key tells the rows of facts apart."""
+    facts, rules = with_overlaps(facts, rules, key)
     every = outcomes(rules, facts.schema)
     kind = "array<struct<ok:boolean,rule_id:string,severity:string,message:string,path:string,actual:string,expected:string,evidence_bboxes:string,related_ids:array<string>>>"
     failed = F.filter(F.array(*every).cast(kind) if every else F.array().cast(kind), lambda x: ~x["ok"])
@@ -289,6 +356,7 @@ def findings(facts: DataFrame, rules: Iterable[dict], key: str = "drawing_id") -
 
 def results(facts: DataFrame, rules: list[dict], key: str = "drawing_id", rule_set_id: str = "default") -> DataFrame:
     """A row per drawing: passed (no finding of severity error), the number of findings, the set's version."""
+    facts, rules = with_overlaps(facts, rules, key)
     every = outcomes(rules, facts.schema)
     oks = F.array(*[F.struct(x["ok"].alias("ok"), x["severity"].alias("severity")) for x in every]) if every else F.array().cast("array<struct<ok:boolean,severity:string>>")
     failed = F.filter(oks, lambda x: ~x["ok"])

@@ -211,14 +211,15 @@ select p.drawing_id, 'NUM_TEXT_NO_OVERLAP' as rule_id, 'error' as severity, coun
 
 _PAIRS = f"select a.drawing_id, a.iid as a, b.iid as b, cast({SQL_INTER} as bigint) as inter from inst a join inst b on a.drawing_id = b.drawing_id and a.iid < b.iid where {SQL_INTER} >= 1"
 query("overlap_pairs", _PAIRS)(lambda s, d: pairs.overlapping(inst(s, d)))
-query("overlap_grid_bucketed", _PAIRS)(lambda s, d: pairs.overlapping_by_cell(inst(s, d)))
+query("overlap_grid_bucketed", _PAIRS)(lambda s, d: pairs.overlapping(inst(s, d), cell=40))
 query("overlap_keep_pair", _PAIRS + " and a.keep_pair and b.keep_pair")(lambda s, d: pairs.overlapping(inst(s, d), only_keep_pair=True))
 _AREA = lambda p: f"(({p}.x2 - {p}.x1) * ({p}.y2 - {p}.y1))"
 _IOU = f"({SQL_INTER}) / ({_AREA('a')} + {_AREA('b')} - ({SQL_INTER}))::double"
 _RATIO = f"({SQL_INTER}) / least({_AREA('a')}, {_AREA('b')})::double"
 query("overlap_iou_ratio", _PAIRS + f" and {_IOU} >= 0.2 and {_RATIO} >= 0.4")(lambda s, d: pairs.overlapping(inst(s, d), iou_thr=0.2, min_ratio=0.4))
-_HN = f"""(abs((a.y1 + a.y2) / 2.0 - (b.y1 + b.y2) / 2.0) <= 0.45 * ((a.y2 - a.y1 + b.y2 - b.y1) / 2.0) and least(a.y2, b.y2) - greatest(a.y1, b.y1) >= 0.5 * least(a.y2 - a.y1, b.y2 - b.y1)
-and abs((a.x1 + a.x2) / 2.0 - (b.x1 + b.x2) / 2.0) >= 0.55 * ((a.x2 - a.x1 + b.x2 - b.x1) / 2.0) and abs((a.x1 + a.x2) / 2.0 - (b.x1 + b.x2) / 2.0) <= 2.2 * ((a.x2 - a.x1 + b.x2 - b.x1) / 2.0) and {_RATIO} < 0.35)"""
+_APART, _CHAR = "abs((a.x1 + a.x2) / 2.0 - (b.x1 + b.x2) / 2.0)", "greatest(a.x2 - a.x1, b.x2 - b.x1, 1)"
+_HN = f"""(abs((a.y1 + a.y2) / 2.0 - (b.y1 + b.y2) / 2.0) <= 0.45 * greatest(1, (a.y2 - a.y1 + b.y2 - b.y1) / 2.0) and greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) >= 0.5 * least(a.y2 - a.y1, b.y2 - b.y1)
+and {_APART} >= 0.55 * {_CHAR} and {_APART} <= 2.2 * {_CHAR} and least({_AREA('a')}, {_AREA('b')}) > 0 and {_RATIO} < 0.35)"""
 query("overlap_h_neighbor", _PAIRS + f" and not ({_HN} and not (a.keep_pair and b.keep_pair))")(lambda s, d: pairs.overlapping(inst(s, d), skip_neighbors=True))
 query("touch_pairs", "select a.drawing_id, a.iid as a, b.iid as b from inst a join inst b on a.drawing_id = b.drawing_id and a.iid < b.iid where not (a.x2 + 2 < b.x1 or b.x2 + 2 < a.x1 or a.y2 + 2 < b.y1 or b.y2 + 2 < a.y1)")(lambda s, d: pairs.touching(inst(s, d)))
 query("region_anti_join", "select a.drawing_id, a.iid from inst a where not exists (select 1 from inst r where r.drawing_id = a.drawing_id and r.iid % 10 = 0 and (a.x1 + a.x2) / 2.0 between r.x1 - 6 and r.x2 + 6 and (a.y1 + a.y2) / 2.0 between r.y1 - 6 and r.y2 + 6)")(
@@ -260,18 +261,28 @@ query("nms", _greedy_sql("drawing_id, entity_id", f"{_KIOU} >= 0.1"))(lambda s,
 query("dedupe_boxes", _greedy_sql("drawing_id", f"{_KIOU} >= 0.3"))(lambda s, d: greedy.dedupe(inst(s, d), 0.3))
 _CX = lambda p, a, b: f"(({p}.{a} + {p}.{b}) / 2.0::double)"
 _IN = lambda p, q: f"({_CX(p, 'x1', 'x2')} between {q}.x1 and {q}.x2 and {_CX(p, 'y1', 'y2')} between {q}.y1 and {q}.y2)"
-_DIST = f"(({_CX('k', 'x1', 'x2')} - {_CX('x', 'x1', 'x2')}) * ({_CX('k', 'x1', 'x2')} - {_CX('x', 'x1', 'x2')}) + ({_CX('k', 'y1', 'y2')} - {_CX('x', 'y1', 'y2')}) * ({_CX('k', 'y1', 'y2')} - {_CX('x', 'y1', 'y2')}))"
-_SIZE = "((k.x2 - k.x1 + k.y2 - k.y1 + x.x2 - x.x1 + x.y2 - x.y1) / 4.0::double)"
-_TALL = "(x.y2 - x.y1 >= 1.35 * (x.x2 - x.x1) and k.y2 - k.y1 < 1.35 * (k.x2 - k.x1))"
-query("cluster_near_dup", _greedy_sql("drawing_id", f"{_KIOU} >= 0.35 or (not {_TALL} and ((({_IN('x', 'k')} or {_IN('k', 'x')}) and {_KIOU} >= 0.12) or {_DIST} < 0.2025::double * {_SIZE} * {_SIZE}))"))(lambda s, d: greedy.cluster(inst(s, d)))
+_W = lambda p: f"greatest(1, {p}.x2 - {p}.x1)"
+_H = lambda p: f"greatest(1, {p}.y2 - {p}.y1)"
+_FAR = f"sqrt(({_CX('k', 'x1', 'x2')} - {_CX('x', 'x1', 'x2')}) * ({_CX('k', 'x1', 'x2')} - {_CX('x', 'x1', 'x2')}) + ({_CX('k', 'y1', 'y2')} - {_CX('x', 'y1', 'y2')}) * ({_CX('k', 'y1', 'y2')} - {_CX('x', 'y1', 'y2')}))"
+_LONG = f"greatest({_W('k')}, {_H('k')}, {_W('x')}, {_H('x')}, 8)"
+_NEAR_DUP = f"""(case when {_H('x')} >= 1.35::double * {_W('x')} and {_W('k')} >= 1.8::double * {_H('k')} and {_H('x')} > 1.2::double * {_H('k')} then false when {_KIOU} >= 0.35 then true
+when {_IN('x', 'k')} then {_KIOU} >= 0.12 or {_W('x')} * {_H('x')} > 0.35::double * {_W('k')} * {_H('k')} when {_IN('k', 'x')} then {_KIOU} >= 0.12
+else {_FAR} < 0.45::double * {_LONG} or (abs(k.iid * 13 % 181 - 90) >= 80 and abs(x.iid * 13 % 181 - 90) >= 80 and {_FAR} < 1.1::double * {_LONG}) end)"""
+query("cluster_near_dup", _greedy_sql("drawing_id", _NEAR_DUP))(lambda s, d: greedy.cluster(inst(s, d).withColumn("angle", (F.col("iid") * 13) % 181 - 90)))
 
 
 def _shifted(spark, d) -> DataFrame:
     return inst(spark, d).withColumns({"x1": F.col("x1") + (F.col("iid") % 9).cast("int"), "x2": F.col("x2") + (F.col("iid") % 9).cast("int")}).filter("iid % 11 <> 0")
 
 
-query("gold_box_prf")(lambda s, d: greedy.match(_shifted(s, d), inst(s, d)))
-query("gold_micro_rollup")(lambda s, d: _rollup(greedy.match(_shifted(s, d), inst(s, d))))
+_GOLD = """with p as (select drawing_id, entity_id, list({'iid': iid, 'x1': x1 + cast(iid % 9 as int), 'y1': y1, 'x2': x2 + cast(iid % 9 as int), 'y2': y2} order by iid) as e from inst where iid % 11 <> 0 group by all),
+t as (select drawing_id, entity_id, list({'iid': iid, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} order by iid) as l from inst group by all),
+m as (select drawing_id, entity_id, coalesce(len(e), 0) as np, coalesce(len(l), 0) as nt, case when e is null or l is null then 0 else
+len(list_reduce(list_prepend(cast([] as bigint[]), list_transform(range(1, len(e) + 1), lambda i: [i])), lambda acc, y: list_concat(acc, list_transform(list_sort(list_transform(list_filter(l, lambda q: not list_contains(acc, q.iid) and IOU >= 0.5), lambda q: {'u': -IOU, 'i': q.iid}))[1:1], lambda b: b.i)))) end as tp from p full join t using (drawing_id, entity_id))
+""".replace("IOU", _KIOU.replace("k.", "q.").replace("x.x", "e[y[1]].x").replace("x.y", "e[y[1]].y"))
+query("gold_box_prf", _GOLD + "select drawing_id, entity_id, cast(tp as int) as tp, cast(np - tp as int) as fp, cast(nt - tp as int) as fn from m")(lambda s, d: greedy.match(_shifted(s, d), inst(s, d)))
+query("gold_micro_rollup", _GOLD + """, r as (select drawing_id, cast(sum(tp) as bigint) as tp, cast(sum(np - tp) as bigint) as fp, cast(sum(nt - tp) as bigint) as fn from m group by rollup (drawing_id))
+select *, case when tp + fp = 0 then 0.0::double else tp / (tp + fp)::double end as precision, case when tp + fn = 0 then 0.0::double else tp / (tp + fn)::double end as recall, case when tp = 0 then 0.0::double else 2 * (tp / (tp + fp)::double) * (tp / (tp + fn)::double) / (tp / (tp + fp)::double + tp / (tp + fn)::double) end as f1 from r""")(lambda s, d: _rollup(greedy.match(_shifted(s, d), inst(s, d))))
 
 
 def _rollup(scores: DataFrame) -> DataFrame:
@@ -284,7 +295,7 @@ query("merge_twins", "select drawing_id, cast(iid - iid % 4 as varchar) as paren
 query("angle_suggest_extra", """with recursive a as (select drawing_id, iid, cast((iid * 13) % 181 - 90 as double) as angle from inst ), b as (select drawing_id, iid, cast(round_even(angle / 15, 0) * 15 as int) as bucket from a where abs(angle) between 12 and 78),
 c as (select drawing_id, -bucket as angle, row_number() over (partition by drawing_id order by count(*) desc, min(iid)) as n from b group by drawing_id, bucket having count(*) >= 2),
 w as (select drawing_id, cast(0 as bigint) as n, [0, 90, -90] as known from (select distinct drawing_id from c) union all
-select w.drawing_id, c.n, case when len(w.known) >= 7 or len(list_filter(w.known, lambda k: abs(k - c.angle) <= 7.5)) > 0 then w.known else list_append(w.known, c.angle) end from w join c on c.drawing_id = w.drawing_id and c.n = w.n + 1)
+select w.drawing_id, c.n, case when len(w.known) >= 7 or len(list_filter(w.known, lambda k: abs(k - c.angle) < 7.5)) > 0 then w.known else list_append(w.known, c.angle) end from w join c on c.drawing_id = w.drawing_id and c.n = w.n + 1)
 select drawing_id, unnest(known[4:]) as angle from w qualify n = max(n) over (partition by drawing_id)""")(lambda s, d: greedy.extra_angles(inst(s, d).select("drawing_id", "iid", ((F.col("iid") * 13) % 181 - 90).cast("double").alias("angle"))))
 query("reindex_instances", "select drawing_id, iid, entity_id || '#' || (row_number() over (partition by drawing_id, entity_id order by iid) - 1) as instance_id from inst ")(lambda s, d: plans.numbered(inst(s, d)).select("drawing_id", "iid", "instance_id"))
 query("topk_components", "select drawing_id, iid, n from (select drawing_id, iid, cast(row_number() over (partition by drawing_id order by (x2 - x1) * (y2 - y1) desc, iid) as int) as n from inst ) where n <= 4")(lambda s, d: _topk(inst(s, d)))
@@ -322,12 +333,12 @@ def _enriched(rows: DataFrame) -> DataFrame:
 _L, _D = "length(regexp_replace(txt, '[^A-Za-z]', '', 'g'))", r"length(regexp_replace(txt, '[^0-9]', '', 'g'))"
 query("number_mark_filter", rf"""select iid from inst where length(txt) between 1 and 40 and {_D} > 0 and not regexp_full_match(txt, '\d{{8,}}[A-Za-z]?') and not (regexp_matches(txt, '^\d{{7,}}') and not regexp_matches(txt, '[Ø⌀ФфΦφøRr±°º]'))
 and not (({_L} >= 4 and {_L} >= {_D} and not regexp_matches(txt, '[Ø⌀ФфΦφøRr±°º]')) or ({_L} >= 5 and {_L} >= 2 * {_D}))""")(lambda s, d: inst(s, d).filter(tx.number_mark(F.col("txt"))).select("iid"))
-query("garbled_filter", r"""select iid from inst where regexp_matches(txt, '\d\s+\.?\d|\.\s+\d|\d\s+±|±\s+\d|  |\d:\d|\d\.\d\+\d|\d\+\d\.\d|[±+-]\d*\.$|±\d$|±0$') or (length(txt) - length(replace(txt, '.', '')) >= 2 and not regexp_matches(txt, '±|[+]-|℃')) or regexp_full_match(txt, '\d{3,4}\.\d')""")(lambda s, d: inst(s, d).filter(tx.garbled(F.col("txt"))).select("iid"))
+query("garbled_filter", "select iid from inst where " + " or ".join(f"regexp_matches(txt, '{p}')" for p in tx.GARBLED) + " or (length(txt) - length(replace(txt, '.', '')) >= 2" + "".join(f" and not contains(txt, '{x}')" for x in tx.DOTS_EXCUSED) + ")")(lambda s, d: inst(s, d).filter(tx.garbled(F.col("txt"))).select("iid"))
 query("titleish_filter", r"""select iid from inst where least(x2 - x1, y2 - y1) < 14 or greatest(x2 - x1, y2 - y1) < 34 or (y1 > 0.78 * 720 and y2 - y1 <= 26 and x2 - x1 >= 40) or regexp_full_match(txt, '\d{7,}[A-Za-z]?') or regexp_full_match(txt, '\d+\s*[:/]\s*\d+') or (regexp_full_match(txt, '\d{1,4}(\.\d{1,3})?') and greatest(x2 - x1, y2 - y1) < 45)""")(
     lambda s, d: inst(s, d).filter(tx.titleish(F.col("txt"), BOX, 720)).select("iid"))
 query("table_token_norm", f"select iid, {_TOKEN} as token from inst ")(lambda s, d: inst(s, d).select("iid", tx.table_token(F.col("txt")).alias("token")))
-query("heuristic_fields", r"select event_id, nullif(regexp_extract('Ref: ' || event_type || ' x, Qty ' || cast(user_id as varchar), '(?i)Qty\s*[:：]?\s*([^\s,，;；]+)', 1), '') as qty, nullif(regexp_extract('Ref: ' || event_type || ' x', '(?i)Ref\s*[:：]?\s*([^\s,，;；]+)', 1), '') as ref from events")(
-    lambda s, d: model.table(s, d, "events").select("event_id", tx.after_hint(F.concat(F.lit("Ref: "), "event_type", F.lit(" x, Qty "), F.col("user_id").cast("string")), "Qty").alias("qty"), tx.after_hint(F.concat(F.lit("Ref: "), "event_type", F.lit(" x")), "Ref").alias("ref")))
+query("heuristic_fields", r"select event_id, nullif(regexp_extract('qty 3 Ref: ' || event_type, 'Qty\s*[:：]?\s*([^\s,，;；]+)', 1), '') as other_case, nullif(regexp_extract('Ref: ' || event_type || ' x, Qty ' || cast(user_id as varchar), 'Qty\s*[:：]?\s*([^\s,，;；]+)', 1), '') as qty, nullif(regexp_extract('Ref: ' || event_type || ' x', 'Ref\s*[:：]?\s*([^\s,，;；]+)', 1), '') as ref from events")(
+    lambda s, d: model.table(s, d, "events").select("event_id", tx.after_hint(F.concat(F.lit("qty 3 Ref: "), "event_type"), "Qty").alias("other_case"), tx.after_hint(F.concat(F.lit("Ref: "), "event_type", F.lit(" x, Qty "), F.col("user_id").cast("string")), "Qty").alias("qty"), tx.after_hint(F.concat(F.lit("Ref: "), "event_type", F.lit(" x")), "Ref").alias("ref")))
 query("attr_label", _DIM + f"select iid, concat_ws(' | ', case when length(txt) > 9 then substring(txt, 1, 8) || '…' else txt end, dim_kind, 's=' || basic_size, '±' || tolerance, '∠' || case when y2 - y1 >= 1.35 * (x2 - x1) then '90' else '0' end, case when keep_pair then 'overlap' end) as label from (select *, {_DIM_COLS} from n)")(lambda s, d: _labels(inst(s, d)))
 
 
@@ -388,18 +399,19 @@ select iid, cast(x1 as int) as x1, cast(y1 as int) as y1, cast(least(width, x1 +
     lambda s, d: plans.tiles(inst(s, d).select("iid", (F.col("x2") * 5).alias("width"), (F.col("y2") * 3).alias("height"))).select("iid", "x1", "y1", "x2", "y2"))
 query("emit_twins", """with c as (select *, y2 - y1 >= x2 - x1 as tall, greatest(2, cast(trunc((y2 - y1) * 0.72) as int)) as ch, greatest(2, cast(trunc((x2 - x1) * 0.72) as int)) as cw from inst where keep_pair)
 select drawing_id, cast(iid as varchar) as parent_id, x1, y1, case when tall then x2 else x1 + cw end as x2, case when tall then y1 + ch else y2 end as y2 from c
-union all select drawing_id, iid || '_twin', case when tall then x1 else x2 - cw end, case when tall then y2 - ch else y1 end, x2, y2 from c""")(lambda s, d: plans.twins(inst(s, d).filter("keep_pair")))
-query("shift_instances", "select iid, coalesce(a, 0) + 100 as x1, coalesce(y1, 0) + 50 as y1, coalesce(x2, 0) + 100 as x2, coalesce(y2, 0) + 50 as y2 from (select *, case when iid % 9 > 0 then x1 end as a from inst )")(
-    lambda s, d: perceive.shift(inst(s, d).withColumns({"x1": F.when(F.col("iid") % 9 > 0, F.col("x1")), "dx": F.lit(100), "dy": F.lit(50)}), "dx", "dy").select("iid", "x1", "y1", "x2", "y2"))
-query("material_main_boundary", """with p as (select drawing_id, min(iid) as m, max(iid) as n from inst group by drawing_id having min(iid) < max(iid)), q as (select p.drawing_id, case when a.y1 > b.y1 then b else a end as m, case when a.y1 > b.y1 then a else b end as n from p join inst a on a.iid = p.m join inst b on b.iid = p.n),
-e as (select *, case when m.y2 + 2 > n.y1 then greatest(m.y1 + 4, least(m.y2, n.y2 - 82)) else m.y2 end as my2 from q)
-select drawing_id, m.y1 as m_y1, my2 as m_y2, greatest(n.y1, least(my2 + 2, n.y2 - 4)) as n_y1, n.y2 as n_y2, my2 + 2 as y1_floor from e""")(lambda s, d: _boundary(inst(s, d)))
+union all select drawing_id, iid || '_twin', case when tall then x1 else x1 + cast(trunc(greatest(2, x2 - x1) * 0.28) as int) end, case when tall then y1 + cast(trunc(greatest(2, y2 - y1) * 0.28) as int) else y1 end, x2, y2 from c""")(lambda s, d: plans.twins(inst(s, d).filter("keep_pair")))
+query("material_main_boundary", f"""with p as (select drawing_id, min(iid) as m, max(iid) as n from inst group by drawing_id having min(iid) < max(iid)),
+q as (select p.drawing_id, a.y1 > b.y1 + 10 and a.y2 > b.y2 - 10 as flip, a, b from p join inst a on a.iid = p.m join inst b on b.iid = p.n),
+r as (select drawing_id, case when flip then b.y1 else a.y1 end as m1, case when flip then b.y2 else a.y2 end as m2, case when flip then a.y1 else b.y1 end as n1, case when flip then a.y2 else b.y2 end as n2 from q),
+k as (select *, greatest(80, n2 - n1) as kept, greatest(m1 + 8, n2 - greatest(80, n2 - n1) - 2) as most from r), e as (select *, case when m2 > most then greatest(m1 + 4, most) else m2 end as m_y2 from k),
+u as (select *, greatest(n1, m_y2 + 2) as v from e), z as (select *, case when n2 - v < 80 then least({H}, v + kept) else n2 end as w from u)
+select drawing_id, m1 as m_y1, m_y2, greatest(0, case when v >= w - 4 then greatest(0, w - 80) else v end) as n_y1, least({H}, w) as n_y2, m_y2 + 2 as y1_floor from z""")(lambda s, d: _boundary(inst(s, d)))
 
 
 def _boundary(rows: DataFrame) -> DataFrame:
     ends = rows.groupBy("drawing_id").agg(F.min_by(F.struct("iid", "x1", "y1", "x2", "y2"), "iid").alias("m"), F.max_by(F.struct("iid", "x1", "y1", "x2", "y2"), "iid").alias("n")).filter("m.iid < n.iid")
     flat = ends.select("drawing_id", *[F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "mn" for c in ("x1", "y1", "x2", "y2")])
-    return plans.boundary(flat).select("drawing_id", "m_y1", "m_y2", "n_y1", "n_y2", "y1_floor")
+    return plans.boundary(flat, H).select("drawing_id", "m_y1", "m_y2", "n_y1", "n_y2", "y1_floor")
 
 
 def _expected(spark, d) -> DataFrame:
@@ -416,8 +428,8 @@ p as (select doc_id as drawing_id, 'Q' as rule_id from documents where length(te
 """
 query("rule_set_prf", _SETS + "select u.drawing_id, count(*) filter (e.rule_id is not null and p.rule_id is not null) as tp, count(*) filter (e.rule_id is null) as fp, count(*) filter (p.rule_id is null) as fn from u left join e using (drawing_id, rule_id) left join p using (drawing_id, rule_id) group by u.drawing_id")(
     lambda s, d: plans.rule_sets(_expected(s, d), _predicted(s, d)))
-query("gold_field_em", "select drawing_id % 10 as part, sum(case when trim(a) is not distinct from trim(b) then 1 else 0 end)::bigint as hit, count(*) as total from (select drawing_id, part_no as a, case when drawing_id % 4 = 0 then 'x' else ' ' || part_no end as b from tb ) group by 1")(
-    lambda s, d: model.titles(s, d).select("drawing_id", F.col("part_no").alias("a"), F.when(F.col("drawing_id") % 4 == 0, "x").otherwise(F.concat(F.lit(" "), "part_no")).alias("b")).groupBy((F.col("drawing_id") % 10).alias("part")).agg(F.sum(plans.field_match(F.col("a"), F.col("b")).cast("long")).alias("hit"), F.count(F.lit(1)).alias("total")))
+query("gold_field_em", "select drawing_id % 10 as part, sum(case when regexp_replace(a, '^\\s+|\\s+$', '', 'g') is not distinct from regexp_replace(b, '^\\s+|\\s+$', '', 'g') then 1 else 0 end)::bigint as hit, count(*) as total from (select drawing_id, part_no as a, case when drawing_id % 4 = 0 then 'x' else chr(9) || ' ' || part_no || chr(10) end as b from tb ) group by 1")(
+    lambda s, d: model.titles(s, d).select("drawing_id", F.col("part_no").alias("a"), F.when(F.col("drawing_id") % 4 == 0, "x").otherwise(F.concat(F.lit("\t "), "part_no", F.lit("\n"))).alias("b")).groupBy((F.col("drawing_id") % 10).alias("part")).agg(F.sum(plans.field_match(F.col("a"), F.col("b")).cast("long")).alias("hit"), F.count(F.lit(1)).alias("total")))
 query("backend_compare", _SETS + "select u.drawing_id % 3 as backend, count(*) filter (e.rule_id is not null and p.rule_id is not null) as tp, count(*) filter (e.rule_id is null) as fp, count(*) filter (p.rule_id is null) as fn from u left join e using (drawing_id, rule_id) left join p using (drawing_id, rule_id) group by 1")(
     lambda s, d: plans.rule_sets(_expected(s, d), _predicted(s, d)).groupBy((F.col("drawing_id") % 3).alias("backend")).agg(*[F.sum(c).cast("long").alias(c) for c in ("tp", "fp", "fn")]))
 query("batch_summary", _FINDINGS + "select passed, count(*) as n, sum(k)::bigint as n_findings from (select tb.drawing_id, coalesce(not bool_or(severity = 'error'), true) as passed, count(f.rule_id) as k from tb left join f on tb.drawing_id = f.drawing_id group by tb.drawing_id) group by passed")(
@@ -458,13 +470,12 @@ def _mock(spark, d) -> DataFrame:
     return perceive.mock(pages, plan, over)
 
 
-query("draw_list", "select drawing_id, 1 as z, case when keep_pair then 'overlap' else 'attribute' end as kind, x1, y1, x2, y2, case when keep_pair then '#dc1e1e' else '#1ea01e' end as color from inst where iid % 2 = 0 union all select drawing_id, 3, 'finding', x1, y1, x2, y2, '#ff0000' from inst where iid % 9 = 0")(
-    lambda s, d: report.draw_list(inst(s, d).filter("iid % 2 = 0"), inst(s, d).filter("iid % 9 = 0")))
+query("draw_list", _FINDINGS + """, e as (select f.drawing_id, unnest(case when f.rule_id = 'COMP_COUNT' then c.boxes else [{'x1': 10, 'y1': 10, 'x2': 50, 'y2': 40}] end) as b from f left join (select drawing_id, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) as boxes from comp group by drawing_id) c on f.drawing_id = c.drawing_id)
+select drawing_id, 1 as z, case when keep_pair then 'overlap' else 'attribute' end as kind, x1, y1, x2, y2, case when keep_pair then '#dc1e1e' else '#1ea01e' end as color from inst union all select drawing_id, 3, 'finding', b.x1, b.y1, b.x2, b.y2, '#ff0000' from e""")(lambda s, d: _drawn(s, d))
 
 
-@query("draw_list_whole")
-def _(spark, d):
-    """All boxes, and the evidence of the rules' findings; draw_list's SQL draws a part of the boxes."""
+def _drawn(spark, d) -> DataFrame:
+    """All boxes, and the evidence of the rules' findings."""
     boxes = F.from_json("evidence_bboxes", "array<struct<x1:int,y1:int,x2:int,y2:int>>")
     return report.draw_list(inst(spark, d), rl.findings(model.facts(spark, d), RULES).select("drawing_id", F.inline(boxes)))
 
@@ -491,24 +502,24 @@ def _(spark, d):
     return model.table(spark, d, "events").select("event_id", fuzzy.salvaged(cut).alias("body"))
 
 
-query("ink_overlap_stats", """with c as (select drawing_id, iid, unnest(range(x1, least(x2, x1 + 12))) as x, y1, y2 from inst where iid % 4 = 0), p as (select drawing_id, iid, x, unnest(range(y1, least(y2, y1 + 12))) as y from c), k as (select * from p where (x * 7 + y * 3) % 5 <> 0), s as (select drawing_id, iid, count(*) as ink from k group by all)
-select a.drawing_id, a.iid as a, b.iid as b, count(*) as inter, count(*) / any_value(least(sa.ink, sb.ink))::double as ratio from k a join k b on a.drawing_id = b.drawing_id and a.x = b.x and a.y = b.y and a.iid < b.iid join s sa on sa.iid = a.iid join s sb on sb.iid = b.iid group by a.drawing_id, a.iid, b.iid""")(lambda s, d: _ink_pairs(inst(s, d)))
-
+_INKED = "(x * 7 + y * 3) % 5 <> 0"
+query("ink_overlap_stats", f"""with c as (select iid, unnest(range(x1, x2)) as x, y1, y2 from inst where x2 > x1 and y2 > y1), k as (select iid, x, unnest(range(y1, y2)) as y from c), s as (select iid, count(*) as ink from k where {_INKED} group by iid),
+p as (select a.drawing_id, a.iid as a, b.iid as b, greatest(a.x1, b.x1) as x1, greatest(a.y1, b.y1) as y1, least(a.x2, b.x2) as x2, least(a.y2, b.y2) as y2 from inst a join inst b on a.drawing_id = b.drawing_id and a.iid < b.iid and a.x1 < b.x2 and b.x1 < a.x2 and a.y1 < b.y2 and b.y1 < a.y2),
+u as (select a, b, drawing_id, unnest(range(x1, x2)) as x, y1, y2 from p), v as (select a, b, drawing_id, x, unnest(range(y1, y2)) as y from u), n as (select drawing_id, a, b, count(*) as inter from v where {_INKED} group by all)
+select n.*, inter / least(sa.ink, sb.ink)::double as ratio from n join s sa on sa.iid = n.a join s sb on sb.iid = n.b""")(lambda s, d: _ink(s, d))
 
-def _ink_pairs(rows: DataFrame) -> DataFrame:
-    """Ink in common of boxes whose ink is given as pixels: a join on the pixel."""
-    up_to = lambda a, b: F.sequence(F.col(a), F.least(F.col(b), F.col(a) + 12) - 1)
-    p = rows.filter("iid % 4 = 0").withColumn("x", F.explode(up_to("x1", "x2"))).withColumn("y", F.explode(up_to("y1", "y2"))).filter("(x * 7 + y * 3) % 5 <> 0").select("drawing_id", "iid", "x", "y")
-    s = p.groupBy("drawing_id", "iid").agg(F.count(F.lit(1)).alias("ink"))
-    a, b = p.withColumnRenamed("iid", "a"), p.withColumnRenamed("iid", "b")
-    met = a.join(b, ["drawing_id", "x", "y"]).filter("a < b").groupBy("drawing_id", "a", "b").agg(F.count(F.lit(1)).alias("inter"))
-    out = met.join(s.select("drawing_id", F.col("iid").alias("a"), F.col("ink").alias("ka")), ["drawing_id", "a"]).join(s.select("drawing_id", F.col("iid").alias("b"), F.col("ink").alias("kb")), ["drawing_id", "b"])
-    return out.select("drawing_id", "a", "b", "inter", (F.col("inter") / F.least("ka", "kb")).alias("ratio"))
 
-
-@query("ink_overlap_stats_whole")
-def _(spark, d):
-    """All boxes at full width and height; ink_overlap_stats's SQL reads corners of a quarter of them."""
+def _ink(spark, d) -> DataFrame:
+    """All boxes at full width and height."""
     from .operators import pixels
 
     return pixels.ink_pairs(inst(spark, d), lambda x, y: (x * 7 + y * 3) % 5 != 0)
+
+
+# --- the rule on neighbours, pairs by IoU -------------------------------------------------------
+
+NEIGHBOR_RULE = _rule({"op": "bbox_overlap_count_lte", "path": "annotations", "count": 3, "min_intersection": 4, "min_box_side": 6, "min_overlap_ratio": 0.05, "ignore_horizontal_neighbors": True}, rule_id="NO_OVERLAP_BUT_NEIGHBORS", message="overlaps")
+query("rule_overlap_neighbors", f"""with k as (select * from inst where least(x2 - x1, y2 - y1) >= 6), p as (select a.drawing_id, a.iid as a, b.iid as b from k a join k b on a.drawing_id = b.drawing_id and a.iid < b.iid where {SQL_INTER} >= 4 and {_RATIO} >= 0.05 and not ({_HN} and not (a.keep_pair and b.keep_pair))),
+e as (select drawing_id, a as iid from p union select drawing_id, b from p)
+select p.drawing_id, 'NO_OVERLAP_BUT_NEIGHBORS' as rule_id, 'error' as severity, count(*) as overlap_pairs, any_value(n) as n_ids from p join (select drawing_id, count(distinct (x1, y1, x2, y2)) as n from e join inst using (drawing_id, iid) group by drawing_id) m on p.drawing_id = m.drawing_id group by p.drawing_id having count(*) > 3""")(
+    lambda s, d: rl.findings(annotations(s, d), [NEIGHBOR_RULE]).select("drawing_id", "rule_id", "severity", F.col("actual").cast("long").alias("overlap_pairs"), F.size("related_ids").cast("long").alias("n_ids")))

@@ -166,3 +166,99 @@ def test_streamed_findings_equal_batch(spark, facts, tmp_path):
     found = review.findings_stream(review.facts_stream(spark, str(tmp_path / "in"), facts.schema), [rule])
     review.into_log(found, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
     assert {r.drawing_id for r in spark.read.parquet(str(tmp_path / "log")).collect()} == {"b", "c"}
+
+
+def box(*x):
+    return g.Box(*[F.lit(v) for v in x])
+
+
+def test_neighbours_by_the_wider_character(spark):
+    """Centres are 26 apart: over .55 of the mean width, under .55 of the wider one's."""
+    assert one(spark, g.horizontal_neighbors(box(0, 0, 60, 20), box(46, 0, 66, 20)), g.horizontal_neighbors(box(0, 0, 20, 20), box(18, 0, 38, 20)), g.horizontal_neighbors(box(0, 0, 0, 20), box(3, 0, 23, 20)))[:] == (False, True, False)
+
+
+def boundary_of(spark, material, main, **more):
+    df = spark.createDataFrame([("d", *material, *main)], "drawing_id string, " + ", ".join(f"{p}_{c} int" for p in "mn" for c in ("x1", "y1", "x2", "y2")))
+    r = plans.boundary(df, 1000, **more).first()
+    return (r.m_y1, r.m_y2), (r.n_y1, r.n_y2), r.y1_floor
+
+
+def test_material_main_boundary(spark):
+    assert boundary_of(spark, (0, 100, 9, 350), (0, 200, 9, 420), min_main=100) == ((100, 198), (200, 420), 200)
+    assert boundary_of(spark, (0, 100, 9, 200), (0, 210, 9, 400)) == ((100, 200), (210, 400), 202)
+    assert boundary_of(spark, (0, 300, 9, 400), (0, 100, 9, 200)) == ((100, 200), (300, 400), 202)
+    assert boundary_of(spark, (0, 105, 9, 150), (0, 100, 9, 400)) == ((105, 113), (115, 400), 115)  # five pixels lower is no swap
+
+
+def test_twins_of_odd_widths(spark):
+    rows = spark.createDataFrame([("d", 1, 0, 0, 101, 20), ("d", 2, 5, 5, 5, 5)], "drawing_id string, iid int, x1 int, y1 int, x2 int, y2 int")
+    got = {r.parent_id: (r.x1, r.y1, r.x2, r.y2) for r in plans.twins(rows).collect()}
+    assert got["1"] == (0, 0, 72, 20) and got["1_twin"] == (28, 0, 101, 20) and got["2"] == (5, 5, 5, 7) and got["2_twin"] == (5, 5, 5, 5)
+
+
+@pytest.mark.parametrize(
+    ("kept", "other", "same"),
+    [
+        ((0, 0, 100, 20, 0), (40, -40, 50, 60, 0), False),  # tall across a lower, wide one
+        ((0, 0, 100, 100, 0), (45, 45, 55, 55, 0), False),  # small and inside
+        ((0, 0, 100, 100, 0), (20, 20, 85, 85, 0), True),  # inside, by its area
+        ((0, 0, 10, 10, 0), (11, 0, 21, 10, 0), False),  # a side apart
+        ((0, 0, 30, 10, 0), (0, 12, 30, 22, 0), True),  # 12 apart, .45 of 30 is 13.5
+        ((0, 0, 10, 30, 90), (11, 0, 21, 30, 85), True),
+        ((0, 0, 10, 30, 90), (32, 0, 42, 30, -85), True),  # 32 apart, both turned: 1.1 of 30 is 33
+        ((0, 0, 10, 30, 90), (32, 0, 42, 30, 0), False),
+    ],
+)
+def test_near_duplicates(spark, kept, other, same):
+    rows = [("d", 1, *kept[:4], 9, kept[4]), ("d", 2, *other[:4], 8, other[4])]
+    df = spark.createDataFrame(rows, "drawing_id string, iid int, x1 int, y1 int, x2 int, y2 int, conf int, angle int")
+    assert len(greedy.cluster(df).collect()) == (1 if same else 2)
+
+
+LABELS = [
+    ("finish surface treatment note", "surface finish", 0.8), ("mass", "calculated mass", 0.85), ("calculated mass kg", "calculated mass", 0.85), ("surfoce", "surface", 0.82),
+    ("surface mm2", "surface", 0.9), ("additional material information", "material", 0.0), ("ma ss", "mass", 0.82), ("rev", "rew", 0.0), ("weight", "weight", 1.0), ("x", "drawing number", 0.0), ("", "mass", 0.0),
+]
+
+
+def test_label_scores(spark):
+    for text, alias, score in LABELS:
+        assert abs(fuzzy.label_score(text, alias) - score) < 1e-9, (text, alias)
+    df = spark.createDataFrame([(t, [a, "zzzz"]) for t, a, _ in LABELS], "t string, a array<string>")
+    assert [round(r.s, 9) for r in df.select(fuzzy.match_label(F.col("t"), F.col("a")).alias("s")).collect()] == [s for _, _, s in LABELS]
+
+
+def test_hints_and_blanks(spark):
+    assert one(spark, tx.after_hint(F.lit("QTY: 4 Qty: 5"), "Qty"), plans.field_match(F.lit("\t a\n"), F.lit("a")), plans.field_match(F.lit(None), F.lit("a")))[:] == ("5", True, False)
+
+
+def test_extra_angles_add_to_the_standing_ones(spark):
+    rows = spark.createDataFrame([("d", i, float(x)) for i, x in enumerate([45, 44, 46, 76, 75, 77, 30, 31])], "drawing_id string, iid int, angle double")
+    assert [r.angle for r in greedy.extra_angles(rows).collect()] == [-45, -75, -30]
+    assert [r.angle for r in greedy.extra_angles(rows, existing=(-45,)).collect()] == [-75, -30]
+
+
+def test_boxes_without_parents_pair_by_iou(spark):
+    rows = [("d", 1, 0, 0, 10, 10), ("d", 2, 9, 9, 19, 19), ("d", 3, 2, 0, 12, 10), ("d", 4, 100, 0, 110, 10), ("d", 5, 104, 0, 114, 10)]
+    df = spark.createDataFrame(rows, "drawing_id string, iid long, x1 int, y1 int, x2 int, y2 int")
+    assert sorted((r.iid, r.x1, r.x2, r.n) for r in greedy.merge_by_iou(df).collect()) == [(1, 0, 12, 2), (2, 9, 19, 1), (4, 100, 114, 2)]
+
+
+def test_overlaps_by_grid_equal_the_projection(spark):
+    """Both ways give the same pairs, boxes and ids, with missing boxes, names and lists."""
+    import random
+
+    rng = random.Random(4)
+    item = lambda k: {"bbox": None if k % 17 == 0 else dict(zip(("x1", "y1", "x2", "y2"), (lambda x, y: (x, y, x + rng.randint(0, 150), y + rng.randint(0, 60)))(rng.randint(-50, 400), rng.randint(0, 300)), strict=True)), "id": None if k % 5 == 0 else f"n{k}", "keep_pair": rng.choice([True, False, None]), "parent_id": rng.choice(["p", "q", None])}
+    facts = spark.createDataFrame([(k, [item(j) for j in range(rng.randint(0, 25))] if k else None) for k in range(12)], "drawing_id int, annotations array<struct<bbox:struct<x1:int,y1:int,x2:int,y2:int>,id:string,keep_pair:boolean,parent_id:string>>")
+    for more in ({}, {"min_box_side": 8, "only_keep_pair": True}, {"ignore_horizontal_neighbors": True, "min_overlap_ratio": 0.1}, {"iou_thr": 0.2}):
+        logic = {"op": "bbox_overlap_count_lte", "path": "annotations", "count": 0, **more}
+        direct = rl.compile_logic(logic, facts.schema)
+        want = facts.select("drawing_id", direct.actual.alias("n"), direct.boxes.alias("b"), direct.ids.alias("i")).filter("n <> '0'").collect()
+        rule = {"rule_id": "R", "name": "r", "severity": "error", "logic": {"op": "not", "arg": {"op": "not", "arg": logic}}}
+        got = rl.findings(facts, [rule]).select("drawing_id", "actual", "evidence_bboxes", "related_ids").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
+
+
+def test_salvage_of_deep_nesting():
+    assert fuzzy.salvage("[" * 100_000) is None and fuzzy.salvage('{"a": 1}' + "[" * 100_000) == '[{"a": 1}]'

@@ -29,7 +29,7 @@ def test_ink_of_all_pairs_at_full_size(spark):
                     both, ratio = pixels.overlap_stats(*masks)
                     if both:
                         want[a.drawing_id, a.iid, b.iid] = (both, ratio)
-    got = {(r.drawing_id, r.a, r.b): (r.inter, r.ratio) for r in q.QUERIES["ink_overlap_stats_whole"](spark, SF).collect()}
+    got = {(r.drawing_id, r.a, r.b): (r.inter, r.ratio) for r in q.QUERIES["ink_overlap_stats"](spark, SF).collect()}
     assert got == want and max(v[0] for v in want.values()) > 144
 
 
@@ -40,7 +40,7 @@ def test_ink_of_boxes_without_area_or_on_edges(spark):
 
 
 def test_all_boxes_and_findings_are_drawn(spark):
-    drawn = q.QUERIES["draw_list_whole"](spark, SF).collect()
+    drawn = q.QUERIES["draw_list"](spark, SF).collect()
     n = Counter(r.kind for r in drawn)
     assert n["overlap"] + n["attribute"] == q.inst(spark, SF).count() and n["overlap"] and n["attribute"]
     found = rl.findings(model.facts(spark, SF), q.RULES).collect()
