@@ -63,6 +63,31 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few(df) else df
 
 
+def trimmed(run):
+    """run, an Arrow batch function, that hands memory it has freed back to the system when it ends: workers
+    are used again, and what they keep would add to the next stage's."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return outer
+
+
+def trim() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

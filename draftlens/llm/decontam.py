@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..ship import ship
+from .common import trimmed
 
 WINDOW = 10
 MAX_AUTOMATON = 16_000_000  # pattern characters in one automaton
@@ -133,7 +134,7 @@ def _pass(docs: DataFrame, part, text: str, first: bool) -> DataFrame:
                 names=[*names, "n_words", "hits"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def verdicts(found: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import few, forget, small, written
+from .common import forget, small, trim, trimmed, written
 from .components import components
 from .shingles import SIZE, shingle_set
 
@@ -55,7 +55,7 @@ FREQUENT = 40
 MOST_LISTED = 48
 MOST_FREQUENT = 4_000_000
 BUCKET_BYTES = 16_000_000
-HELD = 1_500_000  # shingles that a task gathers before it sends them
+HELD = 1_000_000  # shingles that a task gathers before it sends them
 BLOCK = 2_500_000  # weight of one side of a block: a set weighs its shingles, LEAST_WEIGHT at least
 LEAST_WEIGHT = 1250
 _U = np.uint64
@@ -164,7 +164,7 @@ def summaries(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataF
             k = len(token)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(k, t) for t in blank), pa.array(np.minimum(n, 2**31 - 1).astype(np.int32)), pa.array(token.view(np.int64)), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())], names=names)
 
-    return docs.mapInArrow(read, schema).repartition(n_buckets, "bucket").mapInArrow(count, schema).drop("blob")
+    return docs.mapInArrow(trimmed(read), schema).repartition(n_buckets, "bucket").mapInArrow(trimmed(count), schema).drop("blob")
 
 
 def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +335,7 @@ def candidates(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size:
                     p = slice(lo, lo + 100_000)
                     yield out(u[p], v[p], c[p], least[p])
 
-    met = texts.mapInArrow(read, "bucket int, blob binary, u long, v long").repartition(n_buckets, "bucket").mapInArrow(lists, "u long, v long, c int, least int")
+    met = texts.mapInArrow(trimmed(read), "bucket int, blob binary, u long, v long").repartition(n_buckets, "bucket").mapInArrow(trimmed(lists), "u long, v long, c int, least int")
     return met.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max("least").alias("least")).filter("c >= least").select("u", "v")
 
 
@@ -437,6 +437,8 @@ def compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         s = [np.frombuffer(x.as_buffer(), np.uint64) for c in t["s"].chunks for x in c]
         number, label = Block(s, t["copies"].to_numpy(), side < 2, side != 1, percent).links()
         at = np.flatnonzero(number)
+        del s
+        trim()
         return pa.table([pa.array(x) for x in (a[at], b[at], number[at], a[label[at]], b[label[at]])], names=["f1", "f2", "links", "r1", "r2"])
 
     out = written(shipped.groupBy("key").applyInArrow(lambda t: linked(t), "f1 long, f2 long, links long, r1 long, r2 long"), "links")
@@ -476,7 +478,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
                     f1, f2 = _halves([fingerprint(s) for s in sets])
                     yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array([s.tobytes() for s in sets], pa.binary())], names=["f1", "f2", "s"])
 
-    linked = compare(members, texts.select("text").mapInArrow(read, "f1 long, f2 long, s binary"), percent)
+    linked = compare(members, texts.select("text").mapInArrow(trimmed(read), "f1 long, f2 long, s binary"), percent)
     forget(copies, members)
     node, root = F.struct("f1", "f2"), F.struct(F.col("r1").alias("f1"), F.col("r2").alias("f2"))
     labels = components(linked.select(node.alias("u"), root.alias("v")))

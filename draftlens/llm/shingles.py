@@ -45,7 +45,7 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have)
-        if size <= 1 << 22:
+        if size <= 1 << 19:
             _cached[name] = have
     return have
 

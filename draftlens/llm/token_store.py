@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import new_path, written
+from .common import new_path, trimmed, written
 
 END_ID = 2
 SHARD_BYTES = 32_000_000  # of text
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_200_000
 #: White space inside a piece, so that its ends aren't sure to be cuts.
 _UNSURE = re.compile(r"\s")
 
@@ -227,7 +227,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
             columns = {"shard": pa.array([shard], pa.int32()), "path": pa.array([path]), "first_id": pa.array(out.ids[:1], out.kind), "last_id": pa.array(out.ids[-1:], out.kind), "n_docs": pa.array([len(out.ids)], pa.int64()), "n_ids": pa.array([sum(out.counts)], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return written(dealt.mapInArrow(run, f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
+    return written(dealt.mapInArrow(trimmed(run), f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
