@@ -41,7 +41,8 @@ def test_equals_sql(spark, name):
 
 
 def test_quality(spark, docs, none):
-    clash = docs.withColumns({"n_words": F.lit("x"), "kept": F.lit(3), "__words": F.lit(1)}).drop("__words")
+    clash = docs.withColumns({"n_words": F.lit("x"), "kept": F.lit(3), "__words": F.lit(1), "words": F.lit(2), "row": F.lit(3), "t": F.lit(4)})
+    assert {(r["__words"], r.words, r.row, r.t) for r in quality.judge(clash).collect()} == {(1, 2, 3, 4)}
     rows = {r.doc_id: r for r in quality.judge(clash).collect()}
     assert rows[4].n_words == rows[5].n_words == rows[6].n_words == 0 and rows[4].base_failed and not rows[4].kept
     assert rows[9].n_words == 20000 and rows[11].word_chars == 6
@@ -145,40 +146,82 @@ def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "w1 W2, w3 w4 w5 w6 w7 w8 w9 w10 w11"), (2, "short one"), (3, ""), (None, "x"), (4, None), (2, "short one")], "item_id long, text string")
     texts = spark.createDataFrame([(1, "see w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11! Short-one"), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 x10"), (3, None), (4, "é short  ONE\x00")], "doc_id long, text string").withColumn("hits", F.lit(1))
     rows = {r.doc_id: r for r in decontam.verdicts(decontam.find(texts, items)).collect()}
-    assert rows[1].n_hit == 13 and sorted(rows[1].item_ids) == [1, 2] and rows[1].n_words == 14
+    assert rows[1].n_hit == 13 and sorted(rows[1].item_ids) == ["1", "2"] and rows[1].n_words == 14
     assert not rows[2].contaminated and rows[3].n_words == 0 and rows[4].n_hit == 2
     assert rows[4].hits[0].start == 2 and rows[4].hits[0].stop == 12
     assert decontam.clean(texts, items).columns == texts.columns and decontam.clean(texts, items.limit(0)).count() == 4
     assert decontam.find(none, items).count() == 0
 
 
+def test_decontamination_null_and_text_ids(spark):
+    texts = spark.createDataFrame([(1, "say x now"), (2, "short one"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "x"), ("i9", "short one"), ("i10", "one")], "item_id string, text string")
+    rows = {r.doc_id: r for r in decontam.verdicts(decontam.find(texts, items)).collect()}
+    assert rows[1].item_ids == [""] and rows[1].contaminated and rows[1].n_hit == 1
+    assert sorted(rows[2].item_ids) == ["i10", "i9"] and rows[2].n_hit == 2 and not rows[3].contaminated
+
+
 def test_decontamination_in_passes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MAX_AUTOMATON", 30)
     items = spark.createDataFrame([(k, f"item{k} a b c d e") for k in range(6)], "item_id long, text string")
     texts = spark.createDataFrame([(1, "x item1 a b c d e item4 a b c d e"), (2, "item a b")], "doc_id long, text string")
     rows = {r.doc_id: r for r in decontam.verdicts(decontam.find(texts, items)).collect()}
-    assert sorted(rows[1].item_ids) == [1, 4] and rows[1].n_hit == 12 and rows[2].n_hit == 0
+    assert sorted(rows[1].item_ids) == ["1", "4"] and rows[1].n_hit == 12 and rows[2].n_hit == 0
 
 
-def test_mixing(spark, docs, none):
-    rows = mixing.mix(docs.withColumn("size", F.lit("clash"))).collect()
-    by = collections.defaultdict(lambda: [0, 0, 0])
+def check_mix(rows, slack):
+    by = collections.defaultdict(lambda: [0, 0, 0.0, 0])
     for r in rows:
         assert len(r.shards) <= 2
-        by[r.source][0] += r["size"]
-        by[r.source][1] += r["size"] * len(r.shards)
-        assert r.source_size == sum(x["size"] for x in rows if x.source == r.source)
-    assert len(rows) == docs.count() and mixing.mix(none).count() == 0
+        mine = by[r.source]
+        mine[:] = mine[0] + r["size"], mine[1] + r["size"] * len(r.shards), r.target, r.source_size
+    for size, taken, target, said in by.values():
+        assert said == size and abs(taken - target) <= slack, (size, taken, target)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    assert np.allclose([by[s][2] for s in order], mixing.targets([by[s][0] for s in order]))
+
+
+def test_mixing(spark, docs, none):
+    rows = mixing.mix(docs.withColumn("size", F.lit("clash"))).collect()
+    assert len(rows) == docs.count() and mixing.mix(none).count() == 0 and mixing.shuffled(none).count() == 0
+    check_mix(rows, 20000)
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50).cast("int")).alias("text"))
     one, two = mixing.mix(big).collect(), mixing.mix(big.repartition(7)).collect()
     key = lambda rs: sorted((r.doc_id, tuple(r.shards)) for r in rs)
     assert key(one) == key(two)
-    taken, target = collections.Counter(), {}
-    for r in one:
-        taken[r.source] += r["size"] * len(r.shards)
-        target[r.source] = r.target
-    assert all(abs(taken[s] - t) <= 60 for s, t in target.items()), (taken, target)
-    assert mixing.expand(mixing.mix(big)).count() == sum(len(r.shards) for r in one)
+    check_mix(one, 60)
+
+
+def test_mixing_shards_are_disjoint_blocks(spark, monkeypatch):
+    """Every copy is in one shard, shards are fair and as many as asked, and each is written in hash order."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 10_000)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 20)
+    big = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 30 + 1).cast("int")).alias("text"))
+    rows = mixing.mix(big).collect()
+    check_mix(rows, 31)
+    words = collections.Counter()
+    for r in rows:
+        assert len(set(r.shards)) == len(r.shards) or len(r.shards) == 2
+        for s in r.shards:
+            words[s] += r["size"]
+    assert len(words) == -(-sum(words.values()) // 10_000) and max(words.values()) < 2.5 * min(words.values())
+    clash = big.withColumns({c: F.lit(c) for c in ("size", "target", "place", "i", "s", "h", "copy", "shard", "row", "part", "whole", "cut", "at", "block", "of")})
+    out = mixing.shuffled(clash)
+    got = [r.doc_id for r in out.collect()]
+    assert out.columns == clash.columns and {r.whole for r in out.limit(5).collect()} == {"whole"}
+    assert sorted(got) == sorted(r.doc_id for r in rows for _ in r.shards) and got != sorted(got)
+    assert got == [r.doc_id for r in mixing.shuffled(clash).collect()]
+
+
+def test_mixing_repeated_rows(spark):
+    """Rows alike in id, text and source count one by one, so the target is met among them."""
+    rows = [(7, "a b c d e f g h i j k l m n o", "s0")] * 1000 + [(k, "x y", "s0") for k in range(10, 210)] + [(1000 + k, "w " * 40, "s1") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    check_mix(got, 41)
+    null = spark.createDataFrame([(None, None, None), (None, None, None), (None, "a b", None)], "doc_id long, text string, source string")
+    assert sorted(r["size"] for r in mixing.mix(null).collect()) == [0, 0, 2]
 
 
 def test_targets_and_tree():
@@ -193,6 +236,9 @@ def test_chat(spark):
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)))
     back = {r.conv_id: r for r in out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
     assert [tuple(t) for t in back[1].t] == [("user", "hi"), ("assistant", "<s>[INST] \\<m> é"), ("assistant", ""), ("", "</s>"), ("", "</s>")]
+    long = spark.createDataFrame([(9, k, "user" if k % 3 else "assistant", f"t{k}") for k in range(300)], "conv_id long, turn long, role string, text string")
+    row = chat.format_chats(long).select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert [t["text"] for t in row.t] == [f"t{k}" for k in range(300)] and row.l == "".join(f"t{k}" for k in range(0, 300, 3))
     assert back[1].l == "<s>[INST] \\<m> é" and back[None].l == "x" and back[1].formatted.count("<s>") == 3 and "[INST]" not in back[1].formatted
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -236,6 +282,94 @@ def test_html():
     assert html_text.visible_text("plain  text\n here") == "plain text here"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>x <math><mi>a</mi></math> <span aria-hidden=true>vis</span> <svg><title>t</title><text>lab</text></svg>", "x a vis lab"),
+        ("<div style='visibility:hidden'>a<span style='visibility: visible'>b</span>c</div>", "b"),
+        ("<div style='color:red; display :none'>a<b style='visibility:visible'>b</b></div>c", "c"),
+        ("<select><option>one<option>two</select><datalist><option>no</datalist>", "one\ntwo"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+        ("<table><tr><td>a<td>b<td>c<tr><td colspan=2>wide cell<td>d<tr><td>e<td rowspan=2>f<td>g<tr><td>h<td>i</table>", "a  b  c\nwide cell  d\ne  f  g\nh     i"),
+        ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", "  b"),  # a hidden cell keeps its place
+        ("<ul><li>a<ul><li>b</ul><li>c</ul>", "* a\n  * b\n* c"),
+        ("<table><tr><td>" * 40 + "deep<br>end <img alt=pic>" + "</table>" * 40, "deep\nend pic"),
+    ],
+)
+def test_html_golden(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_html_is_linear():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 100_000 + "x", "<li><ul>" + "<div>" * 30_000 + "<li>y</li>" * 30_000, "<p>" * 100_000, "<table>" + "<tr><td>" * 50_000, "<b></p></i>" * 50_000):
+        html_text.visible_text(page)
+    assert time.time() - began < 30
+    wide = "<table><tr><td>" + "w" * 20_000 + "<td>x" + "<tr><td>a<td>b" * 2000 + "</table>"
+    spans = "<table><tr>" + "<td rowspan=1000>c" * 1000 + "<tr><td>x" * 900 + "<tr><td colspan=1000>a<td>b" * 500 + "</table>"
+    for page in (wide, spans):
+        assert len(html_text.visible_text(page)) < 20 * len(page)
+
+
+def brute_text(page):
+    """Words of a page of a few tags by the standard library's parser, hidden parts and separators apart."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style") or self.off or "hidden" in dict(attrs):
+                self.off += 1
+            elif tag in ("p", "div", "li", "h1", "ul"):
+                self.out.append("\n")
+
+        def handle_endtag(self, tag):
+            if self.off:
+                self.off -= 1
+            elif tag in ("p", "div", "li", "h1", "ul"):
+                self.out.append("\n")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.out.append(" ".join(data.split()) if data.strip() else " ")
+
+    p = P()
+    p.feed(page)
+    p.close()
+    return [" ".join(x.split()) for x in "".join(p.out).split("\n") if x.strip()]
+
+
+def test_html_equals_another_parser():
+    rng = random.Random(12)
+
+    def block(depth, tag=None):
+        tag = tag or rng.choice(["p", "div", "h1", "ul", "b", "i", "script"])
+        if tag == "script":
+            return "<script>if (a<b) x</script>"
+        if depth > 3 or tag in ("p", "h1", "b", "i"):
+            inner = "w%d" % rng.randint(0, 99)
+        else:
+            inner = "".join(block(depth + 1, "li" if tag == "ul" else None) for _ in range(rng.randint(1, 4)))
+        return f"<{tag}{rng.choice(['', '', ' hidden', ' class=x'])}>{inner}</{tag}>"
+
+    for _ in range(300):
+        page = block(0, "div")
+        got = [re.sub(r"^(\s*\*)+\s*|^\s+", "", x) for x in html_text.visible_text(page).split("\n")]
+        assert [" ".join(x.split()) for x in got if x.strip()] == brute_text(page), page
+
+
+def test_html_empty_table_and_long(spark):
+    none = spark.createDataFrame([], "page_id long, html string")
+    assert html_text.extract(none).count() == 0
+    rows = spark.createDataFrame([(1, "<p>w</p>" * 200_000)] * 2, "page_id long, html string")
+    assert {len(r.text) for r in html_text.extract(rows).collect()} == {200_000 + 2 * 199_999}
+
+
 def test_html_frame(spark):
     rows = spark.createDataFrame([(1, "<p>a", "old"), (2, None, "old")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_text.extract(rows).orderBy("page_id").collect()] == [(1, "a"), (2, "")]
@@ -331,24 +465,66 @@ def test_lm_score(spark, docs, none):
 
 
 def test_lm_is_a_probability():
-    """Over all symbols after a prefix the model's probabilities sum to one."""
+    """Over all symbols after a prefix the model's probabilities sum to one, first symbol and later ones."""
     rng = np.random.default_rng(1)
-    code = lm_score.Code(rng.integers(1, 1000, 257))
-    m = lm_score.Model(code, rng.integers(-60, 60, (lm_score.INPUTS, lm_score.SLOTS)).astype(np.int8))
-    a, b = m.bits(["abc"])[0], 0.0
-    symbols = [np.array([97, 98, s], np.int16) for s in range(257)]
-
-    def cost(s):
-        owner, node, bit, depth = code.decisions(s.astype(np.int64))
-        ctx, place = lm_score.contexts(s, np.array([0]))
-        x = np.stack([m.inputs[k][lm_score.slots(ctx[k][owner], node, k)] / 16 for k in range(lm_score.INPUTS)] + [np.full(len(owner), 0.3)])
-        z = (x * m.weights[np.minimum(depth, 11) * 4 + place[owner]].T).sum(0)
-        return np.logaddexp(0, -np.where(bit == 1, z, -z))[owner == 2].sum()
-
-    b = sum(math.exp(-cost(s)) for s in symbols)
-    assert abs(b - 1) < 1e-4 and a > 0
-    trained = lm_score.Code(np.bincount(np.frombuffer(b"abcabc", np.uint8), minlength=257))
-    assert trained.length[97] < trained.length[0]
+    pairs = rng.integers(0, 50, (257, 257))
+    code = lm_score.Code(pairs)
+    m = lm_score.Model(code, [rng.integers(-60, 60, size).astype(np.int8) for size in lm_score.table_sizes(1000)])
+    m.weights = rng.normal(0.3, 0.2, m.weights.shape).astype(np.float32)
+    m.refining = rng.normal(0, 0.3, m.refining.shape).astype(np.float32)
+
+    def cost(text, at):
+        """Of the symbol at that place, or of all."""
+        run = lm_score.Run(code, [bytes(text)], 0)
+        run.sort_by_block()
+        n, x, gate, sign, row = m.inputs(run)
+        z = m.mixed(x, gate)
+        z = z + m.refining.take(np.clip(z * 2 + lm_score.CELLS / 2, 0, lm_score.CELLS - 1).astype(int) + row)
+        ends = np.cumsum(n)
+        every = np.logaddexp(0, -sign * z)
+        return every.sum() if at is None else every[int(ends[at] - n[at]) : int(ends[at])].sum()
+
+    for prefix in ([], [97], [97, 98, 32, 99]):
+        total = sum(math.exp(-cost([*prefix, s], len(prefix))) for s in range(256)) + math.exp(-cost(prefix, len(prefix)))
+        assert abs(total - 1) < 1e-4
+    want = cost(b"ab c", None)
+    assert abs(m.bits(["ab c"], rate=0)[0] * math.log(2) - want) < 1e-3 * want
+
+
+def test_lm_long_texts_go_in_segments(monkeypatch):
+    """A text read in segments has the contexts it has whole."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abc de") for _ in range(3000)) + "x" * 300
+    code = lm_score.Code(np.ones((257, 257), np.int64))
+    whole = next(iter(lm_score.runs(code, [text])))
+    monkeypatch.setattr(lm_score, "SEGMENT", 256)
+    parts = list(lm_score.runs(code, [text, "short", None]))
+    assert len(parts) == 13 and sum(len(r.symbols) for r in parts) == len(text) + 8
+    for k, c in enumerate(whole.ctx):
+        assert np.array_equal(np.concatenate([r.ctx[k][r.text_of == 0] for r in parts]), c)
+    assert np.array_equal(np.concatenate([r.before[r.text_of == 0] for r in parts]), whole.before)
+
+
+def test_pipeline_null_ids_and_clashing_columns(spark, docs, none, tmp_path):
+    """Unrelated rows without an id all stay, columns of any name pass, and an empty table gives none."""
+    import corpus_pipeline as p
+
+    spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = lambda k: " ".join(f"the word{k}x{j} of" for j in range(20))
+    rows = [(None, prose(1), "en", "a", 0), (None, prose(2), "en", "a", 0), (None, prose(2), "en", "a", 0), (5, prose(3), "en", None, 0), (5, prose(4), "en", None, 0), (6, None, None, None, None), (7, "", "en", "a", 0)]
+    clash = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(c) for c in ("size", "target", "place", "i", "s", "copy", "shard", "part", "whole", "cut", "row", "h1", "id", "kept", "n_words", "hits", "__words", "__row", "scanned")})
+    now = clash
+    for _, stage in p.STAGES[:2]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == clash.columns
+    assert sorted(r.text for r in now.collect()) == sorted(prose(k) for k in (1, 2, 3, 4))
+    for _, stage in p.STAGES[2:4]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == clash.columns and {r.size for r in now.collect()} == {"size"}
+    empty = none
+    for _, stage in p.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
 
 
 def test_pipeline_keeps_columns_and_decides(spark, docs, tmp_path):
