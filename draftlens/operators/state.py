@@ -29,11 +29,35 @@ def append(rows: DataFrame, path: str, partition: str = "backend") -> None:
 
 
 def enqueue(results: DataFrame, enqueue_warn: bool = True) -> DataFrame:
-    """What goes to review: failed or in doubt; with enqueue_warn all, clean ones too."""
-    due = F.lit(True) if enqueue_warn else ~F.col("passed") | (F.col("n_review") > 0)
+    """What goes to review: failed, in doubt (n_review) or warned (n_warn, if there is such a column); with
+    enqueue_warn all, clean ones too."""
+    warned = F.col("n_warn") > 0 if "n_warn" in results.columns else F.lit(False)
+    due = F.lit(True) if enqueue_warn else ~F.col("passed") | (F.col("n_review") > 0) | warned
     return results.filter(due).withColumn("status", F.lit("pending"))
 
 
+#: Fixed values.
+DECISIONS = ("approve", "reject", "revise")
+
+
+def resolve(items: DataFrame, decisions: DataFrame, key: str = "drawing_id") -> DataFrame:
+    """items with status, decision, reviewer and comment after decisions (key, decision, reviewer, comment); an
+    unknown decision is an error. Items without one stay as they are."""
+    d = decisions.select(F.col(key).alias("of"), F.when(F.col("decision").isin(*DECISIONS), F.col("decision")).otherwise(F.raise_error(F.concat(F.lit("unknown decision: "), F.coalesce("decision", F.lit("null"))))).alias("decision"), F.coalesce("reviewer", F.lit("human")).alias("reviewer"), F.coalesce("comment", F.lit("")).alias("comment"))
+    kept = items.drop("decision", "reviewer", "comment")
+    out = kept.join(d, F.col(key) == F.col("of"), "left")
+    return out.withColumn("status", F.when(F.col("decision").isNotNull(), "resolved").otherwise(F.col("status"))).drop("of")
+
+
+def pending(items: DataFrame) -> DataFrame:
+    return items.filter("status = 'pending'")
+
+
+def in_doubt(instances: DataFrame) -> DataFrame:
+    """(drawing_id, entity_id) of entities with an instance that needs review."""
+    return instances.filter("needs_review").select("drawing_id", "entity_id").distinct()
+
+
 def latest(log: DataFrame, key: str = "drawing_id") -> DataFrame:
     """The last event of each item."""
     cols = [c for c in log.columns if c != key]

@@ -11,7 +11,7 @@ from . import model
 from .functions import angle as an
 from .functions import geometry as g
 from .functions import text as tx
-from .operators import greedy, pairs, perceive, plans, report, state
+from .operators import greedy, pairs, perceive, planning, plans, report, state
 from .plans import rules as rl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -516,6 +516,59 @@ def _ink(spark, d) -> DataFrame:
     return pixels.ink_pairs(inst(spark, d), lambda x, y: (x * 7 + y * 3) % 5 != 0)
 
 
+# --- plans with fields, title blocks, fields above labels, review --------------------------------
+
+_FIELD = "select entity_id, cast(drawing_id % 3 as varchar) as locate_query, iid as seq, 0 as pos, 'f' || cast(iid % 5 as varchar) as name, case when iid % 3 = 0 then txt when iid % 3 = 1 then '' end as hint, iid % 41 = 0 as required, case when iid % 7 = 0 then 'size_position' end as locate from inst "
+query("merge_plan_fields", f"""with e as ({_FIELD} union all select entity_id, cast(drawing_id % 3 as varchar), iid, 1, 'last', null, false, null from inst where iid % 2 = 0)
+select entity_id, locate_query, string_agg(name || ':' || coalesce(hint, name) || ':' || cast(required as varchar) || ':' || coalesce(locate, 'label'), ';' order by seq, pos) as fields from (
+select entity_id, locate_query, name, min(seq) as seq, arg_min(pos, seq) as pos, arg_max(hint, seq) filter (coalesce(hint, '') <> '') as hint, bool_or(required) as required, arg_max(locate, seq) filter (locate is not null) as locate from e group by all) group by all""".replace("group by all) group by all", "group by entity_id, locate_query, name) group by entity_id, locate_query"))(lambda s, d: _plan_fields(s, d))
+
+
+def _plan_fields(spark, d) -> DataFrame:
+    none = F.lit(None).cast("string")
+    field = F.struct(F.concat(F.lit("f"), (F.col("iid") % 5).cast("string")).alias("name"), F.when(F.col("iid") % 3 == 0, F.col("txt")).when(F.col("iid") % 3 == 1, "").alias("parse_hint"), (F.col("iid") % 41 == 0).alias("required"), F.when(F.col("iid") % 7 == 0, "size_position").alias("locate_by"))
+    last = F.struct(F.lit("last").alias("name"), none.alias("parse_hint"), F.lit(False).alias("required"), none.alias("locate_by"))
+    entries = inst(spark, d).select("entity_id", (F.col("drawing_id") % 3).cast("string").alias("locate_query"), F.col("iid").alias("seq"), F.when(F.col("iid") % 2 == 0, F.array(field, last)).otherwise(F.array(field)).alias("fields"))
+    told = lambda f: F.concat_ws(":", f["name"], f["parse_hint"], f["required"].cast("string"), f["locate_by"])
+    return planning.merge_fields(entries).select("entity_id", "locate_query", F.array_join(F.transform("fields", told), ";").alias("fields"))
+
+
+query("title_block_split", f"""with s as (select drawing_id, min(x1) as a, min(y1) as b, max(x2) as c, max(y2) as d from inst where iid % 3 = 0 and x2 > x1 and y2 > y1 group by drawing_id),
+p as (select s.*, i.y1 from s join inst i on s.drawing_id = i.drawing_id where i.txt = 'note' and (i.x1 + i.x2) / 2.0 between greatest(0, a - 12) and least({W}, c + 12) and (i.y1 + i.y2) / 2.0 between greatest(0, b - 40) and least({H}, d + 12)),
+q as (select drawing_id, a, b, c, d, max(y1) as y from p group by all), r as (select *, least(greatest(0, b - 12), greatest(0, y - 4)) as t from q)
+select drawing_id, y as product_y, greatest(0, a - 12) as m_x1, t as m_y1, least({W}, c + 12) as m_x2, greatest(t + 4, y) as m_y2, greatest(0, a - 12) as n_x1, y as n_y1, least({W}, c + 12) as n_x2, least({H}, d + 12) as n_y2 from r""")(
+    lambda s, d: planning.title_split(inst(s, d).filter("iid % 3 = 0"), inst(s, d).withColumn("text", F.when(F.col("txt") == "note", "Product no.").otherwise(F.concat(F.lit("byproducts "), "txt"))), W, H))
+
+
+@query("fields_above_labels")
+def _(spark, d):
+    """Every page as a table: notes are its labels, one field each for three forms of them."""
+    rows = inst(spark, d).withColumn("text", F.when(F.col("txt") == "note", F.element_at(F.array(F.lit("Weight"), F.lit("surfoce"), F.lit("Article number")), ((F.col("iid") / 6).cast("int") % 3 + 1).cast("int"))).otherwise(F.col("txt")))
+    fields = spark.createDataFrame([(0, "weight"), (1, "surface"), (2, "article_no")], "seq int, name string").withColumn("aliases", tx.field_aliases(F.lit(None).cast("string"), F.col("name")))
+    tables = rows.select(F.col("drawing_id").alias("table_id")).distinct()
+    return planning.fields_above_labels(rows.withColumnRenamed("drawing_id", "table_id"), tables.crossJoin(F.broadcast(fields)))
+
+
+query("review_resolve", f"""select drawing_id, case when drawing_id % 3 = 0 then 'resolved' else 'pending' end as status, case when drawing_id % 3 = 0 then 'approve' end as decision, case when drawing_id % 3 = 0 then 'human' end as reviewer from tb where {_BLANK} or drawing_id % 7 = 0""")(
+    lambda s, d: (lambda due: state.resolve(due, due.filter("drawing_id % 3 = 0").select("drawing_id", F.lit("approve").alias("decision"), F.lit(None).cast("string").alias("reviewer"), F.lit(None).cast("string").alias("comment"))).select("drawing_id", "status", "decision", "reviewer"))(_due(s, d, False)))
+query("review_pending", f"select drawing_id from tb where ({_BLANK} or drawing_id % 7 = 0) and drawing_id % 3 <> 0")(
+    lambda s, d: (lambda due: state.pending(state.resolve(due, due.filter("drawing_id % 3 = 0").select("drawing_id", F.lit("reject").alias("decision"), F.lit("r").alias("reviewer"), F.lit("").alias("comment")))).select("drawing_id"))(_due(s, d, False)))
+query("review_warned", "select o.drawing_id from (select tb.drawing_id, count(c.seq) as n from tb left join comp c on tb.drawing_id = c.drawing_id group by tb.drawing_id) o join tb on o.drawing_id = tb.drawing_id where n < 2 or part_no is null or trim(part_no) = ''")(
+    lambda s, d: _warned(s, d))
+
+
+def _warned(spark, d) -> DataFrame:
+    facts = model.facts(spark, d)
+    warned = rl.findings(facts, RULES).groupBy("drawing_id").agg(F.count_if(F.col("severity") == "warn").alias("n_warn"))
+    rows = rl.results(facts, RULES).withColumn("n_review", F.lit(0)).join(warned, "drawing_id", "left").withColumn("n_warn", F.coalesce("n_warn", F.lit(0)))
+    return state.enqueue(rows, False).select("drawing_id")
+
+
+query("entities_in_doubt", "select distinct drawing_id, entity_id from inst where iid % 9 = 0")(lambda s, d: state.in_doubt(inst(s, d).withColumn("needs_review", F.col("iid") % 9 == 0)))
+query("field_aliases", r"""select p_partkey, list_distinct(list_filter([trim(regexp_replace(regexp_replace(lower(regexp_extract(p_type, '^[^ ]+')), '[^a-z0-9一-鿿]+', ' ', 'g'), '\s+', ' ', 'g')), 'weight', 'mass', 'veight', 'eight'], lambda x: length(x) > 0)) as a from part""".replace("as a from part", "as l from part").replace("select p_partkey, list_distinct", "select p_partkey, array_to_string(list_sort(list_distinct").replace("length(x) > 0)) as l", "length(x) > 0))), ',') as aliases"))(
+    lambda s, d: model.table(s, d, "part").select("p_partkey", F.array_join(F.array_sort(tx.field_aliases(F.concat(F.regexp_extract("p_type", "^[^ ]+", 0), F.lit("重量说明/no label")), F.lit("weight"))), ",").alias("aliases")))
+query("merge_pairs_by_iou")(lambda s, d: greedy.merge_by_iou(inst(s, d)))
+
 # --- the rule on neighbours, pairs by IoU -------------------------------------------------------
 
 NEIGHBOR_RULE = _rule({"op": "bbox_overlap_count_lte", "path": "annotations", "count": 3, "min_intersection": 4, "min_box_side": 6, "min_overlap_ratio": 0.05, "ignore_horizontal_neighbors": True}, rule_id="NO_OVERLAP_BUT_NEIGHBORS", message="overlaps")

@@ -262,3 +262,47 @@ def test_overlaps_by_grid_equal_the_projection(spark):
 
 def test_salvage_of_deep_nesting():
     assert fuzzy.salvage("[" * 100_000) is None and fuzzy.salvage('{"a": 1}' + "[" * 100_000) == '[{"a": 1}]'
+
+
+def test_plan_of_a_configuration(spark):
+    from draftlens.operators import planning
+
+    config = {
+        "objects": [
+            {"entity_id": "stamp", "fields": [{"name": "who"}, {"name": ""}, "x"], "max_new_tokens": "64"}, {"entity_id": "off", "enabled": False}, {"locate_query": "no id"},
+            {"parse_kind": "Dimension_Marks", "enabled": True, "backend": "OCR", "exclude_table_pad": 3},
+        ],
+        "tables": {"locate_query": "the table", "sections": [{"entity_id": "material_table", "read_mode": "above_cells", "fields": [{"name": "weight", "parse_hint": "Weight/Mass", "required": 1, "locate_by": "size_position"}]}, {"entity_id": "main_table", "enabled": False}]},
+        "dimension_marks": {"enabled": True, "entity_id": "old"},
+    }
+    plan = planning.parse_plan(config)
+    assert [e["entity_id"] for e in plan] == ["stamp", "number_mark", "material_table"]
+    assert plan[0] == {"entity_id": "stamp", "locate_query": "stamp", "cardinality": "one", "parse_kind": "object", "fields": [{"name": "who", "parse_hint": "who", "required": False, "locate_by": "label"}], "crop_expand": None, "max_new_tokens": 64}
+    assert plan[1]["backend"] == "ocr" and len(plan[1]["fields"]) == 6 and plan[1]["exclude_table_pad"] == 3.0 and plan[1]["ocr_angle_adapt_step"] == 15.0
+    assert plan[2]["value_as_array"] and plan[2]["locate_query"] == "the table" and plan[2]["section"] == "material_table" and plan[2]["fields"][0]["locate_by"] == "size_position"
+    assert planning.parse_plan({"dimension_marks": {"enabled": True}})[0]["entity_id"] == "number_mark" and planning.parse_plan(None) == [] and not planning.marks_config({})["enabled"]
+    rows = planning.plan_rows(spark, plan)
+    assert planning.merge_fields(rows.unionByName(rows.withColumn("seq", F.col("seq") + 9))).count() == 3
+
+
+def test_fields_above_labels(spark):
+    from draftlens.operators import planning
+
+    items = [(1, "Weight", 0, 100, 50, 110), (2, " 12 kg ", 2, 80, 48, 90), (3, "11 kg", 2, 60, 48, 70), (4, "far", 0, 0, 50, -5), (5, "Surfoce mm2", 100, 100, 150, 110), (6, "Article number", 100, 90, 150, 96), (7, "8 mm", 100, 75, 150, 85), (8, "weight", 0, 20, 50, 30), (9, "", 0, 70, 50, 80)]
+    rows = spark.createDataFrame([(1, i, t, *b) for i, t, *b in items], "table_id int, iid int, text string, x1 int, y1 int, x2 int, y2 int")
+    fields = spark.createDataFrame([(1, 0, "weight"), (1, 1, "surface"), (1, 2, "volume")], "table_id int, seq int, name string").withColumn("aliases", tx.field_aliases(F.lit("重 量"), F.col("name")))
+    got = {r.name: (r.label, r["values"]) for r in planning.fields_above_labels(rows, fields).collect()}
+    # The lower of two equal labels; the article number is text like any other here, as no field has its alias.
+    assert got == {"weight": ("Weight", ["11 kg", "12 kg"]), "surface": ("Surfoce mm2", ["8 mm", "Article number"]), "volume": (None, None)}
+
+
+def test_review_decisions(spark):
+    from draftlens.operators import planning, state
+
+    items = spark.createDataFrame([("a", "pending"), ("b", "pending")], "drawing_id string, status string")
+    done = state.resolve(items, spark.createDataFrame([("a", "revise", "me", None)], "drawing_id string, decision string, reviewer string, comment string"))
+    assert {(r.drawing_id, r.status, r.decision, r.comment) for r in done.collect()} == {("a", "resolved", "revise", ""), ("b", "pending", None, None)}
+    with pytest.raises(Exception, match="unknown decision"):
+        state.resolve(items, spark.createDataFrame([("a", "maybe", "me", "")], "drawing_id string, decision string, reviewer string, comment string")).collect()
+    cells = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    assert one(spark, planning.as_list(cells(" a ", None, "", "b")), planning.as_list(cells(" ", None)), planning.as_scalar(cells("x ")), planning.as_scalar(cells("x", "y")), planning.as_scalar(F.lit(None).cast("array<string>")))[:] == (["a", "b"], None, "x", '["x","y"]', None)
