@@ -1,15 +1,18 @@
 """Personal data: base patterns plus a character BiLSTM-CRF that adds spans.
 
-Kinds: email, ip, card, phone. The base patterns run over the whole text. The tagger looks at
-regions: the characters within REACH of a digit or an @, without which no kind can be. A region
-is cut into windows of WINDOW characters that overlap by half; each window's emission scores,
-weighed by the distance to the window's ends, are averaged per character, and one CRF decoding
-over the whole region settles it: windows can't disagree. A decoded span is added if it meets its
-kind's own condition (digits, checksum, parts) and overlaps no base span; base spans stay.
+Kinds: email, ip, card, phone. The base patterns and the tagger both run over the whole text. The
+tagger reads windows of WINDOW characters that overlap; each is decoded with the CRF transitions. The windows'
+spans are then reconciled over the whole text: of spans that overlap, those cut by a window's end are united
+with their other part, and else the one nearest to the middle of its window stands. A window is left out only
+where it can change no result: it and its neighbours have nothing that a kind's own condition asks for.
+A decoded span is added if it meets its kind's own condition (digits, checksum, parts) and overlaps no
+base span; base spans stay.
 
-The tagger is trained from labelled spans that a seeded generator writes: the kinds in written
-variants (spaces or brackets about the @ and dots, phone numbers without a plus, ...), among
-made-up words and look-alikes that are none (hex keys, key ids, versions, dates, prices).
+The tagger is trained in numpy from labelled spans that a seeded generator writes: the kinds in written
+variants (spaces or brackets about the @ and dots, at and dot spelled out, phone numbers without a plus, ...),
+among made-up words and look-alikes that are none (hex keys, key ids, versions, dates, prices, at and dot in prose).
+
+Memory: windows are read GROUP characters at a time, whatever the length of the texts.
 
 Defined results: null and empty texts have no spans; spans are code points, end exclusive,
 ordered by start, then by kind as listed; repeated rows are searched one by one; other columns
@@ -28,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..ship import ship
+from .common import trimmed
 from .tagger import Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
-REACH, WINDOW = 24, 64
-BATCH, STEPS = 48, 420
+WINDOW, STEP, TRAINED = 128, 96, 64
+GROUP = 1 << 18
+BATCH, STEPS = 64, 500
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -85,11 +90,22 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
+# An @ may have spaces or brackets about it, and so may its dots; where at is spelled out, dots are
+# spelled out or in brackets too, or stand close, so that a sentence's end is none.
+_LEFT, _RIGHT = r"(?:\s*[\[({<]\s*|\s+)", r"(?:\s*[\])}>]\s*|\s+)"
+_SIGN, _AT, _SPELLED = r"\s*[\[({<]?\s*@\s*[\])}>]?\s*", rf"{_LEFT}(?:at|AT){_RIGHT}", rf"(?:{_LEFT}(?:dot|DOT){_RIGHT}|\s*[\[({{<]\s*\.\s*[\])}}>]\s*|\.)"
+_DOT = rf"(?:{_SPELLED}|\s*\.\s*)"
+_EMAIL = re.compile(rf"[\w%+-]+(?:{_DOT}[\w%+-]+){{0,3}}{_SIGN}[\w-]+(?:{_DOT}[\w-]+){{1,4}}|[\w%+-]+(?:{_SPELLED}[\w%+-]+){{0,3}}{_AT}[\w-]+(?:{_SPELLED}[\w-]+){{1,4}}")
+#: Every span that can be plausible has one of these in it.
+_NEEDED = re.compile(rf"[0-9@]|{_AT}[\w-]+{_SPELLED}")
+MOST_SPAN = 120
+
+
 def plausible(kind: int, s: str) -> bool:
     """Whether a decoded span's text can be of its kind."""
     d = "".join(c for c in s if "0" <= c <= "9")
     if kind == 0:
-        return bool(re.fullmatch(r"[\w.%+-]+\s*[\[(]?\s*(@|at)\s*[\])]?\s*[\w-]+(\s*[\[(]?(\.|dot)[\])]?\s*[\w-]+)+", s)) and "@" in s
+        return len(s) <= MOST_SPAN and bool(_EMAIL.fullmatch(s))
     if kind == 1:
         parts = re.findall(r"[0-9]+", s)
         return len(parts) == 4 and all(_small(x) for x in parts)
@@ -112,8 +128,9 @@ def _made(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
 
     def email() -> str:
-        at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), ("[@]", "."), ("(@)", "."), (" @ ", " . "), ("@", "[.]"))
-        return letters(int(rng.integers(3, 9)), "abcdefghiklmnoprstu") + pick("", "." + digits(2), "_" + letters(4)) + at + letters(int(rng.integers(3, 7)), "abcdeilmnost") + dot.join(["", pick("example", "mail", letters(5)), pick("com", "org", "net", "de")])
+        at, dot = pick(("@", "."), ("@", "."), (" @ ", "."), ("[@]", "."), ("(@)", "."), (" @ ", " . "), ("@", "[.]"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), (" at ", " dot "), ("(at)", "[dot]"), (" AT ", " DOT "))
+        host = [letters(int(rng.integers(3, 9)), "abcdeilmnost"), *([pick("example", "mail", letters(5))] if rng.integers(2) else []), pick("com", "org", "net", "de", "co", "fr", "es", "io")]
+        return letters(int(rng.integers(3, 9)), "abcdefghiklmnoprstu") + pick("", "", "." + digits(2), "_" + letters(4), dot + letters(6)) + at + dot.join(host)
 
     def ip() -> str:
         return pick(".", ".", "[.]", "(.)", " . ", "-").join(str(int(rng.integers(1, 255))) for _ in range(4))
@@ -124,10 +141,10 @@ def _made(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
 
     def other() -> str:
         hexes = lambda n: letters(n, "0123456789abcdef")
-        return pick(f'token = "{hexes(40)}"', f"password={hexes(18)}", "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"${digits(3)}.{digits(2)}", digits(int(rng.integers(1, 8))), digits(20), f"@{word()}", f"{digits(2)}:{digits(2)}", f"sha256:{hexes(32)}", f"{digits(1)},{digits(3)},{digits(3)}")
+        return pick(f'token = "{hexes(40)}"', f"password={hexes(18)}", "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), f"v{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"${digits(3)}.{digits(2)}", digits(int(rng.integers(1, 8))), digits(20), f"@{word()}", f"{digits(2)}:{digits(2)}", f"sha256:{hexes(32)}", f"{word()} at {word()} dot", f"at {word()} dot {word()}", f"{word()}. {word()} at {word()}", f"(dot) [at] {word()}", f"{digits(1)},{digits(3)},{digits(3)}")
 
     text, spans = "", []
-    while len(text) < WINDOW + 40:
+    while len(text) < TRAINED + 40:
         kind = int(rng.integers(0, 14))
         if kind < 4:
             s = (email, ip, card, phone)[kind]()
@@ -142,83 +159,107 @@ def _made(rng: np.random.Generator) -> tuple[str, list[tuple[int, int, int]]]:
 
 
 def made_batch(rng: np.random.Generator, n: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (time, batch) of made-up lines and their tags: 0, or 1 + 2 * kind at a span's start, 2 + 2 * kind inside."""
+    """Windows (time, batch) of made-up lines and their tags: 0, or 1 + kind inside a span."""
     xs, ys = [], []
     while len(xs) < n:
         text, spans = _made(rng)
         y = np.zeros(len(text), np.int64)
         for a, k, b in spans:
-            y[a:b] = 2 + 2 * k
-            y[a] = 1 + 2 * k
+            y[a:b] = 1 + k
         lo = int(rng.integers(0, 40))
-        xs.append(classes(text)[lo : lo + WINDOW])
-        ys.append(y[lo : lo + WINDOW])
+        xs.append(classes(text)[lo : lo + TRAINED])
+        ys.append(y[lo : lo + TRAINED])
     return np.array(xs).T, np.array(ys).T
 
 
 @functools.lru_cache(maxsize=4)
 def fit(steps: int = STEPS, seed: int = 11) -> Tagger:
     rng = np.random.default_rng(seed)
-    tagger = Tagger(1 + 2 * len(KINDS))
+    tagger = Tagger(1 + len(KINDS))
     tagger.train(made_batch(rng) for _ in range(steps))
     return tagger
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def needed(text: str, every: bool = False) -> np.ndarray:
+    """The numbers of the windows that can give a span: plausible() asks each kind for something of _NEEDED, so a
+    window without any, itself and in the two beside it, gives none. every: all windows."""
+    n = max(0, -(-(len(text) - WINDOW) // STEP)) + 1 if text else 0
+    if every:
+        return np.arange(n)
+    at = np.array([x for m in _NEEDED.finditer(text) for x in (m.start(), m.end() - 1)], np.int64)
+    wanted = np.zeros(n, bool)
+    if len(at):
+        first, last = np.maximum(0, (at - WINDOW) // STEP + 1) - 1, at // STEP + 1
+        for d in range(int((last - first).max()) + 1):
+            wanted[np.clip(np.minimum(first + d, last), 0, n - 1)] = True
+    return np.flatnonzero(wanted)
 
 
-_EDGE = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
+def windows(texts: list[str], every: bool = False):
+    """(classes (window, character), text of each, where it starts) in runs of about GROUP characters;
+    a text's windows start at multiples of STEP, the last one is filled up with spaces."""
+    held, size = [], 0
 
+    def out():
+        return np.concatenate([h[0] for h in held]), np.concatenate([np.full(len(h[0]), h[1]) for h in held]), np.concatenate([h[2] for h in held])
 
-def decoded(tagger: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) per text, windows of all regions scored together."""
-    step, jobs, windows = WINDOW // 2, [], []
+    blank, per = classes(" ")[0], GROUP // WINDOW
     for k, t in enumerate(texts):
-        for a, b in regions(t):
-            x = np.full(max(WINDOW, -(-(b - a) // step) * step), classes(" ")[0])
-            x[: b - a] = classes(t[a:b])
-            starts = range(0, len(x) - WINDOW + 1, step)
-            jobs.append((k, a, b, len(windows), len(starts), len(x)))
-            windows += [x[s : s + WINDOW] for s in starts]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    if not jobs:
-        return out
-    parts = [tagger.scores(np.array(windows[i : i + 1024]).T).transpose(1, 0, 2) for i in range(0, len(windows), 1024)]
-    scores = np.concatenate(parts)
-    for k, a, b, first, n, size in jobs:
-        total, weight = np.zeros((size, tagger.k), np.float32), np.zeros((size, 1), np.float32)
-        for j in range(n):
-            s = slice(j * step, j * step + WINDOW)
-            total[s] += scores[first + j] * _EDGE
-            weight[s] += _EDGE
-        tags = tagger.best((total / weight)[: b - a])
-        i = 0
-        while i < len(tags):
-            if tags[i] == 0:
-                i += 1
-                continue
-            kind, j = (tags[i] - 1) // 2, i + 1
-            while j < len(tags) and tags[j] == 2 + 2 * kind:
-                j += 1
-            out[k].append((a + i, int(kind), a + j))
-            i = j
-    return out
-
-
-def find(tagger: Tagger, texts: list[str | None]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text."""
+        mine = needed(t, every)
+        for run in np.split(mine, np.flatnonzero(np.diff(mine) > 1) + 1) if len(mine) else []:
+            for lo in range(0, len(run), per):
+                start = run[lo : lo + per] * STEP
+                x = np.full((len(start) - 1) * STEP + WINDOW, blank)
+                part = classes(t[int(start[0]) : int(start[0]) + len(x)])
+                x[: len(part)] = part
+                held.append((np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STEP], k, start))
+                size += len(start) * WINDOW
+                if size >= GROUP:
+                    yield out()
+                    held, size = [], 0
+    if held:
+        yield out()
+
+
+def decoded(tagger: Tagger, texts: list[str], every: bool = False) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) per text, reconciled over its windows; those that can give no span are left out."""
+    found: list[list[tuple]] = [[] for _ in texts]
+    for x, text, start in windows(texts, every):
+        for lo in range(0, len(x), 512):
+            tags = tagger.best(tagger.scores(np.ascontiguousarray(x[lo : lo + 512].T)))
+            for w in np.flatnonzero(tags.any(0)).tolist():
+                k, at, mine = int(text[lo + w]), int(start[lo + w]), tags[:, w]
+                edge = np.flatnonzero(np.diff(mine, prepend=0, append=0))
+                for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    a, b = at + i, min(at + j, len(texts[k]))
+                    if mine[i] and b > a:
+                        cut = (i == 0 and at > 0) or (j == WINDOW and at + WINDOW < len(texts[k]))
+                        found[k].append((a, int(mine[i]) - 1, b, cut, abs(i + j - WINDOW)))
+    return [reconciled(f) for f in found]
+
+
+def reconciled(found: list[tuple]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the spans of a text's windows (start, kind, end, cut by the window's end,
+    distance from its middle)."""
+    out: list[tuple] = []
+    for span in sorted(found):
+        if not out or span[0] >= out[-1][2]:
+            out.append(span)
+            continue
+        last = out[-1]
+        if last[1] == span[1] and (last[3] or span[3]):
+            out[-1] = (last[0], last[1], max(last[2], span[2]), last[3] and span[3], min(last[4], span[4]))
+        elif (span[3], span[4]) < (last[3], last[4]):
+            out[-1] = span
+    return [s[:3] for s in out]
+
+
+def find(tagger: Tagger, texts: list[str | None], every: bool = False) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text. every: no window is left out."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
     out = []
-    for t, own, more in zip(texts, base, decoded(tagger, texts), strict=True):
+    for t, own, more in zip(texts, base, decoded(tagger, texts, every), strict=True):
         all_ = list(own)
         for a, k, b in more:
             while b > a and t[b - 1] in " .,;:\n\t":
@@ -250,7 +291,7 @@ def tag(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
                 rows = [[{"kind": KINDS[k], "start": x, "stop": y, "base": (x, k, y) in own} for x, k, y in every] for own, every in find(held.value, part.column(at).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind)], names=[*names, "spans"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(SPANS).fields]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, *StructType.fromDDL(SPANS).fields]))
 
 
 def masked(found: DataFrame, text: str = "text") -> DataFrame:
