@@ -16,7 +16,11 @@ number of words on the toxic side gives the text's probability. Runs of one-lett
 joined to one word, so spaced-out insults are seen.
 
 The fit uses at most SAMPLE_TOXIC and SAMPLE_OTHER labelled training rows, those first by a
-hash of the id; every text is scored whole. Only the text enters a score.
+hash of the id, whole; of their word forms, which grow with the sample alone, it takes the numbers above. Longer words
+than CHUNK characters are scored by overlapping pieces, and don't count as toxic in the fit, where they are
+mostly junk. Every text is scored whole. Only the text enters a score.
+
+What is learned is a word's toxicity: an insult that is only one as several words together isn't found.
 
 Defined results: null and empty texts have no words and get the score of a text without any;
 without toxic or without other labels the score is the share of toxic ones (0 without labels);
@@ -32,8 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..ship import ship
+from .common import trimmed
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 2500, 5000
+MOST_POSITIVE, MOST_PERTURBED = 3000, 400  # word forms that count as toxic, by their texts; and of them those with perturbed copies
+MOST_COMMON, MOST_DRAWN, MOST_HARD = 1500, 6000, 2000  # clean forms: the most common, drawn ones, and a round's highest scored
 LANDMARKS, DECAY, SPAN = 160, 0.65, 6
 SYMBOLS, CHUNK, STEP = 64, 24, 12
 MOST_CACHED = 1_000_000
@@ -215,12 +222,12 @@ def fit(toxic: list[str | None], other: list[str | None], landmarks: int = LANDM
     share, types = len(toxic) / (len(toxic) + len(other)), len(bad) + len(good)
     telling = {w for w, n in bad.items() if _surprise(n, good.get(w, 0), share) > 2 * np.log(20 * types)}
     # A word is toxic by itself or by its stem; the kernel carries that to forms not seen.
-    positive = sorted((w for w in bad if w[-1] != "~" and 3 <= len(w) <= CHUNK and (w in telling or any(w[:k] + "~" in telling for k in STEMS) and not good.get(w))), key=lambda w: (-bad[w], w))[:3000]
+    positive = sorted((w for w in bad if w[-1] != "~" and 3 <= len(w) <= CHUNK and (w in telling or any(w[:k] + "~" in telling for k in STEMS) and not good.get(w))), key=lambda w: (-bad[w], w))[:MOST_POSITIVE]
     if not positive:
         return Model(constant=share)
     bad, good = ({w: n for w, n in c.items() if w[-1] != "~"} for c in (bad, good))
     common = sorted((w for w in good if len(w) <= CHUNK), key=lambda w: (-good[w], w))
-    clean = [*common[:1500], *(common[i] for i in rng.permutation(len(common))[:6000])]
+    clean = [*common[:MOST_COMMON], *(common[i] for i in rng.permutation(len(common))[:MOST_DRAWN])]
     clean = list(dict.fromkeys(clean))
     marks = list(dict.fromkeys([*positive[: landmarks // 2], *(positive[i] for i in rng.permutation(len(positive))[: landmarks // 8]), *clean[: landmarks // 4], *(clean[i] for i in rng.permutation(len(clean))[: landmarks // 8])]))
     row, code, value = triples(marks)
@@ -242,7 +249,7 @@ def fit(toxic: list[str | None], other: list[str | None], landmarks: int = LANDM
         return out @ root
 
     # Words count by how many toxic texts have them, their perturbed copies less.
-    weighed = [(w, bad[w]) for w in positive] + [(x, 0.2 * bad[w]) for w in positive[:400] for x in perturbed(w, rng) if len(x) <= CHUNK]
+    weighed = [(w, bad[w]) for w in positive] + [(x, 0.2 * bad[w]) for w in positive[:MOST_PERTURBED] for x in perturbed(w, rng) if len(x) <= CHUNK]
     pos, share_of = [w for w, _ in weighed], np.array([n for _, n in weighed], float)
     hard: list[str] = []
     sample = [w for w in common if good[w] >= 1]
@@ -256,7 +263,7 @@ def fit(toxic: list[str | None], other: list[str | None], landmarks: int = LANDM
         table[known] = base @ (root @ w)
         model = Model(table, b)
         scores = np.concatenate([model.words(sample[lo : lo + 20_000]) for lo in range(0, len(sample), 20_000)])
-        worst = np.argsort(-scores, kind="stable")[:2000]
+        worst = np.argsort(-scores, kind="stable")[:MOST_HARD]
         hard = list(dict.fromkeys([*hard, *(sample[i] for i in worst)]))
     x = np.vstack([model.features(toxic), model.features(other)])
     model.layer = logistic(x, np.r_[np.ones(len(toxic)), np.zeros(len(other))])
@@ -288,4 +295,4 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(m.score(part.column(1).to_pylist()))], names=["doc_id", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), f"doc_id {kind}, score double")

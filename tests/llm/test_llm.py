@@ -392,19 +392,57 @@ def test_pii_base_equals_patterns():
     assert pii.base_spans("9" * 30_000) == []
 
 
-def test_pii_tagger(spark):
+def test_pii_tagger(spark, none):
     tagger = pii.fit()
-    rng, hit, made, found = np.random.default_rng(77), 0, 0, 0
-    for _ in range(120):
+    rng, hit, made, right, added = np.random.default_rng(77), collections.Counter(), collections.Counter(), 0, 0
+    for _ in range(150):
         text, spans = pii._made(rng)
-        inner = [s for s in spans if s[2] < len(text) - 2]
-        got = set(pii.find(tagger, [text])[0][1])
-        hit, made, found = hit + len(set(inner) & got), made + len(inner), found + len(got)
-    assert hit / made > 0.6
-    rows = spark.createDataFrame([(1, "call (677) 555-7033 now or a@b.co"), (2, None), (3, "no data here"), (4, "x" * 100_000)], "doc_id long, text string").withColumn("spans", F.lit(0))
+        base, every = pii.find(tagger, [text])[0]
+        for s in spans:
+            if s[2] < len(text) - 2:
+                made[s[1]] += 1
+                hit[s[1]] += s in every
+        right, added = right + len((set(every) - set(base)) & set(spans)), added + len(set(every) - set(base))
+    assert all(hit[k] / made[k] > 0.75 for k in range(4)) and right / added > 0.9, (hit, made, right, added)
+    rows = spark.createDataFrame([(1, "call (677) 555-7033 now or a@b.co"), (2, None), (3, "no data here"), (4, "x" * 100_000), (5, "write to anna [at] mail [dot] de or anna at mail dot com"), (6, "1" * 300_000), (2, None), (7, "")], "doc_id long, text string").withColumn("spans", F.lit(0))
     got = {r.doc_id: r.spans for r in pii.tag(rows, tagger).collect()}
-    assert [(s.kind, s.base) for s in got[1]] == [("phone", False), ("email", True)] and not got[2] and not got[3] and not got[4]
+    assert [(s.kind, s.base) for s in got[1]] == [("phone", False), ("email", True)] and not any(got[k] for k in (2, 3, 4, 6, 7))
+    assert [(s.kind, s.base, s.start, s.stop) for s in got[5]] == [("email", False, 9, 32), ("email", False, 36, 56)]
     assert pii.masked(pii.tag(rows, tagger)).filter("doc_id = 1").first().text == "call [phone] now or [email]"
+    assert pii.tag(none, tagger).count() == 0 and pii.tag(rows, tagger).count() == 8
+
+
+def test_pii_left_out_windows_change_nothing():
+    tagger, rng = pii.fit(), np.random.default_rng(9)
+    prose = lambda: " ".join("".join("aeioutrnsl"[int(i)] for i in rng.integers(0, 10, int(rng.integers(1, 9)))) for _ in range(int(rng.integers(30, 200))))
+    texts = [" ".join([prose(), pii._made(rng)[0], prose(), pii._made(rng)[0], prose()]) for _ in range(25)]
+    some, every = pii.find(tagger, texts), pii.find(tagger, texts, every=True)
+    assert some == every and any(len(a) > len(b) for b, a in some)
+    assert sum(len(pii.needed(t)) for t in texts) < 0.8 * sum(len(pii.needed(t, True)) for t in texts)
+
+
+def test_pii_windows_agree_over_the_text():
+    """A span on the border of windows comes out whole, wherever the windows fall."""
+    tagger = pii.fit()
+    for shift in range(0, pii.WINDOW + pii.STEP, 7):
+        text = "word " * (shift // 5) + "x" * (shift % 5) + " anna.k [at] example [dot] org " + "word " * 40
+        assert [text[a:b] for a, k, b in pii.find(tagger, [text])[0][1]] == ["anna.k [at] example [dot] org"], shift
+
+
+def test_tagger_decodes_the_best_path():
+    import itertools
+
+    from draftlens.llm.tagger import Tagger
+
+    rng = np.random.default_rng(1)
+    t = Tagger(3, 4)
+    t.p["A"], t.p["s"] = rng.normal(0, 1, (3, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32)
+    e = rng.normal(0, 1, (6, 20, 3)).astype(np.float32)
+    got = t.best(e)
+    for w in range(20):
+        paths = itertools.product(range(3), repeat=6)
+        score = lambda p: t.p["s"][p[0]] + sum(e[i, w, p[i]] for i in range(6)) + sum(t.p["A"][p[i], p[i + 1]] for i in range(5))
+        assert tuple(got[:, w].tolist()) == max(paths, key=score)
 
 
 def test_crf_gradients():
@@ -440,6 +478,36 @@ def test_toxicity(spark, none):
     assert toxicity.score(none.withColumn("score", F.lit(1)), m).count() == 0
 
 
+def test_toxicity_learns_from_the_labels_given(spark, monkeypatch):
+    """Null labels are left out, labels that disagree count as toxic, and only rows with a label are read."""
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, other: seen.update(toxic=toxic, other=other))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (4, "d"), (5, None), (None, "x"), (6, "e")], "doc_id long, text string").withColumn("toxic", F.lit(9))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 1), (4, 0), (5, 0), (6, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    assert seen == {"toxic": ["a", "c"], "other": ["b", "d", "d", None]}
+    monkeypatch.setattr(toxicity, "SAMPLE_OTHER", 1)
+    toxicity.learn(docs, labels)
+    assert len(set(seen["other"])) == 1 and seen["toxic"] == ["a", "c"]
+    toxicity.learn(docs.limit(0), labels)
+    assert seen == {"toxic": [], "other": []}
+
+
+def test_toxicity_folds_and_finds_held_out(spark):
+    """Held-out rows are those whose crc32 is 0 modulo 5; most of their labels are met."""
+    rows = {r.doc_id: r for r in queries.op2_toxicity(spark, SF.replace("0.001", "0.01")).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet").collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for i, r in rows.items())
+    held = [(r.predicted, labels[i]) for i, r in rows.items() if r.held_out and labels.get(i) is not None]
+    assert sum(p == y for p, y in held) / len(held) > 0.95 and sum(p and y for p, y in held) > 0.8 * sum(y for _, y in held)
+
+
+def test_toxicity_ties_and_repeats():
+    m = toxicity.fit(["you blockhead now"] * 20, ["the river and the tree"] * 20)
+    a = m.score(["you blockhead now"] * 3 + ["the river"] * 2 + ["", None, " "])
+    assert len(set(a[:3])) == 1 and a[3] == a[4] and a[5] == a[6] == a[7] and a[0] > a[3]
+
+
 def test_string_kernel_tolerates_gaps():
     def kernel(a, b):
         fa, fb = (dict(zip(c.tolist(), v.tolist(), strict=True)) for _, c, v in (toxicity.triples([w]) for w in (a, b)))
