@@ -21,18 +21,30 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: bytes) -> np.ndarray:
     """A hash of each ASCII-lower-cased word of a text. Words are runs of bytes other than space
     and U+0009 to U+000D; a word's hash is a polynomial of its bytes, taken from running sums."""
+    return _words(text)[0]
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words, and where they start."""
     raw = np.frombuffer(text.lower(), np.uint8)
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, stops = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), starts
     n = len(raw)
     powers = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * powers[:n], out=sums[1:])
     value = (sums[stops] - sums[starts]) * _inverses(n)[starts]
-    return mix(value + (stops - starts).astype(np.uint64) * _BASE)
+    return mix(value + (stops - starts).astype(np.uint64) * _BASE), starts
+
+
+def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of several texts, and which text each is of."""
+    words, starts = _words(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.searchsorted(ends, starts, "right")
 
 
 _cached: dict[str, np.ndarray] = {}
