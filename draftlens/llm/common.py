@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -76,6 +77,18 @@ def trimmed(run):
     return outer
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Jobs inside hand workers batches of so many rows at most, so that long texts don't add up."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def trim() -> None:
     import ctypes
 

@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import new_path, trimmed, written
+from .common import batches_of, new_path, trimmed, written
 
 END_ID = 2
 SHARD_BYTES = 32_000_000  # of text
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-CACHE_PIECES = 1_200_000
+CACHE_PIECES, CACHE_ONCE = 600_000, 250_000  # pieces whose ids are kept, and those of them met in one batch only
+TOGETHER, BATCH_ROWS = 16_000, 1000  # pieces encoded as one text; rows that a worker holds
 #: White space inside a piece, so that its ends aren't sure to be cuts.
 _UNSURE = re.compile(r"\s")
 
@@ -63,6 +64,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.once: set[str] = set()
         n = self.tok.get_vocab_size(with_added_tokens=True)
         self.widths = np.zeros(n, np.int64)  # bytes per id: byte-level tokens have a character for each byte
         for token, i in self.tok.get_vocab(with_added_tokens=True).items():
@@ -92,18 +94,30 @@ class Encoder:
         tails = [p for p in sure if p[-1] in ".," and p[-2:-1].isalpha()]
         stems = {p[:-1] for p in tails}
         plain = list((set(sure) - set(tails)) | {p for p in stems if kept.get(p) is None})
-        if plain:
-            kept.update(zip(plain, self.pieces(plain), strict=True))
+        for lo in range(0, len(plain), TOGETHER):
+            part = plain[lo : lo + TOGETHER]
+            kept.update(zip(part, self.pieces(part), strict=True))
         for p in tails:
             kept[p] = kept[p[:-1]] + self.marks[p[-1]]
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        if len(self.kept) > CACHE_PIECES:
-            self.kept.clear()
         kept, pieces = self.kept, set().union(*split)
-        self.learn({p for p in pieces if p not in kept})
+        if len(self.once) > CACHE_ONCE:  # most pieces never come again: those that did stay
+            for p in self.once:
+                del kept[p]
+            self.once.clear()
+        if len(kept) > CACHE_PIECES:
+            kept.clear()
+            self.once.clear()
+        new = {p for p in pieces if p not in kept}
+        self.once -= pieces
+        before = len(kept)
+        self.learn(new)
+        if len(kept) > before:
+            self.once |= new
+            self.once.update(p[:-1] for p in new if p[-1:] in ".," and p[:-1] in kept and p[:-1] not in pieces)
         unsure = {p for p in pieces if kept[p] is None}
         out, other = [], []
         for k, x in enumerate(split):
@@ -227,7 +241,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
             columns = {"shard": pa.array([shard], pa.int32()), "path": pa.array([path]), "first_id": pa.array(out.ids[:1], out.kind), "last_id": pa.array(out.ids[-1:], out.kind), "n_docs": pa.array([len(out.ids)], pa.int64()), "n_ids": pa.array([sum(out.counts)], pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return written(dealt.mapInArrow(trimmed(run), f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
+    with batches_of(spark, BATCH_ROWS):
+        return written(dealt.mapInArrow(trimmed(run), f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
