@@ -544,9 +544,10 @@ select drawing_id, y as product_y, greatest(0, a - 12) as m_x1, t as m_y1, least
 def _(spark, d):
     """Every page as a table: notes are its labels, one field each for three forms of them."""
     rows = inst(spark, d).withColumn("text", F.when(F.col("txt") == "note", F.element_at(F.array(F.lit("Weight"), F.lit("surfoce"), F.lit("Article number")), ((F.col("iid") / 6).cast("int") % 3 + 1).cast("int"))).otherwise(F.col("txt")))
-    fields = spark.createDataFrame([(0, "weight"), (1, "surface"), (2, "article_no")], "seq int, name string").withColumn("aliases", tx.field_aliases(F.lit(None).cast("string"), F.col("name")))
+    fields = spark.createDataFrame([(0, "weight"), (1, "surface"), (2, "article_no")], "seq int, name string")
     tables = rows.select(F.col("drawing_id").alias("table_id")).distinct()
-    return planning.fields_above_labels(rows.withColumnRenamed("drawing_id", "table_id"), tables.crossJoin(F.broadcast(fields)))
+    each = perceive.with_each(tables, fields).withColumn("aliases", tx.field_aliases(F.lit(None).cast("string"), F.col("name")))
+    return planning.fields_above_labels(rows.withColumnRenamed("drawing_id", "table_id"), each)
 
 
 query("review_resolve", f"""select drawing_id, case when drawing_id % 3 = 0 then 'resolved' else 'pending' end as status, case when drawing_id % 3 = 0 then 'approve' end as decision, case when drawing_id % 3 = 0 then 'human' end as reviewer from tb where {_BLANK} or drawing_id % 7 = 0""")(
