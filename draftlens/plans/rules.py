@@ -174,7 +174,10 @@ def overlap_table(facts: DataFrame, key: str, logic: dict) -> DataFrame | None:
 
 
 def with_overlaps(facts: DataFrame, rules: Iterable[dict], key: str) -> tuple[DataFrame, list[dict]]:
-    """facts with a column for each overlap logic of the active rules, and the rules that refer to them."""
+    """facts with a column for each overlap logic of the active rules, and the rules that refer to them. A stream of
+    facts stays as it is: there the projection finds overlaps, which needs no state."""
+    if facts.isStreaming:
+        return facts, list(rules)
 
     def placed(logic):
         nonlocal facts

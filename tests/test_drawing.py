@@ -306,3 +306,21 @@ def test_review_decisions(spark):
         state.resolve(items, spark.createDataFrame([("a", "maybe", "me", "")], "drawing_id string, decision string, reviewer string, comment string")).collect()
     cells = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
     assert one(spark, planning.as_list(cells(" a ", None, "", "b")), planning.as_list(cells(" ", None)), planning.as_scalar(cells("x ")), planning.as_scalar(cells("x", "y")), planning.as_scalar(F.lit(None).cast("array<string>")))[:] == (["a", "b"], None, "x", '["x","y"]', None)
+
+
+def test_streamed_overlaps_and_windows(spark, tmp_path):
+    """The overlap rule needs no state on a stream; late events count within the watermark."""
+    from draftlens.streaming import review
+
+    bbox = lambda x: {"x1": x, "y1": 0, "x2": x + 10, "y2": 10}
+    facts = spark.createDataFrame([(1, [{"bbox": bbox(0), "id": "a"}, {"bbox": bbox(5), "id": "b"}]), (2, [{"bbox": bbox(0), "id": "c"}])], "drawing_id int, annotations array<struct<bbox:struct<x1:int,y1:int,x2:int,y2:int>,id:string>>")
+    facts.write.parquet(str(tmp_path / "in"))
+    rule = {"rule_id": "R", "name": "r", "severity": "error", "logic": {"op": "bbox_overlap_count_lte", "path": "annotations", "count": 0}}
+    review.into_log(review.findings_stream(review.facts_stream(spark, str(tmp_path / "in"), facts.schema), [rule]), str(tmp_path / "log"), str(tmp_path / "c1")).awaitTermination()
+    assert [(r.drawing_id, r.n_findings) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [(1, 1)]
+    events = spark.sql("select timestamp'2024-01-01 00:05:00' as ts, 'open' as event_type union all select timestamp'2024-01-01 00:55:00', 'open' union all select timestamp'2024-01-01 03:00:00', 'close'")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    query = review.counts_by_window(stream).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c2")).start()
+    query.awaitTermination()
+    assert sorted((r.window.start.hour, r.event_type, r.n) for r in spark.table("counted").collect()) == [(0, "open", 2), (3, "close", 1)]
