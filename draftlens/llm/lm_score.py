@@ -6,7 +6,7 @@ two bytes before (exact counts), the last three and five bytes, and the word beg
 contexts). Each gives the log odds of what training texts did there, 0 where training has nothing.
 A logistic mixer adds them with weights that a gate picks (which long contexts are known, depth
 in the tree, place in the word), and a refining table adds a correction by the mixed odds. Both start
-from a fit on some training texts and are refined adaptively while a text is read, block after block,
+from a fit on all training texts and are refined adaptively while a text is read, block after block,
 anew for each text: what a block teaches serves the blocks after it, so the product of all
 predictions is a probability of the text, and bits per byte are its logarithm. (The tree for the rest has the
 symbols of the tree before it too, so all symbols together have a little less than one.)
@@ -15,8 +15,9 @@ Counts come from all training texts, whole. A hashed predictor has a table of SL
 training bytes, to the next power of two: contexts worth telling apart grow about so (Heaps' law). It ends at
 MOST_SLOTS, the bound of what each worker holds. The table is counted in few tasks, as many as keep its parts
 below the text in size, summed by slot range, and broadcast as signed bytes.
-SAMPLE training texts (a fifth of the rows at most), first by a hash, fit the weights against the counts of all
-others; then their counts are added. Word counts are exact: 64-bit word hashes with counts, packed by bucket. A text's
+The first weights are learnt from all training texts by the tasks that count them: each run of texts is predicted by the
+counts of those that its task met before, then counted; the tasks' weights are averaged by the decisions they come
+from. How rows are dealt to tasks so moves the weights a little; the same files dealt alike give the same. Word counts are exact: 64-bit word hashes with counts, packed by bucket. A text's
 words are looked up in the buckets, but for the HOT_WORDS most frequent, which are broadcast and looked up in
 place, so no bucket grows with the number of documents.
 
@@ -48,10 +49,11 @@ INPUTS = HASHED + 1
 END, START = 256, 256
 BLOCK = 512  # symbols between refinements
 RATE, REFINE = 0.06, 0.07
-SAMPLE = 200  # training texts that fit the first weights
+FIT_RATE, FIT_STEP, GROWTH = 0.15, 1 << 15, 3  # of the first weights: rate, decisions a step, growth of the counts between tables
 SLOTS_ROOT = 512
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 24
-RANGE = 1 << 18  # slots summed together
+RANGE, LESSON = 1 << 18, -1  # slots summed together; the number of what a task learnt, beside those of its ranges
+TASK_ROWS = 100
 HOT_WORDS = 200_000
 WORD_BUCKET_BYTES = 48_000_000
 CHUNK = 100_000  # characters read at once
@@ -210,13 +212,13 @@ def bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def parts_of(texts: list[str | None], most: int = CHUNK):
-    """The texts in runs of about `most` characters and at most PART_TEXTS texts."""
+def parts_of(texts: list[str | None], most=CHUNK):
+    """The texts in runs of about `most` characters (or as many as it gives when called) and at most PART_TEXTS texts."""
     held, n = [], 0
     for k, t in enumerate(texts):
         held.append(k)
         n += min(len(t or ""), SEGMENT)
-        if n >= most or len(held) == PART_TEXTS:
+        if n >= (most() if callable(most) else most) or len(held) == PART_TEXTS:
             yield held
             held, n = [], 0
     if held:
@@ -284,29 +286,36 @@ class Model:
         self.weights = np.full((INPUTS + 1, GATES), 0.3, np.float32)
         self.weights[-1] = 0
         self.refining = np.zeros(DEPTHS * CELLS, np.float32)
+        self.learnt = 0  # decisions that these two were learnt from
 
-    def inputs(self, run: Run):
-        """(symbols' numbers of decisions, inputs, gate, sign of the bit, place in the refining table) of a run's decisions."""
-        n, owner, tree, step = run.decisions()
+    def looked_up(self, run: Run, owner: np.ndarray, tree: np.ndarray, step: np.ndarray):
+        """(inputs, gate, sign of the bit, place in the refining table, slots in each hashed table) of decisions."""
         low = (step & 31).astype(np.intp)
         x = np.empty((INPUTS + 1, len(step)), np.float32)
-        tree *= NODES
-        tree += step & (NODES - 1)
-        x[0] = self.code.first.take(tree)
-        gate = np.minimum(step >> 10, DEPTHS - 1).astype(np.intp)
-        row = gate * CELLS
-        gate *= 2
-        gate += run.inside.take(owner)
+        node = tree * NODES
+        node += step & (NODES - 1)
+        x[0] = self.code.first.take(node)
+        depth = np.minimum(step >> 10, DEPTHS - 1).astype(np.uint8)
+        gate, slots = run.inside.view(np.uint8).take(owner), []
+        gate += depth << 1
         for k, c in enumerate(run.ctx):
             at = lines(c, len(self.tables[k])).take(owner)
             at ^= low
             known = self.tables[k].take(at)
             x[1 + k] = known
             if k >= HASHED - 2:
-                gate += (known != 0) * np.intp(2 * DEPTHS * (k - HASHED + 3))
+                gate += (known != 0).view(np.uint8) * np.uint8(2 * DEPTHS * (k - HASHED + 3))
+            slots.append(at)
         x[:INPUTS] *= np.float32(1 / 16)
         x[INPUTS] = 0.3
-        return n, x, gate, ((step >> 9) & 1).astype(np.float32) * 2 - 1, row
+        sign = (step >> 8 & 2).astype(np.float32)
+        sign -= 1
+        return x, gate.astype(np.intp), sign, depth * np.uint8(CELLS), slots
+
+    def inputs(self, run: Run):
+        """(symbols' numbers of decisions, inputs, gate, sign of the bit, place in the refining table) of a run's decisions."""
+        n, owner, tree, step = run.decisions()
+        return n, *self.looked_up(run, owner, tree, step)[:4]
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         z = self.weights[0].take(gate)
@@ -317,57 +326,112 @@ class Model:
             z += w
         return z
 
-    def bits(self, texts: list[str | None], rate: float = RATE, learn: bool = False) -> np.ndarray:
-        """The bits of each text. learn: refines the gated weights and the table themselves, for later texts."""
+    def cells(self, z: np.ndarray, row: np.ndarray) -> np.ndarray:
+        cell = z * 2
+        cell += np.float32(CELLS / 2)
+        cell = np.clip(cell, 0, CELLS - 1, out=cell).astype(np.uint8)
+        cell += row
+        return cell.astype(np.intp)
+
+    def bits(self, texts: list[str | None], rate: float = RATE) -> np.ndarray:
+        """The bits of each text."""
         n_texts, width_of = len(texts), DEPTHS * CELLS
         out, shift = np.zeros(n_texts), np.zeros((n_texts, INPUTS + 1), np.float32)
-        refining = None if learn else np.tile(self.refining, (n_texts, 1))
+        refining = np.tile(self.refining, (n_texts, 1))
         for run in runs(self.code, texts):
             run.sort_by_block()
             width, x, gate, sign, row = self.inputs(run)
-            mixed = None if learn else self.mixed(x, gate)
+            mixed = self.mixed(x, gate)
             ends = np.cumsum(width)
-            cuts = np.searchsorted(run.block, np.arange(int(run.block[-1]) + 2))
-            for s0, s1 in zip(cuts[:-1], cuts[1:], strict=True):
+            last = int(run.block[-1])
+            cuts = np.searchsorted(run.block, np.arange(last + 2))
+            for block, (s0, s1) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 sl = slice(int(ends[s0 - 1]) if s0 else 0, int(ends[s1 - 1]))
                 edge = np.flatnonzero(np.diff(run.text_of[s0:s1], prepend=-1))
                 live = run.text_of[s0:s1][edge]
                 offs = (ends[s0:s1] - width[s0:s1])[edge] - sl.start
                 count = np.diff(np.append(offs, sl.stop - sl.start))
-                xs, share = x[:, sl], len(live) / n_texts
+                xs = x[:, sl]
                 spans = [(t, slice(o, o + c)) for t, o, c in zip(live.tolist(), offs.tolist(), count.tolist(), strict=True)]
-                # Learning, the weights have moved since the run began.
-                z = self.mixed(xs, gate[sl]) if learn else mixed[sl]
-                if not learn and shift.any():
+                z = mixed[sl]
+                if shift.any():
                     for t, part in spans:
                         z[part] += shift[t] @ xs[:, part]
-                cell = np.clip(z * 2 + np.float32(CELLS / 2), 0, CELLS - 1).astype(np.intp)
-                cell += row[sl]
-                if learn:
-                    z = z + self.refining.take(cell)
-                else:
-                    place = cell + np.repeat(np.arange(len(live)) * width_of, count)
-                    z += refining[live].ravel().take(place)
+                place = self.cells(z, row[sl])
+                place += np.repeat(np.arange(len(live)) * width_of, count)
+                z += refining[live].ravel().take(place)
                 z *= sign[sl]
                 e = np.exp(np.negative(np.clip(z, -30, 30, out=z), out=z), out=z)
                 more = e + 1
                 err = e / more
                 err *= sign[sl]
                 out[live] += np.add.reduceat(np.log(more, out=more), offs, dtype=np.float64)
-                if learn:
-                    seen = np.bincount(gate[sl], minlength=GATES)
-                    step = np.stack([np.bincount(gate[sl], xs[k] * err, GATES) for k in range(INPUTS + 1)])
-                    # A block that few texts reach moves the weights less: the longest text's end isn't all.
-                    self.weights += share * np.clip(step * rate / np.sqrt(1 + seen) / max(1, len(live)) ** 0.5, -0.2, 0.2).astype(np.float32)
-                    met = np.bincount(cell, minlength=width_of)
-                    self.refining += share * rate * (np.bincount(cell, err, width_of) / np.sqrt(4 + met) / max(1, len(live)) ** 0.5).astype(np.float32)
-                    continue
                 for t, part in spans:
                     shift[t] += np.clip((xs[:, part] @ err[part]) * (rate / (1 + part.stop - part.start) ** 0.5), -0.2, 0.2)
                 refining[live] += np.clip(REFINE * rate * np.bincount(place, err, len(live) * width_of), -0.1, 0.1).astype(np.float32).reshape(len(live), -1)
         return out / np.log(2)
 
 
+class Learner(Model):
+    """A model that learns the first weights and refining table from all texts while they are counted: each run of texts
+    is predicted by the counts of those before it. The tables of odds are made anew whenever the counts have grown by GROWTH."""
+
+    def __init__(self, code: Code, sizes: list[int]):
+        super().__init__(code, [np.zeros(size, np.int8) for size in sizes])
+        self.slopes = np.full(self.weights.shape, 1e-4)
+        self.seen, self.met = np.zeros(GATES), np.zeros(DEPTHS * CELLS)
+        self.read = self.due = 0
+
+    def most(self) -> int:
+        """Characters of the next run: few at first, as nothing is known yet."""
+        return min(CHUNK, 1000 + self.read // 2)
+
+    def learn(self, x: np.ndarray, gate: np.ndarray, sign: np.ndarray, row: np.ndarray) -> None:
+        for lo in range(0, len(gate), FIT_STEP):
+            sl = slice(lo, lo + FIT_STEP)
+            xs, g = x[:, sl], gate[sl]
+            z = self.mixed(xs, g)
+            cell = self.cells(z, row[sl])
+            z += self.refining.take(cell)
+            z *= sign[sl]
+            err = np.clip(z, -30, 30, out=z)
+            err = 1 / (np.exp(err, out=err) + 1)
+            err *= sign[sl]
+            seen, met = np.bincount(g, minlength=GATES), np.bincount(cell, minlength=DEPTHS * CELLS)
+            # Steps by the slopes met so far (Adagrad), of the mean over a gate's decisions.
+            slope = np.stack([np.bincount(g, xs[k] * err, GATES) for k in range(INPUTS + 1)]) / np.sqrt(1 + seen)
+            self.slopes += slope * slope
+            self.weights += (FIT_RATE * slope / np.sqrt(self.slopes)).astype(np.float32)
+            self.refining += np.clip(REFINE * np.bincount(cell, err, DEPTHS * CELLS) / np.sqrt(4 + met) / np.sqrt(1 + self.met / FIT_STEP), -0.1, 0.1).astype(np.float32)
+            self.seen += seen
+            self.met += met
+
+    def counted(self, n: int, counts: list[np.ndarray]) -> None:
+        """n more symbols are in the counts."""
+        self.read += n
+        if self.read < self.due:
+            return
+        self.due = GROWTH * self.read
+        for table, found in zip(self.tables, counts, strict=True):
+            for lo in range(0, len(table), RANGE):
+                part = found[2 * lo : 2 * (lo + RANGE)]
+                at = np.flatnonzero(part.view(np.uint64))
+                if len(at):
+                    table[lo + at] = odds(part[1::2][at], part[::2][at])
+
+    def lesson(self) -> bytes:
+        return b"".join(v.astype(np.float64).tobytes() for v in (self.weights * self.seen, self.seen, self.refining * self.met, self.met))
+
+
+def taught(model: Model, total: np.ndarray) -> None:
+    """Gives the model the means of what several tasks learnt, by the decisions they learnt it from. total: the sum of their lessons."""
+    model.learnt = int(total[-model.refining.size :].sum())
+    weights, seen, refining, met = np.split(total, np.cumsum([model.weights.size, GATES, model.refining.size]))
+    weights = weights.reshape(model.weights.shape)
+    model.weights = np.where(seen > 0, weights / np.maximum(seen, 1), model.weights).astype(np.float32)
+    model.refining = np.where(met > 0, refining / np.maximum(met, 1), model.refining).astype(np.float32)
+
+
 def table_sizes(n_bytes: int) -> list[int]:
     """Slots of each hashed input: by the root of the training bytes; shorter contexts are fewer."""
     slots = LEAST_SLOTS
@@ -376,10 +440,20 @@ def table_sizes(n_bytes: int) -> list[int]:
     return [min(slots, 1 << 22), slots // 2, slots]
 
 
-def counted(code: Code, texts: list[str | None], tables: list[np.ndarray]) -> None:
-    """Adds the texts' decisions to tables of (slot, bit) counts."""
+def counted(code: Code, texts: list[str | None], tables: list[np.ndarray], learner: Learner | None = None) -> None:
+    """Adds the texts' decisions to tables of (slot, bit) counts; a learner learns from them first."""
     for run in runs(code, texts):
-        _, owner, _, step = run.decisions()
+        _, owner, tree, step = run.decisions()
+        if learner:
+            *found, slots = learner.looked_up(run, owner, tree, step)
+            learner.learn(*found)
+            bit = (step >> 9 & 1).astype(np.intp)
+            for table, at in zip(tables, slots, strict=True):
+                at <<= 1
+                at |= bit
+                np.add.at(table, at, np.uint32(1))
+            learner.counted(len(run.symbols), tables)
+            continue
         low = ((step & 31) << 1 | (step >> 9) & 1).astype(np.intp)
         for k, c in enumerate(run.ctx):
             at = (lines(c, len(tables[k]) // 2) << 1).take(owner)
@@ -387,22 +461,31 @@ def counted(code: Code, texts: list[str | None], tables: list[np.ndarray]) -> No
             np.add.at(tables[k], at, np.uint32(1))
 
 
-def tables_of(train: DataFrame, code: Code, sizes: list[int], n_tasks: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def tables_of(train: DataFrame, code: Code, sizes: list[int], n_tasks: int, model: Model | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The tables of odds without the rows marked as sample, and of all rows. train: text, sample.
-    Counts are summed by ranges of slots; odds come to the driver as a byte a slot."""
+    Counts are summed by ranges of slots; odds come to the driver as a byte a slot. A model is given the
+    weights and refining table that the tasks learn from all their texts not marked as sample."""
+    teach = model is not None
     held = train.sparkSession.sparkContext.broadcast(code)
     ranges = [(k, lo) for k, size in enumerate(sizes) for lo in range(0, size, RANGE)]
 
     def count(batches):
         tables: dict[bool, list[np.ndarray]] = {}
+        learner = None
         for b in batches:
             texts, sample = b.column(0).to_pylist(), b.column(1).to_pylist()
             for kind in (False, True):
                 mine = [t for t, s in zip(texts, sample, strict=True) if s == kind]
-                for part in parts_of(mine):
+                if teach and not learner:
+                    learner = Learner(held.value, sizes)
+                now = None if kind else learner
+                for part in parts_of(mine, now.most if now else CHUNK):
                     if kind not in tables:
                         tables[kind] = [np.zeros(2 * size, np.uint32) for size in sizes]
-                    counted(held.value, [mine[k] for k in part], tables[kind])
+                    counted(held.value, [mine[k] for k in part], tables[kind], now)
+        if learner and learner.read:
+            yield pa.RecordBatch.from_arrays([pa.array([LESSON], pa.int32()), pa.array([False]), pa.array([learner.lesson()], pa.binary())], names=["i", "sample", "blob"])
+            learner = None
         for kind, found in tables.items():
             for i, (k, lo) in enumerate(ranges):
                 part = found[k][2 * lo : 2 * (lo + RANGE)]
@@ -411,25 +494,37 @@ def tables_of(train: DataFrame, code: Code, sizes: list[int], n_tasks: int) -> t
 
     def add(batches):
         sums: dict[int, list] = {}
+        lessons = []
         for b in batches:
             for i, kind, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if i == LESSON:
+                    lessons.append(x)
+                    continue
                 pair = sums.setdefault(i, [0, 0])
                 pair[kind] = pair[kind] + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
         for i, (rest, sample) in sums.items():
             both = rest + sample
             rest = rest if isinstance(rest, np.ndarray) else np.zeros_like(both)
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([odds(c[1::2], c[::2]).tobytes()], pa.binary()) for c in (rest, both))], names=["i", "rest", "every"])
-
-    out = [[np.zeros(size, np.int8) for size in sizes] for _ in range(2)]
+            blobs = [odds(c[1::2], c[::2]).tobytes() for c in ((rest, both) if isinstance(sample, np.ndarray) else (both,))]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array(blobs[:-1] or [None], pa.binary()), pa.array(blobs[-1:], pa.binary())], names=["i", "rest", "every"])
+        if lessons:  # sorted, so that the sum doesn't hang on which came first
+            total = sum(np.frombuffer(x) for x in sorted(lessons))
+            yield pa.RecordBatch.from_arrays([pa.array([LESSON], pa.int32()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["i", "rest", "every"])
+
+    every = [np.zeros(size, np.int8) for size in sizes]
+    rest = [np.zeros(size, np.int8) for size in sizes]
     kind = "i int, sample boolean, blob binary"
     parts = train.filter("not sample").coalesce(n_tasks).mapInArrow(trimmed(count), kind).union(train.filter("sample").coalesce(1).mapInArrow(trimmed(count), kind))
     summed = parts.repartition(min(len(ranges), 4 * n_tasks), "i").mapInArrow(add, "i int, rest binary, every binary")
     for r in summed.toLocalIterator(prefetchPartitions=True):
+        if r["i"] == LESSON:
+            taught(model, np.frombuffer(r["every"]))
+            continue
         k, lo = ranges[r["i"]]
-        for table, x in zip(out, (r["rest"], r["every"]), strict=True):
+        for table, x in ((rest, r["rest"] or r["every"]), (every, r["every"])):
             part = np.frombuffer(x, np.int8)
             table[k][lo : lo + len(part)] = part
-    return out[0], out[1]
+    return rest, every
 
 
 def triple_counts(docs: DataFrame) -> np.ndarray:
@@ -462,21 +557,12 @@ def triple_counts(docs: DataFrame) -> np.ndarray:
 
 
 def fit(train: DataFrame, n_bytes: int, n_rows: int) -> Model:
-    """A model of the training rows (h1, text)."""
+    """A model of the training rows (text): trees, counts, weights and refining table come from all of them."""
     code, sizes = Code(triple_counts(train.select("text"))), table_sizes(int(n_bytes))
-    share = min(SAMPLE, n_rows // 5)
-    rows = train.select("text", "h1", F.xxhash64(F.lit(31), "h1").alias("order"))
-    chosen = rows.orderBy("order", "h1", "text").limit(share).collect()  # at most SAMPLE rows
-    marks = train.sparkSession.createDataFrame([(r["h1"],) for r in chosen], "of long").distinct()
-    marked = train.join(F.broadcast(marks), train["h1"] == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("sample"))
-    n_tasks = max(2 * train.sparkSession.sparkContext.defaultParallelism, int(n_bytes) // (8 * sum(sizes)))
-    rest, every = tables_of(marked, code, sizes, n_tasks)
-    model = Model(code, rest)
-    texts = [r["text"] for r in chosen]
-    for rate in (0.3, 0.15, 0.08):
-        for k in range(0, len(texts), 25):
-            model.bits(texts[k : k + 25], rate, True)
-    model.tables = every
+    # Few rows go to few tasks: a task learns weights by the counts of its own rows.
+    n_tasks = max(min(2 * train.sparkSession.sparkContext.defaultParallelism, 1 + n_rows // TASK_ROWS), int(n_bytes) // (8 * sum(sizes)))
+    model = Model(code, [])
+    _, model.tables = tables_of(train.select("text", F.lit(False).alias("sample")), code, sizes, n_tasks, model)
     return model
 
 

@@ -46,3 +46,23 @@ def test_lm_learns_from_fewer_rows_than_the_weights_sample(spark):
 def test_lm_tables_grow_with_training():
     sizes = [sum(lm_score.table_sizes(n)) for n in (10**5, 10**6, 10**7, 10**8)]
     assert sizes == sorted(set(sizes))
+
+
+def test_lm_weights_are_learnt_from_all_texts(spark):
+    """Every decision of every training text teaches the weights, each by the counts of texts before it."""
+    texts = [*some_texts(700), "", None]
+    n_bytes = sum(len(t or "") for t in texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "h1 long, text string")
+    model = lm_score.fit(df.coalesce(1), n_bytes, len(texts))
+    sizes = [len(t) for t in model.tables]
+    alone, counts = lm_score.Learner(model.code, sizes), [np.zeros(2 * n, np.uint32) for n in sizes]
+    for part in lm_score.parts_of(texts, alone.most):
+        lm_score.counted(model.code, [texts[k] for k in part], counts, alone)
+    assert model.learnt == counts[0].sum() == alone.met.sum() and alone.seen.sum() == alone.met.sum()
+    assert np.allclose(model.weights, alone.weights, atol=1e-5) and np.allclose(model.refining, alone.refining, atol=1e-5)
+    assert all(np.array_equal(t, lm_score.odds(c[1::2], c[::2])) for t, c in zip(model.tables, counts, strict=True))
+    dealt = lm_score.fit(df.repartition(4), n_bytes, len(texts))  # several tasks: the same counts, all texts again
+    assert dealt.learnt == model.learnt and all(np.array_equal(a, b) for a, b in zip(dealt.tables, model.tables, strict=True))
+    fresh = some_texts(760)[700:]
+    plain = lm_score.Model(model.code, model.tables)
+    assert max(model.bits(fresh).sum(), dealt.bits(fresh).sum()) < plain.bits(fresh).sum()
