@@ -42,8 +42,8 @@ SHARD_BYTES = 32_000_000  # of text
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CACHE_PIECES, CACHE_ONCE = 600_000, 250_000  # pieces whose ids are kept, and those of them met in one batch only
 TOGETHER, BATCH_ROWS = 16_000, 1000  # pieces encoded as one text; rows that a worker holds
-#: White space inside a piece, so that its ends aren't sure to be cuts.
-_UNSURE = re.compile(r"\s")
+#: White space inside a piece (a newline is only at its start), so that its ends aren't sure to be cuts.
+_UNSURE = re.compile(r"[^\S \n]")
 
 
 
@@ -76,24 +76,30 @@ class Encoder:
 
     def pieces(self, new: list[str]) -> list[bytes]:
         """The ids of space- or newline-led pieces, encoded as one text and cut at their byte lengths."""
-        led = [p if p[0] == "\n" else " " + p for p in new]
-        ids = np.array(self.tok.encode("".join(led), add_special_tokens=False).ids, "<u4")
+        whole = (" " + " ".join(new)).replace(" \n", "\n")
+        ids = np.array(self.tok.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
         ends = np.cumsum(self.widths[ids])
-        stops = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in led])
+        # Pieces have a space or newline at their start, and none after it.
+        text = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+        stops = np.append(np.flatnonzero((text == 32) | (text == 10))[1:], len(text))
         at = np.searchsorted(ends, stops)
         if (at >= len(ids)).any() or (ends[at] != stops).any():
-            return self.library(led)
+            return self.library([p if p[0] == "\n" else " " + p for p in new])
         raw, at = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def learn(self, new: set[str]) -> None:
         """Adds pieces; those that hold white space of another shape get None."""
         kept = self.kept
-        sure = [p for p in new if p and not _UNSURE.search(p[p[0] == "\n" :] or " ")]
-        kept.update(dict.fromkeys(new))
+        unsure, joined = new & {"", "\n"}, " ".join(new)
+        for m in _UNSURE.finditer(joined):
+            unsure.add(joined[joined.rfind(" ", 0, m.start()) + 1 : joined.find(" ", m.start()) % (len(joined) + 1)])
+        kept.update(dict.fromkeys(unsure))
+        sure = new - unsure
         tails = [p for p in sure if p[-1] in ".," and p[-2:-1].isalpha()]
-        stems = {p[:-1] for p in tails}
-        plain = list((set(sure) - set(tails)) | {p for p in stems if kept.get(p) is None})
+        sure.difference_update(tails)
+        sure.update(p for p in {p[:-1] for p in tails} if kept.get(p) is None)
+        plain = list(sure)
         for lo in range(0, len(plain), TOGETHER):
             part = plain[lo : lo + TOGETHER]
             kept.update(zip(part, self.pieces(part), strict=True))
@@ -111,21 +117,20 @@ class Encoder:
         if len(kept) > CACHE_PIECES:
             kept.clear()
             self.once.clear()
-        new = {p for p in pieces if p not in kept}
+        new = pieces.difference(kept)
         self.once -= pieces
         before = len(kept)
         self.learn(new)
         if len(kept) > before:
             self.once |= new
             self.once.update(p[:-1] for p in new if p[-1:] in ".," and p[:-1] in kept and p[:-1] not in pieces)
-        unsure = {p for p in pieces if kept[p] is None}
         out, other = [], []
         for k, x in enumerate(split):
-            if unsure and not unsure.isdisjoint(x):
+            try:
+                out.append(b"".join(map(kept.__getitem__, x))[4:])  # without the newline put in front
+            except TypeError:  # a None among them
                 other.append(k)
                 out.append(b"")
-            else:
-                out.append(b"".join(map(kept.__getitem__, x))[4:])  # without the newline put in front
         for k, ids in zip(other, self.library([texts[k] for k in other]), strict=True):
             out[k] = ids
         return out

@@ -66,3 +66,20 @@ def test_lm_weights_are_learnt_from_all_texts(spark):
     fresh = some_texts(760)[700:]
     plain = lm_score.Model(model.code, model.tables)
     assert max(model.bits(fresh).sum(), dealt.bits(fresh).sum()) < plain.bits(fresh).sum()
+
+
+def test_encoder_needs_no_offsets():
+    """Ids equal the library's for white space of every shape, and the library is never asked for offsets, which cost time."""
+    from draftlens.llm import queries, token_store
+
+    class Fast:
+        def __init__(self, tok):
+            self.encode_batch_fast = tok.encode_batch_fast
+
+    e = token_store.Encoder(queries.tokenizer_path())
+    e.tok = Fast(e.tok)
+    rng = random.Random(5)
+    bits = ["word", "Zü", "a.", "b,", ".", ",", "9", "x\x00y", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", " ", "　", "'s", "\U0001d11e"]
+    for n in (1, 2, 3, 40):
+        texts = ["".join(rng.choice(bits) for _ in range(n)) for _ in range(1500)] + ["one two\n\n three, end.", "last\xa0", "\xa0first", "\n", " "]
+        assert e(texts) == e.library(texts) == e(texts)
