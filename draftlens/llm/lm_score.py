@@ -16,7 +16,7 @@ training bytes, to the next power of two: contexts worth telling apart grow abou
 MOST_SLOTS, the bound of what each worker holds. The table is counted in few tasks, as many as keep its parts
 below the text in size, summed by slot range, and broadcast as signed bytes.
 The first weights are learnt from all training texts by the tasks that count them: each run of texts is predicted by the
-counts of those that its task met before, then counted; the tasks' weights are averaged by the decisions they come
+hashed counts of those that its task met before (the two bytes' counts are of all texts, its own included), then counted; the tasks' weights are averaged by the decisions they come
 from. How rows are dealt to tasks so moves the weights a little; the same files dealt alike give the same. Word counts are exact: 64-bit word hashes with counts, packed by bucket. A text's
 words are looked up in the buckets, but for the HOT_WORDS most frequent, which are broadcast and looked up in
 place, so no bucket grows with the number of documents.
