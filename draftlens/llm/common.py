@@ -6,8 +6,10 @@ import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 #: Characters that separate words: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -15,6 +17,8 @@ SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 BROADCAST_ROWS = 1_000_000
 
 _own_dirs: dict[str, str] = {}
+_held: dict[tuple[str, str], object] = {}
+_ARROW = {StringType: pa.string(), IntegerType: pa.int32(), LongType: pa.int64(), DoubleType: pa.float64()}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,11 +68,39 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few(df) else df
 
 
-def trimmed(run):
+def few_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A table of rows that the driver has. Columns of plain kinds go there as Arrow: others pass through Python
+    workers of a pool of their own, which stay beside those of later stages."""
+    schema = StructType.fromDDL(ddl)
+    kinds = [_ARROW.get(type(f.dataType)) for f in schema.fields]
+    if not rows or None in kinds:
+        return spark.createDataFrame(rows, schema)
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
+def kept(operator: str, key: str, make):
+    """make(), kept in this worker for the operator's later tasks."""
+    if (operator, key) not in _held:
+        _held[operator, key] = make()
+    return _held[operator, key]
+
+
+def let_go(operator: str | None) -> None:
+    """Drops what this worker keeps for other operators."""
+    others = [k for k in _held if k[0] != operator]
+    for k in others:
+        del _held[k]
+    if others:
+        trim()
+
+
+def trimmed(run, operator: str | None = None):
     """run, an Arrow batch function, that hands memory it has freed back to the system when it ends: workers
-    are used again, and what they keep would add to the next stage's."""
+    are used again, and what they keep would add to the next stage's. So what they keep for another operator goes first."""
 
     def outer(batches):
+        let_go(operator)
         try:
             yield from run(batches)
         finally:
@@ -92,8 +124,6 @@ def batches_of(spark: SparkSession, rows: int):
 def trim() -> None:
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

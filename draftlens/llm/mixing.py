@@ -29,13 +29,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, small, words_of, written
+from .common import few_rows, forget, small, words_of, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_ROWS = 200
-SHARD_WORDS = 50_000_000
+SHARD_WORDS = 5_000_000  # some 35 MB of text, which a task sorts and writes and a later one reads as a whole
 LEAST_SHARDS = 8
 SEED = 20
 
@@ -98,12 +98,12 @@ def _seeded(docs: DataFrame, doc_id: str, text: str, source: str, seed: int) ->
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target and shards: the output shards of the document's copies,
     one entry for each copy (none: not drawn)."""
-    out = _mixed(docs, doc_id, text, source, weights, share, most, seed)
+    out, _ = _mixed(docs, doc_id, text, source, weights, share, most, seed)
     return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share: float, most: float, seed: int) -> DataFrame:
-    """row, h and the ADDED columns."""
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share: float, most: float, seed: int) -> tuple[DataFrame, int]:
+    """row, h and the ADDED columns; the number of shards."""
     spark = docs.sparkSession
     rows = _seeded(docs, doc_id, text, source, seed)
     light = written(rows.select("s", "h", "size"), "mix-sizes")
@@ -112,13 +112,14 @@ def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share:
     goal = targets([int(r["words"]) for r in found], weights, share, most)
     plan = [(i, r["s"], int(r["words"]), float(g), max(1, -(-int(r["n"]) // BLOCK_ROWS))) for i, (r, g) in enumerate(zip(found, goal, strict=True))]
     kind = light.schema["s"].dataType.simpleString()
-    sources = small(spark.createDataFrame(plan, f"i int, of {kind}, source_size long, target double, n_blocks long"))
+    sources = small(few_rows(spark, plan, f"i int, of {kind}, source_size long, target double, n_blocks long"))
 
     def placed(x: DataFrame) -> DataFrame:
         return x.join(sources, F.col("s").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("h", "n_blocks"))
 
     sums = placed(light).groupBy("i", "block").agg(F.sum("size").alias("words"))
-    drawn = _draw(sums, plan, seed)
+    n_shards = max(LEAST_SHARDS, -(-int(sum(p[3] for p in plan)) // SHARD_WORDS))
+    drawn = _draw(sums, plan, n_shards, seed)
     # Inside the one cut block of a source, copies go to documents in hash order up to the cut; rows of one hash are alike.
     cut = drawn.filter("cut is not null").select("i", "block", "cut")
     inner = placed(light).join(small(cut), ["i", "block"]).groupBy("i", "cut", "h").agg(F.count(F.lit(1)).alias("m"), F.max("size").alias("size"))
@@ -136,19 +137,19 @@ def _mixed(docs: DataFrame, doc_id: str, text: str, source: str, weights, share:
     shards = F.concat("whole", F.when(F.col("more"), F.col("part")).otherwise(none)).alias("shards")
     plain = out.select("row", "h", "size", "source_size", "target", shards, "some")
     if blocks.filter("cut is not null and at.k > 0 and at.k < at.m").isEmpty():
-        return plain.drop("some")
+        return plain.drop("some"), n_shards
     # A cut among rows alike: they are counted, and the first k of them have the part epoch's copy.
     alike = out.filter("some").groupBy("row", "h", "size", "source_size", "target", "whole", "part", F.col("at.k").alias("k")).agg(F.count(F.lit(1)).alias("m"))
     alike = alike.select("*", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("j"))
     alike = alike.select("row", "h", "size", "source_size", "target", F.concat("whole", F.when(F.col("j") <= F.col("k"), F.col("part")).otherwise(none)).alias("shards"))
-    return plain.filter("not some").drop("some").unionByName(alike)
+    return plain.filter("not some").drop("some").unionByName(alike), n_shards
 
 
-def _draw(sums: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
+def _draw(sums: DataFrame, plan: list[tuple], shards: int, seed: int) -> DataFrame:
     """A row for each block: whole (the shards of its whole epochs), part (its shard in the part
     epoch, if drawn), cut (how many words of the block the part epoch takes, if not all)."""
     spark = sums.sparkSession
-    facts = small(spark.createDataFrame([(i, int(g // w) if w else 0, g - (g // w) * w if w else 0.0) for i, _, w, g, _ in plan], "i int, epochs int, rest double"))
+    facts = small(few_rows(spark, [(i, int(g // w) if w else 0, g - (g // w) * w if w else 0.0) for i, _, w, g, _ in plan], "i int, epochs int, rest double"))
     order = Window.partitionBy("i").orderBy("r", "block")
     ranked = sums.join(facts, "i").withColumn("r", F.xxhash64(F.lit(seed + 1), "i", "block"))
     ranked = ranked.withColumns({"k": F.row_number().over(order) - 1, "to": F.sum("words").over(order)})
@@ -158,7 +159,6 @@ def _draw(sums: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
     got = {r["i"]: (int(r["n"]), int(r["epochs"]), int(r["drawn"])) for r in ranked.groupBy("i", "epochs").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("drawn").cast("int")).alias("drawn")).collect()}
     quotas = [got.get(p[0], (0, 0, 0)) for p in plan]
     balls = [n * e + d for n, e, d in quotas]
-    shards = max(LEAST_SHARDS, -(-int(sum(p[3] for p in plan)) // SHARD_WORDS))
     tree = split_tree(balls, shards, seed) if balls else np.zeros((1, 0), np.int64)
     ends, of_source = np.cumsum(tree, axis=0), np.array([(n, e) for n, e, _ in quotas] or [(0, 0)], np.int64)
 
@@ -178,9 +178,9 @@ def _draw(sums: DataFrame, plan: list[tuple], seed: int) -> DataFrame:
 
 
 def shuffled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row for each copy, with the columns of docs. A partition holds whole shards,
-    one after the other, each in the order of a seeded hash."""
-    out = _mixed(docs, doc_id, text, source, weights, share, most, seed)
+    """The mix itself: a row for each copy, with the columns of docs. A partition holds one shard,
+    in the order of a seeded hash."""
+    out, n_shards = _mixed(docs, doc_id, text, source, weights, share, most, seed)
     copies = out.select("row", "h", F.posexplode("shards").alias("copy", "shard"))
-    dealt = copies.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "h", "copy"), "copy")
+    dealt = copies.repartitionById(n_shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed + 2), "h", "copy"), "copy")
     return dealt.select("row.*")

@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from .common import batches_of, new_path, trimmed, written
+from .common import batches_of, kept, new_path, trimmed, written
 
+OPERATOR = "token_store"
 END_ID = 2
 SHARD_BYTES = 32_000_000  # of text
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -136,13 +137,8 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(OPERATOR, path, lambda: Encoder(path))
 
 
 def open_out(path: str):
@@ -247,7 +243,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, doc_id: st
             yield pa.RecordBatch.from_pydict(columns)
 
     with batches_of(spark, BATCH_ROWS):
-        return written(dealt.mapInArrow(trimmed(run), f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
+        return written(dealt.mapInArrow(trimmed(run, OPERATOR), f"shard int, path string, first_id {kind}, last_id {kind}, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
