@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +57,8 @@ HOT_WORDS = 200_000
 WORD_BUCKET_BYTES = 48_000_000
 CHUNK = 100_000  # characters read at once
 PART_TEXTS = 2000
+PIECE = 1 << 14  # symbols whose contexts are made together
+ABREAST, RUN = 1 << 14, 300_000  # symbols of a block read together, and characters of a run of such texts
 SEGMENT, LEAD, WORD = 1 << 18, 16, 8  # symbols of one text at a time, and the bytes before that contexts reach back to
 DEPTHS, CELLS = 6, 33
 MOST_TREES, LEAST_SEEN, NODES, TURN = 4096, 64, 512, 77
@@ -65,6 +66,9 @@ GATES = 4 * DEPTHS * 2
 _L = np.uint64
 _M = [_L(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+
 
 def huffman(counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each symbol the nodes on its way and the bits taken there."""
@@ -107,8 +111,8 @@ class Code:
         self.tree = np.full(257 * 257, -1, np.int32)
         self.tree[chosen] = np.arange(len(chosen))
         ways, bits, ones, every = [], [], np.zeros((len(chosen) + 257, NODES), np.int64), np.zeros((len(chosen) + 257, NODES), np.int64)
-        #: The way of each symbol in each tree, the last of a tree's being the leaf for the rest; -1 for none.
-        self.way = np.full((len(chosen), 258), -1, np.int32)
+        # The way of each symbol in each tree, the last of a tree's being the leaf for the rest; -1 for none. The trees by one byte come last.
+        way = np.full((len(chosen) + 257, 258), -1, np.int32)
 
         last = counts.reshape(257, 257, 257).sum(0)
         total, plain = last.sum(0), None
@@ -117,14 +121,13 @@ class Code:
             real = np.append(counts[c][has], 0)
             weights = np.append(counts[c][has], len(has) // 2 + 1)
             nodes, taken = huffman(weights)
-            self.way[t, np.append(has, 257)] = len(ways) + np.arange(len(has) + 1)
+            way[t, np.append(has, 257)] = len(ways) + np.arange(len(has) + 1)
             for k, n, b in zip(real, nodes, taken, strict=True):
                 ways.append(n)
                 bits.append(b)
                 every[t][n] += k
                 ones[t][n] += k * b
         # Of the trees by one byte, what a tree by two already had is in the counts too: they are for the rest.
-        self.single = np.zeros((257, 257), np.int32)
         for p in range(257):
             if not last[p].any() and plain:
                 nodes, taken = plain
@@ -133,74 +136,90 @@ class Code:
                 nodes, taken = huffman(last[p] * (1 << 20) + total * 16 // max(1, int(total.sum()) >> 10) + 1)
                 if not last[p].any():
                     plain = nodes, taken
-            self.single[p] = len(ways) + np.arange(257)
+            way[len(chosen) + p, :257] = len(ways) + np.arange(257)
             for s, n, b in zip(range(257), nodes, taken, strict=True):
                 ways.append((n + TURN) % NODES)
                 bits.append(b)
                 if last[p][s]:
                     every[len(chosen) + p][ways[-1]] += last[p][s]
                     ones[len(chosen) + p][ways[-1]] += last[p][s] * b
-        self.length = np.array([len(x) for x in ways], np.intp)
-        self.start = np.cumsum(self.length) - self.length
-        # Node, bit and depth of each step of each way.
-        depth = np.concatenate([np.arange(len(x)) for x in ways])
-        self.steps = np.concatenate(ways).astype(np.int32) | np.concatenate(bits).astype(np.int32) << 9 | depth.astype(np.int32) << 10
-        self.first = odds(ones, every - ones).ravel()
         self.trees = len(chosen)
+        #: The tree of each two bytes, and its last byte.
+        self.place = np.where(self.tree < 0, len(chosen) + np.arange(257 * 257) % 257, self.tree).astype(np.intp)
+        last_of = np.append(chosen % 257, np.arange(257))
+        length = np.array([len(x) for x in ways], np.int64)
+        start = np.cumsum(length) - length
+        # All that a decision needs of each step of each way: the node's low bits, the bit, whether a word is
+        # begun (the last byte is no gap), the depth, and the odds of what training texts did there.
+        place = np.zeros(len(ways), np.int64)
+        place[way[way >= 0]] = np.nonzero(way >= 0)[0]
+        place, node = np.repeat(place, length), np.concatenate(ways).astype(np.int64)
+        first = odds(ones, every - ones).ravel()[place * NODES + node]
+        depth = np.minimum(np.concatenate([np.arange(len(x)) for x in ways]), DEPTHS - 1)
+        inside = ~np.append(_GAP, True)[last_of[place]]
+        self.steps = (node & 31 | np.concatenate(bits).astype(np.int64) << 5 | inside << 6 | depth << 7 | first.astype(np.int64) << 10).astype(np.int32)
+
+        #: Of each tree and symbol where its steps start, and in the low 8 bits how many; 0 for none.
+        small = len(self.steps) < 1 << 24
+        self.way = np.where(way < 0, 0, (start << 8 | length)[way]).astype(np.uint32 if small else np.uint64).ravel()
+        if length.max() > 255:
+            raise ValueError("a tree is deeper than 255")
 
     def decisions(self, two: np.ndarray, symbols: np.ndarray):
-        """two: the two bytes before, as one number. How many decisions each symbol takes, which symbol each is of, which
-        tree it is in, and its step: node, bit << 9, depth << 10."""
-        tree = self.tree.take(two)
-        single = two % 257
-        way = self.way.ravel().take(np.maximum(tree, 0) * 258 + symbols) if self.trees else np.full(len(two), -1, np.int32)
-        way[tree < 0] = -1
-        plain = self.single.ravel().take(single * 257 + symbols)
-        left = np.flatnonzero((way < 0) & (tree >= 0))  # through the leaf for the rest
-        way = np.where(tree < 0, plain, way)
-        place = np.where(tree < 0, self.trees + single, tree)
-        of = None
-        if len(left):
-            way[left] = self.way[tree[left], 257]
-            of = np.insert(np.arange(len(two)), left + 1, left)
-            at = left + 1 + np.arange(len(left))
-            way, place = way.take(of), place.take(of)
-            way[at], place[at] = plain[left], self.trees + single[left]
-        n = self.length.take(way)
+        """two: the two bytes before, as one number. How many decisions each symbol takes, which symbol each way is of (None if
+        each has one), which way each decision is of, and its step: five bits of the node, then bit, inside a word, depth, odds."""
+        place = self.place.take(two)
+        place *= 258
+        place += symbols
+        way = self.way.take(place)
+        rest, of = way == 0, None
+        if rest.any():  # through the leaf for the rest, then the tree of the byte before
+            left = np.flatnonzero(rest)
+            of = np.arange(len(two) + len(left))
+            of -= np.cumsum(np.bincount(left + 1 + np.arange(len(left)), minlength=len(of)))
+            other = self.way.take((self.trees + two[left] % 257) * 258 + symbols[left])
+            way[left] = self.way.take(place[left] - symbols[left] + 257)
+            way = way.take(of)
+            way[left + 1 + np.arange(len(left))] = other
+        n, start = (way & 255).astype(np.intp), (way >> 8).astype(np.intp)
         ends = np.cumsum(n)
         owner = np.zeros(int(ends[-1]), np.intp)  # every way has a step at least
         owner[ends[:-1]] = 1
         np.cumsum(owner, out=owner)
-        at = (self.start.take(way) - (ends - n)).take(owner)
-        at += np.arange(len(at))
-        steps, place = self.steps.take(at), place.take(owner)
+        at = np.ones(len(owner), np.intp)
+        at[0] = start[0]
+        at[ends[:-1]] = start[1:] - start[:-1] - n[:-1] + 1
+        steps = self.steps.take(np.cumsum(at, out=at))
         if of is not None:
             n = np.bincount(of, n).astype(np.intp)
-            owner = of.take(owner)
-        return n, owner, place, steps
+        return n, of, owner, steps
 
 
 def finished(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _L(32))) * _M[3]
-    return h ^ (h >> _L(29))
+    h ^= h >> _L(32)
+    h *= _M[3]
+    h ^= h >> _L(29)
+    return h
 
 
-def contexts(raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each hashed input the hash of the context of each symbol, and whether it stands inside a word.
-    raw: bytes with LEAD bytes before each run; at: where the symbols are; gap: which bytes part words."""
-    # The eight bytes before each symbol as one number, the last byte highest.
-    back = np.ndarray(len(raw) - 7, "<u8", raw.data, 0, (1,))[at - 8]
+def contexts(back: np.ndarray, raw: np.ndarray, at: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """For each hashed input the hash of the context of each symbol. back: the eight bytes before each as one number, the
+    last byte highest; raw, at: bytes and where in them the symbols are; inside: how many bytes of a word are before each."""
     out = [finished((back >> _L(64 - 8 * k)) * _M[0] + _L(k)) for k in ORDERS]
-    begin = np.where(gap, np.arange(1, len(raw) + 1, dtype=np.int32), 0)
-    np.maximum.accumulate(begin, out=begin)
-    inside = at - begin[at - 1]
     # The word begun, WORD bytes of it at most, and of shorter ones the byte before the gap before them.
     size = np.minimum(inside, WORD)
-    lead = raw[at - 2 - size]
-    lead[inside >= WORD] = 0
-    word = (back >> (_L(64) - _L(8) * np.maximum(size, 1).astype(np.uint64))) * (size > 0)
-    out.append(finished((word + size.astype(np.uint64) * _M[1]) * _M[2] + lead * _M[4]))
-    return out, inside > 0
+    lead = raw.take(at - 2 - size).astype(np.uint64)
+    lead *= inside < WORD
+    size = size.astype(np.uint64)
+    word = back >> ((_L(8) - np.maximum(size, _L(1))) << _L(3))
+    word *= size > 0
+    size *= _M[1]
+    word += size
+    word *= _M[2]
+    lead *= _M[4]
+    word += lead
+    out.append(finished(word))
+    return out
 
 
 def lines(context: np.ndarray, slots: int) -> np.ndarray:
@@ -212,6 +231,20 @@ def bytes_of(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def side_by_side(texts: list[str | None]):
+    """The texts from short to long, in runs whose blocks go forward together: at most ABREAST symbols of a block, and some RUN characters."""
+    held, n, wide = [], 0, 0
+    for k in sorted(range(len(texts)), key=lambda k: len(texts[k] or "")):
+        size = min(len(texts[k] or "") + 1, SEGMENT)
+        if held and (n + size > RUN or wide + min(size, BLOCK) > ABREAST):
+            yield held
+            held, n, wide = [], 0, 0
+        held.append(k)
+        n, wide = n + size, wide + min(size, BLOCK)
+    if held:
+        yield held
+
+
 def parts_of(texts: list[str | None], most=CHUNK):
     """The texts in runs of about `most` characters (or as many as it gives when called) and at most PART_TEXTS texts."""
     held, n = [], 0
@@ -225,57 +258,80 @@ def parts_of(texts: list[str | None], most=CHUNK):
         yield held
 
 
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
-
-
 class Run:
     """Some texts' next symbols, their contexts, and which text (number in the run) each is of."""
 
-    def __init__(self, code: Code, texts: list[bytes], start: int):
+    def __init__(self, code: Code, texts: list[bytes], start: int, abreast: bool = False):
         live = [k for k, t in enumerate(texts) if len(t) >= start]
         pieces = [texts[k][max(0, start - LEAD) : start + SEGMENT] for k in live]
         blank, back = bytes(max(0, LEAD - start)), min(start, LEAD)
         ended = np.array([len(texts[k]) < start + SEGMENT for k in live])
         # Before each run of bytes LEAD of what came before, blank at a text's start; a byte for its end.
-        raw = np.frombuffer(b"".join(x for t, end in zip(pieces, ended, strict=True) for x in (blank, t, b"\0" * bool(end))), np.uint8)
-        size = np.array([len(t) - back for t in pieces], np.int64) + ended
-        first = np.cumsum(size + LEAD) - size
-        offset = np.repeat(first - (np.cumsum(size) - size), size)
-        at = offset + np.arange(len(offset))
-        gap = _GAP[raw]
+        self.raw = np.frombuffer(b"".join(x for t, end in zip(pieces, ended, strict=True) for x in (blank, t, b"\0" * bool(end))), np.uint8)
+        self.size = np.array([len(t) - back for t in pieces], np.int64) + ended
+        self.first, self.live, self.ended, self.start, self.code = np.cumsum(self.size + LEAD) - self.size, np.array(live), ended, start, code
+        # Since which byte a word is begun.
+        gap = _GAP.take(self.raw)
         if not start:
             for d in range(LEAD):
-                gap[first - 1 - d] = True
-        self.ctx, self.inside = contexts(raw, at, gap)
-        self.symbols, last, two = raw[at].astype(np.intp), raw[at - 1].astype(np.intp), raw[at - 2].astype(np.intp)
-        ends = np.cumsum(size) - 1
-        self.symbols[ends[ended]] = END
-        if not start:
-            begun = np.cumsum(size) - size
-            last[begun] = two[begun] = START
-            two[begun[size > 1] + 1] = START
-        self.before = two * 257 + last
-        self.text_of, self.size, self.code = np.repeat(np.array(live), size), size, code
+                gap[self.first - 1 - d] = True
+        self.begin = np.arange(1, len(gap) + 1, dtype=np.int32)
+        self.begin *= gap
+        np.maximum.accumulate(self.begin, out=self.begin)
+        if abreast:
+            self.sort_by_block()
+        else:
+            self.read(np.arange(len(live)), np.zeros(len(live), np.int64), self.size)
 
     def sort_by_block(self) -> None:
         """Symbols by block, then text, so that the blocks of all texts go forward together."""
-        start = np.cumsum(self.size) - self.size
-        self.block = (np.arange(len(self.symbols)) - np.repeat(start, self.size)) // BLOCK
-        if self.block.any():
-            order = np.argsort(self.block.astype(np.int16) if self.block.max() < 32_000 else self.block, kind="stable")
-            self.block, self.text_of, self.symbols, self.before, self.inside = (x[order] for x in (self.block, self.text_of, self.symbols, self.before, self.inside))
-            self.ctx = [c[order] for c in self.ctx]
-
-    def decisions(self):
-        return self.code.decisions(self.before, self.symbols)
-
-
-def runs(code: Code, texts: list[str | None]):
-    """All symbols of the texts, a SEGMENT of each at a time."""
+        many = -(-self.size // BLOCK)
+        k = np.repeat(np.arange(len(many)), many)
+        block = np.arange(len(k)) - np.repeat(np.cumsum(many) - many, many)
+        order = np.argsort(block, kind="stable")
+        k, block = k[order], block[order]
+        size = np.minimum(self.size[k] - block * BLOCK, BLOCK)
+        self.read(k, block * BLOCK, size)
+        self.block = np.repeat(block, size)
+
+    def read(self, k: np.ndarray, begun: np.ndarray, size: np.ndarray) -> None:
+        """The symbols of some pieces one after another: of text number k among the live ones, from a symbol on, so many."""
+        n, head = int(size.sum()), np.cumsum(size) - size
+        self.text_of = np.repeat(self.live[k], size)
+        at = np.ones(n, np.intp)
+        at[head] = self.first[k] + begun
+        at[head[1:]] -= at[head[:-1]] + size[:-1] - 1
+        np.cumsum(at, out=at)
+        wide = np.ndarray(len(self.raw) - 7, "<u8", self.raw.data, 0, (1,))
+        self.ctx = [np.empty(n, np.uint64) for _ in range(HASHED)]
+        self.symbols, self.before = np.empty(n, np.intp), np.empty(n, np.intp)
+        for lo in range(0, n, PIECE):  # few enough to stay in the processor's cache
+            p, sl = at[lo : lo + PIECE], slice(lo, lo + PIECE)
+            back = wide[p - 8]
+            for whole, c in zip(self.ctx, contexts(back, self.raw, p, p - self.begin.take(p - 1)), strict=True):
+                whole[sl] = c
+            self.symbols[sl] = self.raw.take(p)
+            self.before[sl] = (back >> _L(48) & _L(255)) * _L(257) + (back >> _L(56))
+        of_end = head + size - 1
+        self.symbols[of_end[self.ended[k] & (begun + size == self.size[k])]] = END
+        if not self.start:
+            begun_at = head[begun == 0]
+            self.before[begun_at] = START * 257 + START
+            second = begun_at[size[begun == 0] > 1] + 1
+            self.before[second] = START * 257 + self.before[second] % 257
+
+    def decisions(self, slots: list[int]):
+        """(symbols' numbers of decisions, of each hashed input the lines of ways in tables of so many slots, the way and the step of each decision)."""
+        n, of, owner, steps = self.code.decisions(self.before, self.symbols)
+        at = [lines(c, k) for c, k in zip(self.ctx, slots, strict=True)]
+        return n, at if of is None else [x.take(of) for x in at], owner, steps
+
+
+def runs(code: Code, texts: list[str | None], abreast: bool = False):
+    """All symbols of the texts, a SEGMENT of each at a time; text by text, or block by block."""
     raw = [bytes_of(t) for t in texts]
     for start in range(0, max(map(len, raw), default=-1) + 1, SEGMENT):
-        yield Run(code, raw, start)
+        yield Run(code, raw, start, abreast)
 
 
 class Model:
@@ -288,40 +344,41 @@ class Model:
         self.refining = np.zeros(DEPTHS * CELLS, np.float32)
         self.learnt = 0  # decisions that these two were learnt from
 
-    def looked_up(self, run: Run, owner: np.ndarray, tree: np.ndarray, step: np.ndarray):
+    def decisions(self, run: Run):
+        return run.decisions([len(t) for t in self.tables])
+
+    def looked_up(self, at_lines: list[np.ndarray], owner: np.ndarray, step: np.ndarray):
         """(inputs, gate, sign of the bit, place in the refining table, slots in each hashed table) of decisions."""
         low = (step & 31).astype(np.intp)
         x = np.empty((INPUTS + 1, len(step)), np.float32)
-        node = tree * NODES
-        node += step & (NODES - 1)
-        x[0] = self.code.first.take(node)
-        depth = np.minimum(step >> 10, DEPTHS - 1).astype(np.uint8)
-        gate, slots = run.inside.view(np.uint8).take(owner), []
-        gate += depth << 1
-        for k, c in enumerate(run.ctx):
-            at = lines(c, len(self.tables[k])).take(owner)
+        x[0] = step >> 10
+        gate, slots = (step >> 6 & 15).astype(np.uint8), []
+        row = gate >> 1
+        row *= np.uint8(CELLS)
+        for k, (line, table) in enumerate(zip(at_lines, self.tables, strict=True)):
+            at = line.take(owner)
             at ^= low
-            known = self.tables[k].take(at)
+            known = table.take(at)
             x[1 + k] = known
             if k >= HASHED - 2:
                 gate += (known != 0).view(np.uint8) * np.uint8(2 * DEPTHS * (k - HASHED + 3))
             slots.append(at)
         x[:INPUTS] *= np.float32(1 / 16)
         x[INPUTS] = 0.3
-        sign = (step >> 8 & 2).astype(np.float32)
+        sign = (step >> 4 & 2).astype(np.float32)
         sign -= 1
-        return x, gate.astype(np.intp), sign, depth * np.uint8(CELLS), slots
+        return x, gate.astype(np.intp), sign, row, slots
 
     def inputs(self, run: Run):
         """(symbols' numbers of decisions, inputs, gate, sign of the bit, place in the refining table) of a run's decisions."""
-        n, owner, tree, step = run.decisions()
-        return n, *self.looked_up(run, owner, tree, step)[:4]
+        n, *found = self.decisions(run)
+        return n, *self.looked_up(*found)[:4]
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        z = self.weights[0].take(gate)
+        z = self.weights[0].take(gate, mode="clip")  # all are inside; this mode is the fastest
         z *= x[0]
         for k in range(1, INPUTS + 1):
-            w = self.weights[k].take(gate)
+            w = self.weights[k].take(gate, mode="clip")
             w *= x[k]
             z += w
         return z
@@ -338,36 +395,42 @@ class Model:
         n_texts, width_of = len(texts), DEPTHS * CELLS
         out, shift = np.zeros(n_texts), np.zeros((n_texts, INPUTS + 1), np.float32)
         refining = np.tile(self.refining, (n_texts, 1))
-        for run in runs(self.code, texts):
-            run.sort_by_block()
-            width, x, gate, sign, row = self.inputs(run)
-            mixed = self.mixed(x, gate)
-            ends = np.cumsum(width)
+        for run in runs(self.code, texts, abreast=True):
+            width, *found = self.decisions(run)
+            at_lines, owner, step = found
+            ends = np.append(0, np.cumsum(width))
             last = int(run.block[-1])
             cuts = np.searchsorted(run.block, np.arange(last + 2))
-            for block, (s0, s1) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                sl = slice(int(ends[s0 - 1]) if s0 else 0, int(ends[s1 - 1]))
-                edge = np.flatnonzero(np.diff(run.text_of[s0:s1], prepend=-1))
-                live = run.text_of[s0:s1][edge]
-                offs = (ends[s0:s1] - width[s0:s1])[edge] - sl.start
-                count = np.diff(np.append(offs, sl.stop - sl.start))
+            starts, begun, done = ends[cuts], 0, 0
+            for block, (s0, s1) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if starts[block] == done:  # some blocks are looked up together, few enough to stay in the processor's cache
+                    begun, done = done, int(starts[max(block + 1, np.searchsorted(starts, done + FIT_STEP, "right") - 1)])
+                    x, gate, sign, row, _ = self.looked_up(at_lines, owner[begun:done], step[begun:done])
+                    mixed = self.mixed(x, gate)
+                sl = slice(int(starts[block]) - begun, int(starts[block + 1]) - begun)
+                text_of = run.text_of[s0:s1]
+                edge = np.append(0, np.flatnonzero(text_of[1:] != text_of[:-1]) + 1)
+                live = text_of[edge]
+                offs = ends[s0:s1][edge] - (begun + sl.start)
+                count = np.diff(offs, append=sl.stop - sl.start)
                 xs = x[:, sl]
                 spans = [(t, slice(o, o + c)) for t, o, c in zip(live.tolist(), offs.tolist(), count.tolist(), strict=True)]
                 z = mixed[sl]
-                if shift.any():
+                if block or run.start:
                     for t, part in spans:
                         z[part] += shift[t] @ xs[:, part]
                 place = self.cells(z, row[sl])
                 place += np.repeat(np.arange(len(live)) * width_of, count)
-                z += refining[live].ravel().take(place)
+                z += refining[live].ravel().take(place, mode="clip")
                 z *= sign[sl]
-                e = np.exp(np.negative(np.clip(z, -30, 30, out=z), out=z), out=z)
+                np.clip(z, -30, 30, out=z)
+                e = np.exp(np.negative(z, out=z), out=z)
                 more = e + 1
                 err = e / more
                 err *= sign[sl]
                 out[live] += np.add.reduceat(np.log(more, out=more), offs, dtype=np.float64)
-                for t, part in spans:
-                    shift[t] += np.clip((xs[:, part] @ err[part]) * (rate / (1 + part.stop - part.start) ** 0.5), -0.2, 0.2)
+                slopes = np.stack([xs[:, part] @ err[part] for _, part in spans])
+                shift[live] += np.clip(slopes * (rate / np.sqrt(1.0 + count))[:, None], -0.2, 0.2)
                 refining[live] += np.clip(REFINE * rate * np.bincount(place, err, len(live) * width_of), -0.1, 0.1).astype(np.float32).reshape(len(live), -1)
         return out / np.log(2)
 
@@ -392,7 +455,7 @@ class Learner(Model):
             xs, g = x[:, sl], gate[sl]
             z = self.mixed(xs, g)
             cell = self.cells(z, row[sl])
-            z += self.refining.take(cell)
+            z += self.refining.take(cell, mode="clip")
             z *= sign[sl]
             err = np.clip(z, -30, 30, out=z)
             err = 1 / (np.exp(err, out=err) + 1)
@@ -415,7 +478,7 @@ class Learner(Model):
         for table, found in zip(self.tables, counts, strict=True):
             for lo in range(0, len(table), RANGE):
                 part = found[2 * lo : 2 * (lo + RANGE)]
-                at = np.flatnonzero(part.view(np.uint64))
+                at = np.flatnonzero(part.view(np.uint64) != 0)
                 if len(at):
                     table[lo + at] = odds(part[1::2][at], part[::2][at])
 
@@ -442,23 +505,27 @@ def table_sizes(n_bytes: int) -> list[int]:
 
 def counted(code: Code, texts: list[str | None], tables: list[np.ndarray], learner: Learner | None = None) -> None:
     """Adds the texts' decisions to tables of (slot, bit) counts; a learner learns from them first."""
+    slots = [len(t) // 2 for t in tables]
     for run in runs(code, texts):
-        _, owner, tree, step = run.decisions()
+        _, at_lines, owner, steps = run.decisions(slots)
+        places = []
+        for lo in range(0, len(steps), FIT_STEP):  # few enough to stay in the processor's cache
+            of, step = owner[lo : lo + FIT_STEP], steps[lo : lo + FIT_STEP]
+            if learner:
+                *found, at = learner.looked_up(at_lines, of, step)
+                learner.learn(*found)
+            else:
+                low = (step & 31).astype(np.intp)
+                at = [line.take(of) ^ low for line in at_lines]
+            places.append(at)
+        bit = (steps >> 5 & 1).astype(np.intp)
+        for k, table in enumerate(tables):  # a table at a time: its slots recur
+            at = np.concatenate([found[k] for found in places])
+            at <<= 1
+            at |= bit
+            np.add.at(table, at, np.uint32(1))
         if learner:
-            *found, slots = learner.looked_up(run, owner, tree, step)
-            learner.learn(*found)
-            bit = (step >> 9 & 1).astype(np.intp)
-            for table, at in zip(tables, slots, strict=True):
-                at <<= 1
-                at |= bit
-                np.add.at(table, at, np.uint32(1))
             learner.counted(len(run.symbols), tables)
-            continue
-        low = ((step & 31) << 1 | (step >> 9) & 1).astype(np.intp)
-        for k, c in enumerate(run.ctx):
-            at = (lines(c, len(tables[k]) // 2) << 1).take(owner)
-            at ^= low
-            np.add.at(tables[k], at, np.uint32(1))
 
 
 def tables_of(train: DataFrame, code: Code, sizes: list[int], n_tasks: int, model: Model | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -490,7 +557,7 @@ def tables_of(train: DataFrame, code: Code, sizes: list[int], n_tasks: int, mode
             for i, (k, lo) in enumerate(ranges):
                 part = found[k][2 * lo : 2 * (lo + RANGE)]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([kind]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["i", "sample", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([kind]), pa.array([pa.compress(part, codec="zstd", asbytes=True)], pa.binary())], names=["i", "sample", "blob"])
 
     def add(batches):
         sums: dict[int, list] = {}
@@ -501,7 +568,7 @@ def tables_of(train: DataFrame, code: Code, sizes: list[int], n_tasks: int, mode
                     lessons.append(x)
                     continue
                 pair = sums.setdefault(i, [0, 0])
-                pair[kind] = pair[kind] + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+                pair[kind] = pair[kind] + np.frombuffer(pa.decompress(x, 8 * min(RANGE, sizes[ranges[i][0]]), codec="zstd"), np.uint32).astype(np.int64)
         for i, (rest, sample) in sums.items():
             both = rest + sample
             rest = rest if isinstance(rest, np.ndarray) else np.zeros_like(both)
@@ -739,9 +806,7 @@ def model_scores(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             texts = b.column(3).to_pylist()
             bits = np.zeros(len(texts))
-            order = sorted(range(len(texts)), key=lambda k: len(texts[k]))  # alike in length: their blocks go forward together
-            for part in parts_of([texts[k] for k in order]):
-                mine = [order[k] for k in part]
+            for mine in side_by_side(texts):
                 bits[mine] = held.value.bits([texts[k] for k in mine])
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bits), pa.array(size, pa.int64())], names=["id", "h1", "h2", "bits", "n_bytes"])

@@ -83,3 +83,38 @@ def test_encoder_needs_no_offsets():
     for n in (1, 2, 3, 40):
         texts = ["".join(rng.choice(bits) for _ in range(n)) for _ in range(1500)] + ["one two\n\n three, end.", "last\xa0", "\xa0first", "\n", " "]
         assert e(texts) == e.library(texts) == e(texts)
+
+
+def test_lm_looks_up_few_decisions_at_once(monkeypatch):
+    """Decisions are looked up a cached slice at a time, in counting and in scoring, and all of them; what is read beside a text doesn't move its bits."""
+    texts = [*some_texts(300), "", None, "ab " * 3000, *some_texts(300, seed=7)]
+    sizes, counts = lm_score.table_sizes(20_000), np.zeros((257, 257, 257), np.int64)
+    for t in texts[::2]:
+        s = [lm_score.START, lm_score.START, *(t or "").encode(), lm_score.END]
+        np.add.at(counts, (s[:-2], s[1:-1], s[2:]), 1)
+    code = lm_score.Code(counts.ravel())
+    most, seen = 1 << 11, []
+    look = lm_score.Model.looked_up
+
+    def looked_up(self, *given):
+        out = look(self, *given)
+        seen.append(out[0].shape[1])
+        return out
+
+    monkeypatch.setattr(lm_score.Model, "looked_up", looked_up)
+    monkeypatch.setattr(lm_score, "FIT_STEP", most)
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
+    monkeypatch.setattr(lm_score, "ABREAST", 128)
+    learner, found = lm_score.Learner(code, sizes), [np.zeros(2 * n, np.uint32) for n in sizes]
+    lm_score.counted(code, texts, found, learner)
+    total = int(found[0].sum())
+    assert max(seen) <= most and sum(seen) == total == learner.met.sum()
+    model = lm_score.Model(code, [lm_score.odds(c[1::2], c[::2]) for c in found])
+    seen.clear()
+    runs = list(lm_score.side_by_side(texts))
+    assert sorted(k for r in runs for k in r) == list(range(len(texts)))
+    bits = np.zeros(len(texts))
+    for r in runs:
+        bits[r] = model.bits([texts[k] for k in r])
+    assert max(seen) <= most and sum(seen) == total
+    assert np.allclose(bits, [model.bits([t])[0] for t in texts], rtol=1e-5)
