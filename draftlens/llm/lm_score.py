@@ -21,7 +21,8 @@ from. How rows are dealt to tasks so moves the weights a little; the same files
 words are looked up in the buckets, but for the HOT_WORDS most frequent, which are broadcast and looked up in
 place, so no bucket grows with the number of documents.
 
-Memory: texts are read in runs of CHUNK characters and SEGMENT symbols of a text at a time, whatever its length.
+Memory: texts are read in runs of CHUNK (in scoring RUN) characters and SEGMENT symbols of a text at a time, whatever its length;
+their decisions are looked up FIT_STEP at a time, which stay in the processor's cache.
 
 Defined results: null is the empty text, its end is scored; without training texts all counts
 are 0; repeated rows score alike; a null id is kept, its row trains if the condition is null; extra
